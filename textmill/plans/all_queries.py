@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_text"]
+MODULES = ["q_text", "q_stats"]
 
 
 def load() -> None:
