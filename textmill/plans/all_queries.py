@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_text", "q_stats"]
+MODULES = ["q_text", "q_stats", "q_sampling"]
 
 
 def load() -> None:
