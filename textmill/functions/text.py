@@ -183,7 +183,13 @@ def vocab_words(c) -> Column:
 
 # V8
 def ngrams(arr, n: int = 2) -> Column:
+    """Word n-grams joined by spaces.  Built from ``n`` shifted slices zipped
+    together, so ``arr`` is only referenced outside lambdas (where Catalyst
+    de-duplicates it); inside a ``transform`` lambda it would be recomputed
+    for every element."""
     arr = _col(arr)
-    idx = F.sequence(F.lit(0), F.size(arr) - n)
-    grams = F.transform(idx, lambda i: F.array_join(F.slice(arr, i + 1, n), " "))
-    return F.when(F.size(arr) >= n, grams).otherwise(F.array().cast("array<string>"))
+    m = F.greatest(F.size(arr) - F.lit(n - 1), F.lit(0))
+    out = F.slice(arr, 1, m)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(arr, k + 1, m), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out

@@ -63,3 +63,28 @@ def plain_rank(df: DataFrame, partition_cols: list[str], order_cols: list[str],
     """The reference form of H1 (one window per class); tests compare to it."""
     w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
     return df.withColumn(out, F.row_number().over(w).cast("bigint"))
+
+
+def global_rank(df: DataFrame, order_cols: list, out: str = "rank") -> DataFrame:
+    """Exact 1-based rank over the whole table by ``order_cols`` (unique).
+
+    A distributed sort (range partitioning), then within each sorted
+    partition the record number from ``monotonically_increasing_id`` (its
+    low 33 bits), plus the row count of all earlier partitions.  The sorted
+    table is written to the checkpoint folder first, so the partition
+    bounds are fixed once and a retried task sees the same partitions.  The
+    offset table has one row per partition (bounded), so it is broadcast.
+    """
+    from textmill.session import barrier
+
+    mid = "__tm_mid"
+    ordered = barrier(df.orderBy(*order_cols).withColumn(mid, F.monotonically_increasing_id()))
+    pid = F.shiftright(F.col(mid), 33)
+    counts = ordered.groupBy(pid.alias("__tm_pid")).agg(F.count(F.lit(1)).alias("__tm_n"))
+    running = Window.orderBy("__tm_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select("__tm_pid", (F.sum("__tm_n").over(running) - F.col("__tm_n")).alias("__tm_off"))
+    local = F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))
+    return (ordered.withColumn("__tm_pid", pid)
+            .join(F.broadcast(offsets), on="__tm_pid", how="inner")
+            .withColumn(out, (F.col("__tm_off") + local + 1).cast("bigint"))
+            .drop(mid, "__tm_pid", "__tm_off"))
