@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_text", "q_stats", "q_sampling", "q_vocab"]
+MODULES = ["q_text", "q_stats", "q_sampling", "q_vocab", "q_embed"]
 
 
 def load() -> None:

@@ -93,3 +93,9 @@ def capitalize(e: str) -> str:
 def seeded_hash(seed, *exprs: str) -> str:
     from textmill.functions.hashing import sql_hash
     return sql_hash(seed, *exprs)
+
+
+def round6_sql(e: str, digits: int = 6) -> str:
+    """``round`` with the sign of zero dropped (Spark's decimal rounding never
+    yields -0.0; DuckDB's keeps it)."""
+    return f"(CASE WHEN round({e}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({e}, {digits}) END)"
