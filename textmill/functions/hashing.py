@@ -55,3 +55,40 @@ def sql_normal(seed, *exprs: str, mean: float = 0.0, std: float = 1.0) -> str:
     u1 = sql_uniform(f"{seed}:u1", *exprs)
     u2 = sql_uniform(f"{seed}:u2", *exprs)
     return f"({mean!r} + {std!r} * sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r} * {u2}))"
+
+
+def _hex_uniform(h, start: int):
+    return (F.conv(F.substring(h, start, 15), 16, 10).cast("double") + F.lit(0.5)) / F.lit(HASH_SPAN)
+
+
+def seeded_normal_vector(seed, id_col, dim: int, mean: float = 0.0, std: float = 1.0) -> Column:
+    """``dim`` normal draws for one key: one md5 of (seed, key, j) per pair
+    j gives two uniforms (hex digits 1-15 and 16-30), and Box-Muller turns
+    them into two normals (cos and sin).  The digest is computed in an inner
+    ``transform`` so it is evaluated once per pair."""
+    key = F.col(id_col) if isinstance(id_col, str) else id_col
+    n_pairs = (dim + 1) // 2
+    hexes = F.transform(F.sequence(F.lit(0), F.lit(n_pairs - 1)),
+                        lambda j: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), j.cast("string"))))
+
+    def z(h, trig):
+        r = F.sqrt(F.lit(-2.0) * F.ln(_hex_uniform(h, 1)))
+        return F.lit(mean) + F.lit(std) * r * trig(F.lit(2.0 * math.pi) * _hex_uniform(h, 16))
+
+    pairs = F.transform(hexes, lambda h: F.array(z(h, F.cos), z(h, F.sin)))
+    return F.slice(F.flatten(pairs), 1, dim)
+
+
+def sql_normal_vector(seed, id_expr: str, dim: int, mean: float = 0.0, std: float = 1.0) -> str:
+    """DuckDB twin of :func:`seeded_normal_vector`."""
+    n_pairs = (dim + 1) // 2
+    hexes = (f"list_transform(range({n_pairs}), lambda j: md5(concat_ws(':', '{seed}', "
+             f"CAST({id_expr} AS VARCHAR), CAST(j AS VARCHAR))))")
+
+    def u(start: int) -> str:
+        return f"((('0x' || substr(h, {start}, 15))::BIGINT)::DOUBLE + 0.5) / {HASH_SPAN!r}"
+
+    r = f"sqrt(-2.0 * ln({u(1)}))"
+    th = f"({2.0 * math.pi!r} * {u(16)})"
+    pair = f"[{mean!r} + {std!r} * {r} * cos({th}), {mean!r} + {std!r} * {r} * sin({th})]"
+    return f"flatten(list_transform({hexes}, lambda h: {pair}))[1:{dim}]"

@@ -21,8 +21,8 @@ from textmill.functions.fixed import (
     EMB_FILL_UNIFORM_HIGH,
     EMB_FILL_UNIFORM_LOW,
 )
-from textmill.functions.hashing import seeded_normal, seeded_uniform
-from textmill.functions.text import capitalize
+from textmill.functions.hashing import seeded_normal_vector, seeded_uniform
+from textmill.functions.text import capitalize, explode_tokens
 
 
 def fill_vector(kind: str, seed, id_col: str, dim: int):
@@ -31,8 +31,8 @@ def fill_vector(kind: str, seed, id_col: str, dim: int):
     if kind == "zeros":
         return F.array_repeat(F.lit(0.0).cast("float"), dim)
     if kind == "normal":
-        return F.transform(idx, lambda k: seeded_normal(seed, F.col(id_col), k, mean=EMB_FILL_MEAN,
-                                                        std=EMB_FILL_STD).cast("float"))
+        z = seeded_normal_vector(seed, id_col, dim, mean=EMB_FILL_MEAN, std=EMB_FILL_STD)
+        return F.transform(z, lambda x: x.cast("float"))
     if kind == "uniform":
         span = EMB_FILL_UNIFORM_HIGH - EMB_FILL_UNIFORM_LOW
         return F.transform(idx, lambda k: (F.lit(EMB_FILL_UNIFORM_LOW) + F.lit(span)
@@ -76,7 +76,7 @@ def pool(df: DataFrame, tokens_col: str, vectors: DataFrame, how: str = "avg", d
     (concatenation).  ``oov='skip'`` averages over tokens with a vector,
     ``'zero'`` counts unknown tokens as zero vectors.  Documents without any
     known token get no row."""
-    counts = (df.select(doc_col, F.explode(tokens_col).alias("token"))
+    counts = (explode_tokens(df, tokens_col, "token", keep=[doc_col])
               .groupBy(doc_col, "token").agg(F.count(F.lit(1)).cast("double").alias("__n")))
     vec = vectors.select("token", array_to_vector(F.col("vec")).alias("__vec"))
     hit = counts.join(vec, on="token", how="inner")

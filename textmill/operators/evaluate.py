@@ -171,7 +171,8 @@ def binary_log_loss(df: DataFrame, probs: str = "probs", targets: str = "targets
     pairs = F.arrays_zip(F.col(probs).alias("p"), F.col(targets).alias("y"))
     per = F.transform(pairs, lambda z: -(z["y"] * F.ln(F.greatest(z["p"], F.lit(EPS)))
                                          + (1 - z["y"]) * F.ln(F.greatest(1 - z["p"], F.lit(EPS)))))
-    return df.select(F.explode(per).alias("l")).agg(F.avg("l").alias("binary_log_loss"))
+    from textmill.functions.text import explode_tokens
+    return explode_tokens(df, per, "l").agg(F.avg("l").alias("binary_log_loss"))
 
 
 # X7

@@ -135,8 +135,8 @@ def density(df: DataFrame, col: str, grid: int = 1000, cutoff: float = 9.0) -> D
 
 # A9
 def word_counts(df: DataFrame, tokens: str, out: str = "token") -> DataFrame:
-    return (df.select(F.explode(tokens).alias(out)).groupBy(out)
-            .agg(F.count(F.lit(1)).alias("freq")))
+    from textmill.functions.text import explode_tokens
+    return explode_tokens(df, tokens, out).groupBy(out).agg(F.count(F.lit(1)).alias("freq"))
 
 
 # A10

@@ -26,14 +26,21 @@ BROADCAST_CAP = 2_000_000  # rows of (token, id): ~100 MB at most
 
 def positions(df: DataFrame, tokens_col: str, doc_col: str = "doc_id", max_pos: int | None = None) -> DataFrame:
     """(doc, pos, token) rows; ``max_pos`` cuts before anything else."""
-    out = df.select(doc_col, F.posexplode(tokens_col).alias("pos", "token"))
+    out = T.explode_tokens(df, tokens_col, "token", keep=[doc_col], with_pos=True)
     return out.where(F.col("pos") < max_pos) if max_pos is not None else out
 
 
+def first_key(doc_col: str = "doc_id", pos_col: str = "pos"):
+    """(doc, pos) packed into one decimal(38,0), ``doc * 2^31 + pos``: same
+    order as the pair (positions are array indexes, below 2^31; negative
+    doc ids keep their order too).  ``min`` over it stays a hash aggregate;
+    ``min(struct(doc, pos))`` falls back to a sort aggregate."""
+    return F.col(doc_col).cast("decimal(38,0)") * F.lit(1 << 31) + F.col(pos_col)
+
+
 def _first_seen_counts(df: DataFrame, tokens_col: str, doc_col: str) -> DataFrame:
     return (positions(df, tokens_col, doc_col).groupBy("token")
-            .agg(F.count(F.lit(1)).alias("freq"),
-                 F.min(F.struct(F.col(doc_col).alias("d"), F.col("pos").alias("p"))).alias("first")))
+            .agg(F.count(F.lit(1)).alias("freq"), F.min(first_key(doc_col)).alias("first")))
 
 
 # V1 + W1
@@ -42,7 +49,7 @@ def freq_vocab(df: DataFrame, tokens_col: str, doc_col: str = "doc_id", cap: int
     appearance (doc order, then position).  With ``cap`` only ids below it
     are kept: a top-k of ``cap - 1`` rows, then a window over those rows."""
     counts = _first_seen_counts(df, tokens_col, doc_col)
-    order = [F.desc("freq"), F.asc("first.d"), F.asc("first.p")]
+    order = [F.desc("freq"), F.asc("first")]
     if cap is not None:
         top = counts.orderBy(*order).limit(cap - 1)
         w = Window.orderBy(*order)
@@ -55,7 +62,7 @@ def first_seen_vocab(df: DataFrame, tokens_col: str, doc_col: str = "doc_id", mi
     """(token, freq, id): words seen at least ``min_count`` times, ids from 2
     in order of first appearance (0 = padding, 1 = unknown)."""
     counts = _first_seen_counts(df, tokens_col, doc_col).where(F.col("freq") >= min_count)
-    ranked = global_rank(counts, [F.asc("first.d"), F.asc("first.p")], out="rank")
+    ranked = global_rank(counts, [F.asc("first")], out="rank")
     return ranked.select("token", "freq", (F.col("rank") + 1).alias("id"))
 
 
@@ -136,7 +143,7 @@ def encode_masked(df: DataFrame, tokens_col: str, vocab: DataFrame, n: int = 128
 # V7
 def term_counts(df: DataFrame, tokens_col: str, doc_col: str = "doc_id") -> DataFrame:
     """Long bag of words: (doc, term, n)."""
-    return (df.select(doc_col, F.explode(tokens_col).alias("term"))
+    return (T.explode_tokens(df, tokens_col, "term", keep=[doc_col])
             .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from textmill.functions import text as T
-from textmill.functions.hashing import sql_normal
+from textmill.functions.hashing import sql_normal_vector
 from textmill.functions.fixed import EMB_FILL_MEAN, EMB_FILL_STD
 from textmill.operators import embed as E
 from textmill.plans import sqlfrag as S
@@ -28,8 +28,8 @@ from textmill.sources.io import read_word_vectors
 DIM = 64
 
 
-def word_vectors(spark, sf):
-    v2 = _v2(spark, sf)
+def word_vectors(spark, sf, v2=None):
+    v2 = v2 if v2 is not None else _v2(spark, sf)
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     j = v2.join(e, v2["id"] == e["vec_id"] + 2, "inner")
     key = F.when(F.col("vec_id") % 2 == 0, F.col("token")).otherwise(T.capitalize("token"))
@@ -62,8 +62,8 @@ def q_read_vectors(spark, sf):
 
 
 def _fill_sql(seed, id_expr: str) -> str:
-    z = sql_normal(seed, id_expr, "k", mean=EMB_FILL_MEAN, std=EMB_FILL_STD)
-    return f"list_transform(range({DIM}), lambda k: CAST({z} AS FLOAT))"
+    z = sql_normal_vector(seed, id_expr, DIM, mean=EMB_FILL_MEAN, std=EMB_FILL_STD)
+    return f"list_transform({z}, lambda x: CAST(x AS FLOAT))"
 
 
 @query("e1_embedding_table", sql=f"""
@@ -72,7 +72,8 @@ SELECT v.id, v.token, {_round_vec_sql(f"coalesce(w1.vec, w2.vec, {_fill_sql(42,
 FROM v LEFT JOIN wv w1 ON w1.token = v.token
        LEFT JOIN wv w2 ON w2.token = {S.capitalize('v.token')}""")
 def q_embedding_table(spark, sf):
-    t = E.embedding_table(_v2(spark, sf), word_vectors(spark, sf), DIM, fill="normal", try_capitalized=True)
+    v2 = _v2(spark, sf)
+    t = E.embedding_table(v2, word_vectors(spark, sf, v2), DIM, fill="normal", try_capitalized=True)
     return t.select("id", "token", _round_vec(F.col("vec")).alias("vec"))
 
 

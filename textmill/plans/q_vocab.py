@@ -155,7 +155,7 @@ def q_j8(spark, sf):
 
 
 def _lemma_table(spark, sf):
-    toks = docs(spark, sf, "text").select(F.explode(T.tokenize("text")).alias("token")).distinct()
+    toks = T.explode_tokens(docs(spark, sf, "text"), T.tokenize("text"), "token").distinct()
     cand = toks.where(F.col("token").endswith("s") & (F.length("token") > 3)) \
         .select("token", F.expr("substring(token, 1, length(token) - 1)").alias("lemma"))
     return cand.join(toks.select(F.col("token").alias("lemma")), on="lemma", how="left_semi")
