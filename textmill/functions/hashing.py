@@ -57,26 +57,28 @@ def sql_normal(seed, *exprs: str, mean: float = 0.0, std: float = 1.0) -> str:
     return f"({mean!r} + {std!r} * sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r} * {u2}))"
 
 
-def _hex_uniform(h, start: int):
+def hex_uniform(h, start: int):
+    """Uniform in (0, 1) from 15 hex digits of a digest starting at ``start``."""
     return (F.conv(F.substring(h, start, 15), 16, 10).cast("double") + F.lit(0.5)) / F.lit(HASH_SPAN)
 
 
 def seeded_normal_vector(seed, id_col, dim: int, mean: float = 0.0, std: float = 1.0) -> Column:
     """``dim`` normal draws for one key: one md5 of (seed, key, j) per pair
     j gives two uniforms (hex digits 1-15 and 16-30), and Box-Muller turns
-    them into two normals (cos and sin).  The digest is computed in an inner
-    ``transform`` so it is evaluated once per pair."""
-    key = F.col(id_col) if isinstance(id_col, str) else id_col
-    n_pairs = (dim + 1) // 2
-    hexes = F.transform(F.sequence(F.lit(0), F.lit(n_pairs - 1)),
-                        lambda j: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), j.cast("string"))))
-
-    def z(h, trig):
-        r = F.sqrt(F.lit(-2.0) * F.ln(_hex_uniform(h, 1)))
-        return F.lit(mean) + F.lit(std) * r * trig(F.lit(2.0 * math.pi) * _hex_uniform(h, 16))
-
-    pairs = F.transform(hexes, lambda h: F.array(z(h, F.cos), z(h, F.sin)))
-    return F.slice(F.flatten(pairs), 1, dim)
+    them into two normals (cos and sin).
+
+    Built as a plain ``array`` of ``dim`` expressions (``dim`` is known on
+    the driver), not a ``transform`` lambda: higher-order functions are
+    interpreted, while these compile into the stage's generated code, and
+    subexpression elimination shares each digest between its two normals."""
+    key = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")
+    out = []
+    for j in range((dim + 1) // 2):
+        h = F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.lit(str(j))))
+        r = F.sqrt(F.lit(-2.0) * F.ln(hex_uniform(h, 1)))
+        th = F.lit(2.0 * math.pi) * hex_uniform(h, 16)
+        out += [F.lit(mean) + F.lit(std) * r * F.cos(th), F.lit(mean) + F.lit(std) * r * F.sin(th)]
+    return F.array(*out[:dim])
 
 
 def sql_normal_vector(seed, id_expr: str, dim: int, mean: float = 0.0, std: float = 1.0) -> str:

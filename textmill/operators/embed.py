@@ -10,6 +10,8 @@ whose hot words AQE's skew handling splits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -21,22 +23,42 @@ from textmill.functions.fixed import (
     EMB_FILL_UNIFORM_HIGH,
     EMB_FILL_UNIFORM_LOW,
 )
-from textmill.functions.hashing import seeded_normal_vector, seeded_uniform
+from textmill.functions.hashing import hex_uniform, seeded_uniform
 from textmill.functions.text import capitalize, explode_tokens
 
 
-def fill_vector(kind: str, seed, id_col: str, dim: int):
-    """Per-(id, dimension) seeded draws: 'normal', 'uniform' or 'zeros'."""
-    idx = F.sequence(F.lit(0), F.lit(dim - 1))
+def fill_table(keys: DataFrame, kind: str, seed, id_col: str, dim: int) -> DataFrame:
+    """Seeded fill vectors for the ids in ``keys``, as (keys..., vec).
+
+    Row-wise: one (id, pair) row per Box-Muller pair (or per dimension for
+    'uniform'), computed by small generated expressions, then regrouped per
+    id in position order.  The explode and the partial ``collect_list`` run
+    in the same task, so one row per id crosses the shuffle.  (A ``dim``-wide
+    expression or a lambda would be interpreted or too large to compile.)"""
     if kind == "zeros":
-        return F.array_repeat(F.lit(0.0).cast("float"), dim)
+        return keys.withColumn("vec", F.array_repeat(F.lit(0.0).cast("float"), dim))
+    cols = keys.columns
+    key = F.col(id_col).cast("string")
     if kind == "normal":
-        z = seeded_normal_vector(seed, id_col, dim, mean=EMB_FILL_MEAN, std=EMB_FILL_STD)
-        return F.transform(z, lambda x: x.cast("float"))
+        n = (dim + 1) // 2
+        p = keys.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__j"))
+        p = p.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("__j").cast("string"))))
+        r = F.sqrt(F.lit(-2.0) * F.ln(hex_uniform(F.col("__h"), 1)))
+        th = F.lit(2.0 * math.pi) * hex_uniform(F.col("__h"), 16)
+        p = p.select(*cols, "__j", r.alias("__r"), th.alias("__t"))
+        p = p.select(*cols, "__j",
+                     (F.lit(EMB_FILL_MEAN) + F.lit(EMB_FILL_STD) * F.col("__r") * F.cos("__t")).cast("float").alias("a"),
+                     (F.lit(EMB_FILL_MEAN) + F.lit(EMB_FILL_STD) * F.col("__r") * F.sin("__t")).cast("float").alias("b"))
+        g = p.groupBy(*cols).agg(F.sort_array(F.collect_list(F.struct("__j", "a", "b"))).alias("__z"))
+        return g.select(*cols, F.slice(F.flatten(F.transform("__z", lambda z: F.array(z["a"], z["b"]))), 1, dim)
+                        .alias("vec"))
     if kind == "uniform":
         span = EMB_FILL_UNIFORM_HIGH - EMB_FILL_UNIFORM_LOW
-        return F.transform(idx, lambda k: (F.lit(EMB_FILL_UNIFORM_LOW) + F.lit(span)
-                                           * seeded_uniform(seed, F.col(id_col), k)).cast("float"))
+        p = keys.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("__k"))
+        u = seeded_uniform(seed, F.col(id_col), F.col("__k"))
+        p = p.select(*cols, "__k", (F.lit(EMB_FILL_UNIFORM_LOW) + F.lit(span) * u).cast("float").alias("a"))
+        g = p.groupBy(*cols).agg(F.sort_array(F.collect_list(F.struct("__k", "a"))).alias("__z"))
+        return g.select(*cols, F.transform("__z", lambda z: z["a"]).alias("vec"))
     raise ValueError(kind)
 
 
@@ -46,8 +68,9 @@ def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, fill: str =
                     special_rows: bool = False) -> DataFrame:
     """(id, token, vec) for every vocabulary word below ``cap``: the word's own
     vector, else (``try_capitalized``) the capitalised word's, else a seeded
-    fill.  ``special_rows`` sets row 0 to zeros and row 1 to a uniform draw
-    (padding and unknown of the min-count vocabulary)."""
+    fill (drawn only for the words that have neither).  ``special_rows`` sets
+    row 0 to zeros and row 1 to a uniform draw (padding and unknown of the
+    min-count vocabulary)."""
     v = vocab.select("token", F.col("id").cast("bigint").alias("id"))
     if cap is not None:
         v = v.where(F.col("id") < cap)
@@ -58,15 +81,17 @@ def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, fill: str =
         cap_vec = vec.select(F.col("token").alias("__ct"), F.col("vec").alias("__v2"))
         out = out.join(cap_vec, capitalize(out["token"]) == cap_vec["__ct"], "left").drop("__ct")
         cols.append(F.col("__v2"))
-    cols.append(fill_vector(fill, seed, "id", dim))
-    out = out.select("id", "token", F.coalesce(*cols).alias("vec"))
+    found_vec = F.coalesce(*cols)
+    found = out.where(found_vec.isNotNull()).select("id", "token", found_vec.alias("vec"))
+    missing = out.where(found_vec.isNull()).select("id", "token")
+    res = found.unionByName(fill_table(missing, fill, seed, "id", dim).select("id", "token", "vec"))
     if special_rows:
         spark = vocab.sparkSession
-        extra = spark.createDataFrame([(0, ""), (1, "UNK")], "id bigint, token string").select(
-            "id", "token", F.when(F.col("id") == 0, fill_vector("zeros", seed, "id", dim))
-            .otherwise(fill_vector("uniform", seed, "id", dim)).alias("vec"))
-        out = extra.unionByName(out)
-    return out
+        extra = spark.createDataFrame([(0, ""), (1, "UNK")], "id bigint, token string")
+        res = (fill_table(extra.where("id = 0"), "zeros", seed, "id", dim)
+               .unionByName(fill_table(extra.where("id = 1"), "uniform", seed, "id", dim))
+               .select("id", "token", "vec").unionByName(res))
+    return res
 
 
 # E2 / E3
