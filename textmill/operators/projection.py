@@ -75,3 +75,11 @@ def map_label(df: DataFrame, col: str, mapping: dict, out: str | None = None) ->
     checked = F.when(v.isNull() & F.col(col).isNotNull(),
                      F.raise_error(F.concat(F.lit("unmapped label: "), F.col(col).cast("string"))))
     return df.withColumn(out or col, F.coalesce(checked, v))
+
+
+# J1
+def zip_columns(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Column-wise concatenation aligned on the row key (``doc_id``, plus
+    ``copy_no`` after oversampling): an inner equi-join.  When both sides
+    come from one table, select the columns instead -- no join needed."""
+    return a.join(b, on=on or ["doc_id"], how="inner")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_text", "q_stats", "q_sampling", "q_vocab", "q_embed", "q_eval", "q_models"]
+MODULES = ["q_text", "q_stats", "q_sampling", "q_vocab", "q_embed", "q_eval", "q_models", "q_io"]
 
 
 def load() -> None:
