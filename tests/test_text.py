@@ -86,3 +86,35 @@ def test_misc_functions(spark):
     assert r.g == ["a b", "b c"] and r.g4 == []
     assert r.j == "a b c"
     assert r.v == ["hello", "world's", "end", "x"]
+
+
+def test_mask_numbers_equals_sequential_replacements(spark):
+    import random
+    import re
+
+    rnd = random.Random(11)
+    samples = ["".join(rnd.choice("0123456789#a '") for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+
+    def ref(x):
+        for pattern, mask in (("[0-9]{5,}", "#####"), ("[0-9]{4}", "####"), ("[0-9]{3}", "###"), ("[0-9]{2}", "##")):
+            x = re.sub(pattern, mask, x)
+        return x
+
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "id long, s string")
+    got = {r.id: r.m for r in df.select("id", T.mask_numbers("s").alias("m")).collect()}
+    assert all(got[i] == ref(s) for i, s in enumerate(samples))
+
+
+def test_contractions_equal_python_on_random_text(spark):
+    import random
+    import re
+
+    rnd = random.Random(5)
+    keys = list(CONTRACTIONS)
+    pieces = keys + ["a", "b", "'", " ", "i", "ll", "ve", "d", "'d", "x'"]
+    samples = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12))) for _ in range(2000)]
+    pat = re.compile("(%s)" % "|".join(CONTRACTIONS))
+    ref = [pat.sub(lambda m: CONTRACTIONS[m.group(0)], s) for s in samples]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "id long, s string")
+    got = {r.id: r.e for r in df.select("id", T.expand_contractions("s").alias("e")).collect()}
+    assert all(got[i] == ref[i] for i in range(len(samples)))
