@@ -25,41 +25,55 @@ from textmill.functions.fixed import (
 )
 from textmill.functions.hashing import hex_uniform, seeded_uniform
 from textmill.functions.text import capitalize, explode_tokens
+from textmill.session import broadcast_if_small
 
+# Word-vector tables up to this many rows are broadcast (300 floats a row:
+# about 60 MB); larger ones are shuffle-joined on token.
+MAX_BROADCAST_VECTORS = 50_000
 
-def fill_table(keys: DataFrame, kind: str, seed, id_col: str, dim: int) -> DataFrame:
-    """Seeded fill vectors for the ids in ``keys``, as (keys..., vec).
+
+def fill_table(keys: DataFrame, kind: str, seed, id_col: str, dim: int,
+               keep_col: str | None = None) -> DataFrame:
+    """Seeded fill vectors for the ids in ``keys``, as (keys..., vec).  With
+    ``keep_col`` rows whose ``keep_col`` is set keep that vector and draw
+    nothing.
 
     Row-wise: one (id, pair) row per Box-Muller pair (or per dimension for
     'uniform'), computed by small generated expressions, then regrouped per
     id in position order.  The explode and the partial ``collect_list`` run
     in the same task, so one row per id crosses the shuffle.  (A ``dim``-wide
     expression or a lambda would be interpreted or too large to compile.)"""
+    cols = [c for c in keys.columns if c != keep_col]
+    kept = F.col(keep_col) if keep_col else F.lit(None).cast("array<float>")
     if kind == "zeros":
-        return keys.withColumn("vec", F.array_repeat(F.lit(0.0).cast("float"), dim))
-    cols = keys.columns
+        return keys.select(*cols, F.coalesce(kept, F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("vec"))
     key = F.col(id_col).cast("string")
+    n = (dim + 1) // 2 if kind == "normal" else dim
+    if kind not in ("normal", "uniform"):
+        raise ValueError(kind)
+    steps = F.when(kept.isNull(), F.sequence(F.lit(0), F.lit(n - 1)))
+    p = keys.select(*cols, kept.alias("__kept"), F.explode_outer(steps).alias("__j"))
     if kind == "normal":
-        n = (dim + 1) // 2
-        p = keys.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__j"))
-        p = p.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("__j").cast("string"))))
+        h = F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("__j").cast("string")))
+        p = p.withColumn("__h", F.when(F.col("__j").isNotNull(), h))
         r = F.sqrt(F.lit(-2.0) * F.ln(hex_uniform(F.col("__h"), 1)))
         th = F.lit(2.0 * math.pi) * hex_uniform(F.col("__h"), 16)
-        p = p.select(*cols, "__j", r.alias("__r"), th.alias("__t"))
-        p = p.select(*cols, "__j",
-                     (F.lit(EMB_FILL_MEAN) + F.lit(EMB_FILL_STD) * F.col("__r") * F.cos("__t")).cast("float").alias("a"),
-                     (F.lit(EMB_FILL_MEAN) + F.lit(EMB_FILL_STD) * F.col("__r") * F.sin("__t")).cast("float").alias("b"))
-        g = p.groupBy(*cols).agg(F.sort_array(F.collect_list(F.struct("__j", "a", "b"))).alias("__z"))
-        return g.select(*cols, F.slice(F.flatten(F.transform("__z", lambda z: F.array(z["a"], z["b"]))), 1, dim)
-                        .alias("vec"))
-    if kind == "uniform":
+        p = p.select(*cols, "__kept", "__j", r.alias("__r"), th.alias("__t"))
+        a = (F.lit(EMB_FILL_MEAN) + F.lit(EMB_FILL_STD) * F.col("__r") * F.cos("__t")).cast("float")
+        b = (F.lit(EMB_FILL_MEAN) + F.lit(EMB_FILL_STD) * F.col("__r") * F.sin("__t")).cast("float")
+        item = F.when(F.col("__j").isNotNull(), F.struct(F.col("__j"), a.alias("a"), b.alias("b")))
+        g = p.groupBy(*cols).agg(F.first("__kept", ignorenulls=True).alias("__kept"),
+                                 F.sort_array(F.collect_list(item)).alias("__z"))
+        drawn = F.slice(F.flatten(F.transform("__z", lambda z: F.array(z["a"], z["b"]))), 1, dim)
+    else:
         span = EMB_FILL_UNIFORM_HIGH - EMB_FILL_UNIFORM_LOW
-        p = keys.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("__k"))
-        u = seeded_uniform(seed, F.col(id_col), F.col("__k"))
-        p = p.select(*cols, "__k", (F.lit(EMB_FILL_UNIFORM_LOW) + F.lit(span) * u).cast("float").alias("a"))
-        g = p.groupBy(*cols).agg(F.sort_array(F.collect_list(F.struct("__k", "a"))).alias("__z"))
-        return g.select(*cols, F.transform("__z", lambda z: z["a"]).alias("vec"))
-    raise ValueError(kind)
+        u = seeded_uniform(seed, F.col(id_col), F.col("__j"))
+        a = (F.lit(EMB_FILL_UNIFORM_LOW) + F.lit(span) * u).cast("float")
+        item = F.when(F.col("__j").isNotNull(), F.struct(F.col("__j"), a.alias("a")))
+        g = p.groupBy(*cols).agg(F.first("__kept", ignorenulls=True).alias("__kept"),
+                                 F.sort_array(F.collect_list(item)).alias("__z"))
+        drawn = F.transform("__z", lambda z: z["a"])
+    return g.select(*cols, F.coalesce(F.col("__kept"), drawn).alias("vec"))
 
 
 # E1 (+ J5, J6)
@@ -74,7 +88,8 @@ def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, fill: str =
     v = vocab.select("token", F.col("id").cast("bigint").alias("id"))
     if cap is not None:
         v = v.where(F.col("id") < cap)
-    vec = vectors.select("token", F.col("vec").cast("array<float>").alias("vec"))
+    vec = broadcast_if_small(vectors.select("token", F.col("vec").cast("array<float>").alias("vec")),
+                             MAX_BROADCAST_VECTORS)
     out = v.join(vec.withColumnRenamed("vec", "__v1"), on="token", how="left")
     cols = [F.col("__v1")]
     if try_capitalized:
@@ -82,9 +97,8 @@ def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, fill: str =
         out = out.join(cap_vec, capitalize(out["token"]) == cap_vec["__ct"], "left").drop("__ct")
         cols.append(F.col("__v2"))
     found_vec = F.coalesce(*cols)
-    found = out.where(found_vec.isNotNull()).select("id", "token", found_vec.alias("vec"))
-    missing = out.where(found_vec.isNull()).select("id", "token")
-    res = found.unionByName(fill_table(missing, fill, seed, "id", dim).select("id", "token", "vec"))
+    res = fill_table(out.select("id", "token", found_vec.alias("__found")), fill, seed, "id", dim,
+                     keep_col="__found").select("id", "token", "vec")
     if special_rows:
         spark = vocab.sparkSession
         extra = spark.createDataFrame([(0, ""), (1, "UNK")], "id bigint, token string")
@@ -103,7 +117,8 @@ def pool(df: DataFrame, tokens_col: str, vectors: DataFrame, how: str = "avg", d
     known token get no row."""
     counts = (explode_tokens(df, tokens_col, "token", keep=[doc_col])
               .groupBy(doc_col, "token").agg(F.count(F.lit(1)).cast("double").alias("__n")))
-    vec = vectors.select("token", array_to_vector(F.col("vec")).alias("__vec"))
+    vec = broadcast_if_small(vectors.select("token", array_to_vector(F.col("vec")).alias("__vec")),
+                             MAX_BROADCAST_VECTORS)
     hit = counts.join(vec, on="token", how="inner")
     aggs = []
     if how in ("avg", "avg_max"):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from textmill.functions import text as T
 from textmill.functions.fixed import PAD_ID, UNK_ID
 from textmill.operators.rank import global_rank
+from textmill.session import broadcast_if_small
 
 BROADCAST_CAP = 2_000_000  # rows of (token, id): ~100 MB at most
 
@@ -67,12 +68,15 @@ def first_seen_vocab(df: DataFrame, tokens_col: str, doc_col: str = "doc_id", mi
 
 
 def _vocab_side(vocab: DataFrame, cap: int | None):
+    """The (token, id) side of an encoding join: broadcast when its size is
+    bounded by ``cap`` or measured below ``BROADCAST_CAP`` rows, otherwise a
+    shuffle join on token (hot words split by AQE's skew handling)."""
     v = vocab.select("token", F.col("id").cast("bigint").alias("id"))
     if cap is not None:
         v = v.where(F.col("id") < cap)
         if cap <= BROADCAST_CAP:
             return F.broadcast(v)
-    return v
+    return broadcast_if_small(v, BROADCAST_CAP)
 
 
 def _regroup(pos_ids: DataFrame, doc_col: str, out: str) -> DataFrame:
@@ -129,7 +133,7 @@ def encode_masked(df: DataFrame, tokens_col: str, vocab: DataFrame, n: int = 128
     attention mask of 1 on real positions.  Word ids are shifted by
     ``id_offset`` to make room for the two special ids (unknown stays 1)."""
     pos = positions(df, tokens_col, doc_col, max_pos=n - 2)
-    v = vocab.select("token", (F.col("id") + id_offset).cast("bigint").alias("id"))
+    v = _vocab_side(vocab.select("token", (F.col("id") + id_offset).alias("id")), None)
     ids = pos.join(v, on="token", how="left") \
         .withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID).cast("bigint")))
     enc = _keep_all_docs(df, _regroup(ids, doc_col, "ids"), doc_col, "ids")
@@ -164,6 +168,7 @@ def drop_tokens_join(df: DataFrame, tokens_col: str, words: DataFrame, doc_col:
     pos = positions(df, tokens_col, doc_col)
     key = F.col("token") if case_sensitive else F.lower("token")
     w = words.select((F.col("word") if case_sensitive else F.lower("word")).alias("__tm_w")).distinct()
+    w = broadcast_if_small(w, BROADCAST_CAP)
     kept = pos.join(w, key == w["__tm_w"], "left_anti")
     grouped = kept.groupBy(doc_col).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias(out))
@@ -177,7 +182,7 @@ def lemmatize(df: DataFrame, tokens_col: str, lemmas: DataFrame, doc_col: str =
     """Replace each token by its lemma from a (token, lemma) table; unknown
     tokens keep themselves."""
     pos = positions(df, tokens_col, doc_col)
-    lem = pos.join(lemmas.select("token", "lemma"), on="token", how="left") \
+    lem = pos.join(broadcast_if_small(lemmas.select("token", "lemma"), BROADCAST_CAP), on="token", how="left") \
         .withColumn("lemma", F.coalesce(F.col("lemma"), F.col("token")))
     grouped = lem.groupBy(doc_col).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "lemma"))), lambda s: s["lemma"]).alias(out))

@@ -68,3 +68,18 @@ def bounded_rows(df: DataFrame, max_rows: int) -> list | None:
     """
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
+
+
+def small_enough(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` provably has at most ``max_rows`` rows (the scan stops
+    after ``max_rows + 1``).  Use on inputs that are cheap to read (files,
+    checkpoints), before deciding to broadcast them."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``broadcast(df)`` behind a measured size bound; otherwise ``df`` as is
+    (a shuffle join, which AQE may still turn into a broadcast at run time
+    from the shuffle's real size)."""
+    from pyspark.sql.functions import broadcast
+    return broadcast(df) if small_enough(df, max_rows) else df
