@@ -38,11 +38,13 @@ def range_bucket(col: str, lo: int, hi: int, n_buckets: int = 1 << DEFAULT_BUCKE
 
 
 def bucketed_rank(df: DataFrame, partition_cols: list[str], order_cols: list[str],
-                  bucket, out: str = "rank") -> DataFrame:
+                  bucket, out: str = "rank", total: str | None = None) -> DataFrame:
     """Add ``out`` = 1-based rank of each row inside ``partition_cols`` by
     ``order_cols`` (ascending; must be unique inside a partition).
 
-    ``bucket`` is a Column monotone in the first order column.
+    ``bucket`` is a Column monotone in the first order column.  With
+    ``total`` the partition's row count is added too, read off the same
+    small count table (no second pass over the rows).
     """
     b = "__tm_bucket"
     with_b = df.withColumn(b, bucket)
@@ -51,7 +53,11 @@ def bucketed_rank(df: DataFrame, partition_cols: list[str], order_cols: list[str
     running = Window.partitionBy(*partition_cols).orderBy(b).rowsBetween(
         Window.unboundedPreceding, Window.currentRow) if partition_cols else \
         Window.orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(*keys, (F.sum("__tm_n").over(running) - F.col("__tm_n")).alias("__tm_off"))
+    extra = []
+    if total:
+        whole = Window.partitionBy(*partition_cols) if partition_cols else Window.partitionBy()
+        extra = [F.sum("__tm_n").over(whole).alias(total)]
+    offsets = counts.select(*keys, (F.sum("__tm_n").over(running) - F.col("__tm_n")).alias("__tm_off"), *extra)
     local = Window.partitionBy(*keys).orderBy(*order_cols)
     ranked = with_b.withColumn("__tm_local", F.row_number().over(local))
     return (ranked.join(offsets, on=keys, how="inner")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.hashing import seeded_hash, seeded_uniform
 from textmill.operators.rank import bucketed_rank, hash_bucket, range_bucket
-from textmill.session import bounded_rows
+from textmill.session import barrier, bounded_rows
 
 MAX_CLASSES = 100_000  # class-size tables above this take the join path
 
@@ -24,20 +24,16 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("class_n"))
 
 
-def rank_in_class(df: DataFrame, label: str, seed, key_cols: list[str], out: str = "rank") -> DataFrame:
-    """Seeded random order inside each class, exact 1-based rank (H1)."""
+def rank_in_class(df: DataFrame, label: str, seed, key_cols: list[str], out: str = "rank",
+                  total: str | None = None) -> DataFrame:
+    """Seeded random order inside each class, exact 1-based rank (H1); with
+    ``total`` also the class size."""
     h = "__tm_h"
     with_h = df.withColumn(h, seeded_hash(seed, *key_cols))
-    ranked = bucketed_rank(with_h, [label], [h] + key_cols, hash_bucket(h), out=out)
+    ranked = bucketed_rank(with_h, [label], [h] + key_cols, hash_bucket(h), out=out, total=total)
     return ranked.drop(h)
 
 
-def _with_sizes(df: DataFrame, label: str) -> DataFrame:
-    # The size table has one row per class; AQE broadcasts it at run time
-    # once its real size is known.
-    return df.join(class_sizes(df, label), on=label, how="inner")
-
-
 # B3
 def stratified_split(df: DataFrame, label: str, test_share: float, seed,
                      key_cols: list[str] | None = None, split_col: str = "split",
@@ -46,7 +42,7 @@ def stratified_split(df: DataFrame, label: str, test_share: float, seed,
     to the test split.  Rounding is per class (the reference's library
     balances remainders across classes: totals may differ by one)."""
     key_cols = key_cols or ["doc_id"]
-    ranked = _with_sizes(rank_in_class(df.where(F.col(label).isNotNull()), label, seed, key_cols), label)
+    ranked = rank_in_class(df.where(F.col(label).isNotNull()), label, seed, key_cols, total="class_n")
     n_test = F.round(F.col("class_n") * F.lit(test_share))
     return (ranked.withColumn(split_col, F.when(F.col("rank") <= n_test, F.lit(names[1]))
                               .otherwise(F.lit(names[0])))
@@ -134,9 +130,11 @@ def split_by_row(df: DataFrame, label: str, test_share: float, seed,
     both splits; the val share exceeds ``test_share``.
 
     The per-row flag is a partial-aggregated group by ``row_key``; joining it
-    back is skew-safe (AQE splits a hot row's copies)."""
+    back is skew-safe (AQE splits a hot row's copies).  The tagged copies
+    feed both sides, so they are written once to the checkpoint folder
+    instead of being drawn and ranked twice."""
     key_cols = key_cols or [row_key, "copy_no"]
-    tagged = stratified_split(df, label, test_share, seed, key_cols, "__tm_s", names)
+    tagged = barrier(stratified_split(df, label, test_share, seed, key_cols, "__tm_s", names))
     flag = (tagged.groupBy(row_key)
             .agg(F.max((F.col("__tm_s") == F.lit(names[1])).cast("int")).alias("__tm_v")))
     return (tagged.join(flag, on=row_key, how="inner")
