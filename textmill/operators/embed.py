@@ -1,11 +1,11 @@
 """Embeddings.
 
-Pooling works on (document, token, count) rows, not on one row per token
-occurrence: repeated words are counted before the vector join, and the mean
-is a weighted ``Summarizer`` aggregate (one JVM aggregate per document
-group, no explode of vector dimensions).  The vector table is joined on
-``token``; it is usually too large to broadcast, so this is a shuffle join
-whose hot words AQE's skew handling splits.
+Pooling is a weighted ``Summarizer`` aggregate per document (one JVM
+aggregate, no explode of vector dimensions).  A vector table proven small
+(row count checked) is broadcast and token rows join it directly; a larger
+one is a shuffle join on ``token``, fed (document, token, count) rows so
+repeated words do not multiply the join input, with hot words split by
+AQE's skew handling.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from textmill.functions.fixed import (
 )
 from textmill.functions.hashing import hex_uniform, seeded_uniform
 from textmill.functions.text import capitalize, explode_tokens
-from textmill.session import broadcast_if_small
+from textmill.session import broadcast_if_small, small_enough
 
 # Word-vector tables up to this many rows are broadcast (300 floats a row:
 # about 60 MB); larger ones are shuffle-joined on token.
@@ -115,11 +115,17 @@ def pool(df: DataFrame, tokens_col: str, vectors: DataFrame, how: str = "avg", d
     (concatenation).  ``oov='skip'`` averages over tokens with a vector,
     ``'zero'`` counts unknown tokens as zero vectors.  Documents without any
     known token get no row."""
-    counts = (explode_tokens(df, tokens_col, "token", keep=[doc_col])
-              .groupBy(doc_col, "token").agg(F.count(F.lit(1)).cast("double").alias("__n")))
-    vec = broadcast_if_small(vectors.select("token", array_to_vector(F.col("vec")).alias("__vec")),
-                             MAX_BROADCAST_VECTORS)
-    hit = counts.join(vec, on="token", how="inner")
+    vec = vectors.select("token", array_to_vector(F.col("vec")).alias("__vec"))
+    if small_enough(vec, MAX_BROADCAST_VECTORS):
+        # broadcast side: join token rows directly; every document's tokens
+        # sit in one task, so the per-document aggregate combines map-side
+        counts = explode_tokens(df, tokens_col, "token", keep=[doc_col]).withColumn("__n", F.lit(1.0))
+        hit = counts.join(F.broadcast(vec), on="token", how="inner")
+    else:
+        # shuffle join on token: count repeated words first to shrink it
+        counts = (explode_tokens(df, tokens_col, "token", keep=[doc_col])
+                  .groupBy(doc_col, "token").agg(F.count(F.lit(1)).cast("double").alias("__n")))
+        hit = counts.join(vec, on="token", how="inner")
     aggs = []
     if how in ("avg", "avg_max"):
         if oov == "skip":

@@ -25,8 +25,14 @@ from textmill.session import broadcast_if_small
 BROADCAST_CAP = 2_000_000  # rows of (token, id): ~100 MB at most
 
 
-def positions(df: DataFrame, tokens_col: str, doc_col: str = "doc_id", max_pos: int | None = None) -> DataFrame:
-    """(doc, pos, token) rows; ``max_pos`` cuts before anything else."""
+def positions(df: DataFrame, tokens_col: str, doc_col: str = "doc_id", max_pos: int | None = None,
+              keep_empty: bool = False) -> DataFrame:
+    """(doc, pos, token) rows; ``max_pos`` cuts before anything else.  With
+    ``keep_empty`` a document without tokens keeps one row with null
+    ``pos``/``token`` (so it survives to the regroup without a join back)."""
+    if keep_empty:
+        out = df.select(doc_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
+        return out.where(F.col("pos").isNull() | (F.col("pos") < max_pos)) if max_pos is not None else out
     out = T.explode_tokens(df, tokens_col, "token", keep=[doc_col], with_pos=True)
     return out.where(F.col("pos") < max_pos) if max_pos is not None else out
 
@@ -80,13 +86,12 @@ def _vocab_side(vocab: DataFrame, cap: int | None):
 
 
 def _regroup(pos_ids: DataFrame, doc_col: str, out: str) -> DataFrame:
+    """Ids per document in position order; rows with a null id (empty
+    documents, dropped tokens) contribute nothing, so such a document gets
+    an empty array.  ``collect_list`` skips the nulls."""
+    item = F.when(F.col("id").isNotNull(), F.struct("pos", "id"))
     return pos_ids.groupBy(doc_col).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias(out))
-
-
-def _keep_all_docs(df: DataFrame, enc: DataFrame, doc_col: str, out: str) -> DataFrame:
-    return (df.select(doc_col).join(enc, on=doc_col, how="left")
-            .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<bigint>"))))
+        F.transform(F.sort_array(F.collect_list(item)), lambda s: s["id"]).alias(out))
 
 
 # V3 + J4
@@ -94,9 +99,9 @@ def encode_drop(df: DataFrame, tokens_col: str, vocab: DataFrame, cap: int | Non
                 doc_col: str = "doc_id", out: str = "ids") -> DataFrame:
     """Token ids in order; unknown tokens (and ids >= ``cap``) vanish.  A text
     with no known word keeps an empty array."""
-    pos = positions(df, tokens_col, doc_col)
-    hit = pos.join(_vocab_side(vocab, cap), on="token", how="inner")
-    return _keep_all_docs(df, _regroup(hit, doc_col, out), doc_col, out)
+    pos = positions(df, tokens_col, doc_col, keep_empty=True)
+    hit = pos.join(_vocab_side(vocab, cap), on="token", how="left")
+    return _regroup(hit, doc_col, out)
 
 
 # V5
@@ -118,10 +123,10 @@ def encode_fixed(df: DataFrame, tokens_col: str, vocab: DataFrame, n: int = 70,
                  doc_col: str = "doc_id", out: str = "encoded", len_col: str = "length") -> DataFrame:
     """First ``n`` tokens as ids (unknown -> 1), zeros behind, and the true
     length ``min(n, tokens)``.  Positions >= n are cut before the join."""
-    pos = positions(df, tokens_col, doc_col, max_pos=n)
+    pos = positions(df, tokens_col, doc_col, max_pos=n, keep_empty=True)
     ids = pos.join(_vocab_side(vocab, None), on="token", how="left") \
-        .withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID).cast("bigint")))
-    enc = _keep_all_docs(df, _regroup(ids, doc_col, out), doc_col, out)
+        .withColumn("id", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID).cast("bigint"))))
+    enc = _regroup(ids, doc_col, out)
     return enc.select(doc_col, pad(out, n, padding="post", truncating="post").alias(out),
                       F.size(out).cast("int").alias(len_col))
 
@@ -132,11 +137,11 @@ def encode_masked(df: DataFrame, tokens_col: str, vocab: DataFrame, n: int = 128
     """[cls] ids [sep], cut so the whole fits ``n``, zeros behind, and an
     attention mask of 1 on real positions.  Word ids are shifted by
     ``id_offset`` to make room for the two special ids (unknown stays 1)."""
-    pos = positions(df, tokens_col, doc_col, max_pos=n - 2)
+    pos = positions(df, tokens_col, doc_col, max_pos=n - 2, keep_empty=True)
     v = _vocab_side(vocab.select("token", (F.col("id") + id_offset).alias("id")), None)
     ids = pos.join(v, on="token", how="left") \
-        .withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID).cast("bigint")))
-    enc = _keep_all_docs(df, _regroup(ids, doc_col, "ids"), doc_col, "ids")
+        .withColumn("id", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID).cast("bigint"))))
+    enc = _regroup(ids, doc_col, "ids")
     body = F.concat(F.array(F.lit(cls_id).cast("bigint")), F.col("ids"), F.array(F.lit(sep_id).cast("bigint")))
     real = F.size(body)
     return enc.select(doc_col, pad(body, n, padding="post", truncating="post").alias("input_ids"),
