@@ -64,7 +64,7 @@ def q_accuracy(spark, sf):
 
 
 @query("x2_accuracy_per_class", sql=f"""
-SELECT label, sum(CAST(pred = label AS BIGINT)) AS hits, count(*) AS total,
+SELECT label, CAST(sum(CAST(pred = label AS BIGINT)) AS BIGINT) AS hits, count(*) AS total,
        {r6('sum(CAST(pred = label AS BIGINT)) / count(*)')} AS accuracy
 FROM {PRED_SQL} GROUP BY label""")
 def q_accuracy_per_class(spark, sf):

@@ -178,7 +178,7 @@ def q_min_count(spark, sf):
 
 
 @query("a10_min_count_report", sql=f"""
-SELECT count(*) AS words_before, count_if(freq >= 2) AS words_after FROM
+SELECT count(*) AS words_before, CAST(count_if(freq >= 2) AS BIGINT) AS words_after FROM
 (SELECT token, count(*) AS freq FROM (SELECT unnest({S.tokenize('text')}) AS token FROM documents) GROUP BY token)""")
 def q_min_count_report(spark, sf):
     counts = A.word_counts(docs(spark, sf).select(T.tokenize("text").alias("tokens")), "tokens")
