@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.functions.hashing import seeded_hash, seeded_uniform
 from textmill.operators.rank import bucketed_rank, hash_bucket, range_bucket
@@ -107,16 +108,18 @@ def resample_to_class(df: DataFrame, label: str, target, seed, key_cols: list[st
     kept = base.where(F.col(label) == F.lit(target)).withColumn(copy_col, F.lit(0).cast("bigint"))
     if not others or t == 0:
         return kept
+    # class index -> (class, size): at most MAX_CLASSES rows, already on the
+    # driver, so it is broadcast with a proven bound
     label_type = base.schema[label].dataType
-    cls_arr = F.array(*[F.lit(c) for c in others])
-    n_arr = F.array(*[F.lit(n_of[c]) for c in others])
-    draws = spark.range(0, t * len(others))
-    ci = (F.col("id") / F.lit(t)).cast("int") + 1
-    draws = draws.select(F.element_at(cls_arr, ci).cast(label_type).alias(label),
-                         (F.col("id") % F.lit(t)).alias(copy_col),
-                         F.element_at(n_arr, ci).alias("__tm_n"))
-    draws = draws.withColumn("rank", F.pmod(seeded_hash(f"{seed}:draw", label, copy_col),
-                                            F.col("__tm_n")) + 1).drop("__tm_n")
+    classes = spark.createDataFrame([(i, c, n_of[c]) for i, c in enumerate(others)],
+                                    T.StructType([T.StructField("__tm_ci", T.LongType()),
+                                                  T.StructField(label, label_type),
+                                                  T.StructField("__tm_n", T.LongType())]))
+    draws = spark.range(0, t * len(others)).select(
+        (F.col("id") / F.lit(t)).cast("bigint").alias("__tm_ci"), (F.col("id") % F.lit(t)).alias(copy_col))
+    draws = draws.join(F.broadcast(classes), on="__tm_ci", how="inner")
+    draws = draws.select(label, copy_col, (F.pmod(seeded_hash(f"{seed}:draw", label, copy_col),
+                                                  F.col("__tm_n")) + 1).alias("rank"))
     drawn = draws.join(ranked, on=[label, "rank"], how="inner").drop("rank")
     return kept.unionByName(drawn.select(*kept.columns))
 
