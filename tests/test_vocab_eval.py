@@ -216,3 +216,51 @@ def test_fast_contraction_pattern_equals_plain():
 def test_stop_words_without_jvm_equal_spark(spark):
     from pyspark.ml.feature import StopWordsRemover
     assert T.default_stop_words() == list(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def _docs(spark, parts=None, shuffled=False):
+    import random
+    texts = ["b a a c", "c a b d", "e e a", "", "a b c d e f", "zz yy a"] * 5
+    rows = [(i, t) for i, t in enumerate(texts)]
+    if shuffled:
+        random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", T.tokenize("text"))
+    return df.repartition(parts) if parts else df
+
+
+def test_vocab_and_encoding_partition_independent(spark):
+    def run(df):
+        v1 = sorted(V.freq_vocab(df, "tokens").collect())
+        v2 = V.first_seen_vocab(df, "tokens", min_count=2)
+        enc = sorted(V.encode_fixed(df, "tokens", v2, n=4).collect())
+        return v1, sorted(v2.collect()), enc
+    base = run(_docs(spark))
+    for parts in (1, 4, 17):
+        assert run(_docs(spark, parts, shuffled=True)) == base
+
+
+def test_map_label_missing_key_fails(spark):
+    from textmill.operators.projection import map_label
+    ok = spark.createDataFrame([(1,), (5,)], "star int")
+    m = {1: 0, 2: 1, 3: 2, 4: 3, 5: 4}
+    assert [r.star for r in map_label(ok, "star", m).collect()] == [0, 4]
+    bad = spark.createDataFrame([(6,)], "star int")
+    with pytest.raises(Exception):
+        map_label(bad, "star", m).collect()
+
+
+def test_density_integrates_to_one(spark):
+    from textmill.operators.stats import density, histogram
+    df = spark.createDataFrame([(float(x),) for x in [1, 2, 2, 3, 3, 3, 4, 4, 5, 9]], "v double")
+    d = sorted(density(df, "v", grid=2000).collect())
+    step = d[1].x - d[0].x
+    assert abs(sum(r.density for r in d) * step - 1.0) < 0.02
+    h = {r.bin: r["count"] for r in histogram(df, "v", 4).collect()}
+    assert h == {0: 3, 1: 5, 2: 1, 3: 1}  # = numpy.histogram(bins=4); the max lands in the last bin
+
+
+def test_histogram_keeps_empty_bins(spark):
+    from textmill.operators.stats import histogram
+    df = spark.createDataFrame([(0.0,), (0.1,), (10.0,)], "v double")
+    h = {r.bin: r["count"] for r in histogram(df, "v", 5).collect()}
+    assert h == {0: 2, 1: 0, 2: 0, 3: 0, 4: 1}  # = numpy.histogram(bins=5)
