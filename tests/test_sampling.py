@@ -142,3 +142,12 @@ def test_edge_inputs(spark):
     assert B.resample_to_class(one, "label", 7, 1).count() == 5
     nulls = spark.createDataFrame([(0, None), (1, 1), (2, 1)], "doc_id long, label int")
     assert B.stratified_split(nulls, "label", 0.5, 1).count() == 2
+
+
+def test_bucket_bits_conf_does_not_change_results(spark):
+    base = sorted(B.stratified_split(classes_df(spark), "label", 0.3, 4).collect())
+    spark.conf.set("textmill.rank.bucketBits", "2")
+    try:
+        assert sorted(B.stratified_split(classes_df(spark), "label", 0.3, 4).collect()) == base
+    finally:
+        spark.conf.unset("textmill.rank.bucketBits")

@@ -264,3 +264,15 @@ def test_histogram_keeps_empty_bins(spark):
     df = spark.createDataFrame([(0.0,), (0.1,), (10.0,)], "v double")
     h = {r.bin: r["count"] for r in histogram(df, "v", 5).collect()}
     assert h == {0: 2, 1: 0, 2: 0, 3: 0, 4: 1}  # = numpy.histogram(bins=5)
+
+
+def test_freq_vocab_large_cap_path_equals_topk(spark):
+    d = V.vocab_tokens(_docs(spark), "text")
+    small = sorted(V.freq_vocab(d, "tokens", cap=4).collect())
+    old = V.TOPK_MAX
+    try:
+        V.TOPK_MAX = 1  # force the global-rank path
+        big = sorted(V.freq_vocab(d, "tokens", cap=4).collect())
+    finally:
+        V.TOPK_MAX = old
+    assert small == big and len(small) == 3

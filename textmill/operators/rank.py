@@ -24,6 +24,15 @@ from pyspark.sql import functions as F
 from textmill.functions.hashing import HASH_BITS
 
 DEFAULT_BUCKET_BITS = 12  # 4,096 buckets per class
+BUCKET_BITS_CONF = "textmill.rank.bucketBits"
+
+
+def bucket_bits(spark) -> int:
+    """Buckets per class as a power of two, from the session conf
+    ``textmill.rank.bucketBits`` (default 12).  Rows per window task are
+    about class size / 2^bits: a 100 TB job with a 10^11-row class would set
+    16 or more; the count table grows to classes x 2^bits rows."""
+    return int(spark.conf.get(BUCKET_BITS_CONF, str(DEFAULT_BUCKET_BITS)))
 
 
 def hash_bucket(hash_col: str, bits: int = DEFAULT_BUCKET_BITS):

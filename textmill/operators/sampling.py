@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.hashing import seeded_hash, seeded_uniform
-from textmill.operators.rank import bucketed_rank, hash_bucket, range_bucket
+from textmill.operators.rank import bucket_bits, bucketed_rank, hash_bucket, range_bucket
 from textmill.session import barrier, bounded_rows
 
 MAX_CLASSES = 100_000  # class-size tables above this take the join path
@@ -31,7 +31,8 @@ def rank_in_class(df: DataFrame, label: str, seed, key_cols: list[str], out: str
     ``total`` also the class size."""
     h = "__tm_h"
     with_h = df.withColumn(h, seeded_hash(seed, *key_cols))
-    ranked = bucketed_rank(with_h, [label], [h] + key_cols, hash_bucket(h), out=out, total=total)
+    bits = bucket_bits(df.sparkSession)
+    ranked = bucketed_rank(with_h, [label], [h] + key_cols, hash_bucket(h, bits), out=out, total=total)
     return ranked.drop(h)
 
 
@@ -64,7 +65,7 @@ def fraction_split(df: DataFrame, frac: float, seed, key_cols: list[str] | None
     n = df.count()
     h = "__tm_h"
     ranked = bucketed_rank(df.withColumn(h, seeded_hash(seed, *key_cols)), [], [h] + key_cols,
-                           hash_bucket(h), out="__tm_r")
+                           hash_bucket(h, bucket_bits(df.sparkSession)), out="__tm_r")
     k = int(round(frac * n))
     return (ranked.withColumn(split_col, F.when(F.col("__tm_r") <= k, F.lit(names[0]))
                               .otherwise(F.lit(names[1]))).drop(h, "__tm_r"))
@@ -164,7 +165,8 @@ def holdout(df: DataFrame, share: float, order_col: str = "doc_id", split_col: s
     if not r.n:
         return df.withColumn(split_col, F.lit(names[0]))
     split_at = int(r.n * (1 - share))
-    ranked = bucketed_rank(df, [], [order_col], range_bucket(order_col, r.lo, r.hi), out="__tm_r")
+    ranked = bucketed_rank(df, [], [order_col],
+                           range_bucket(order_col, r.lo, r.hi, 1 << bucket_bits(df.sparkSession)), out="__tm_r")
     return (ranked.withColumn(split_col, F.when(F.col("__tm_r") <= split_at, F.lit(names[0]))
                               .otherwise(F.lit(names[1]))).drop("__tm_r"))
 

@@ -23,6 +23,7 @@ from textmill.operators.rank import global_rank
 from textmill.session import broadcast_if_small
 
 BROADCAST_CAP = 2_000_000  # rows of (token, id): ~100 MB at most
+TOPK_MAX = 10_000  # vocabulary caps up to this use a top-k, larger ones a global rank
 
 
 def positions(df: DataFrame, tokens_col: str, doc_col: str = "doc_id", max_pos: int | None = None,
@@ -54,14 +55,18 @@ def _first_seen_counts(df: DataFrame, tokens_col: str, doc_col: str) -> DataFram
 def freq_vocab(df: DataFrame, tokens_col: str, doc_col: str = "doc_id", cap: int | None = None) -> DataFrame:
     """(token, freq, id): ids from 1 by falling count, ties by first
     appearance (doc order, then position).  With ``cap`` only ids below it
-    are kept: a top-k of ``cap - 1`` rows, then a window over those rows."""
+    are kept.  A small cap is a top-k (bounded heaps, one merge of
+    ``cap`` rows per partition) plus a window over those rows; above
+    ``TOPK_MAX`` that merge would pull cap x partitions rows into one task,
+    so the distributed global rank is filtered instead."""
     counts = _first_seen_counts(df, tokens_col, doc_col)
     order = [F.desc("freq"), F.asc("first")]
-    if cap is not None:
+    if cap is not None and cap <= TOPK_MAX:
         top = counts.orderBy(*order).limit(cap - 1)
         w = Window.orderBy(*order)
         return top.select("token", "freq", F.row_number().over(w).cast("bigint").alias("id"))
-    return global_rank(counts, order, out="id").select("token", "freq", "id")
+    ranked = global_rank(counts, order, out="id").select("token", "freq", "id")
+    return ranked.where(F.col("id") < cap) if cap is not None else ranked
 
 
 # V2
