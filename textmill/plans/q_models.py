@@ -109,6 +109,19 @@ def q_m3(spark, sf):
     return M.predict_multilabel(d, "doc_vec", models).select("doc_id", "labels", "result")
 
 
+@query("m3_multilabel_validation")
+def q_m3_val(spark, sf):
+    """M3 with a 0.1 validation share held out; X9 report on it."""
+    lab = table(spark, sf, "labels")
+    labels_arr = F.filter(F.array(F.when(F.col("quality") == 1, F.lit("quality")),
+                                  F.when(F.col("toxic") == 1, F.lit("toxic"))), lambda x: x.isNotNull())
+    d = table(spark, sf, "documents").select("doc_id", "text").join(
+        lab.select("doc_id", labels_arr.alias("labels")), on="doc_id")
+    d = M.encode_batch(d, "text", M.hashing_encoder(64), 64)
+    _, report = M.fit_multilabel_with_validation(d, "doc_vec", "labels", ["quality", "toxic"], 0.1)
+    return report
+
+
 @query("m4_bow_svm")
 def q_m4(spark, sf):
     s = stratified_split(_docs_text(spark, sf), "lang", 0.33, SEED).withColumn("tokens", T.tokenize("text"))
