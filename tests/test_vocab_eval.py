@@ -276,3 +276,10 @@ def test_freq_vocab_large_cap_path_equals_topk(spark):
     finally:
         V.TOPK_MAX = old
     assert small == big and len(small) == 3
+
+
+def test_save_and_load_vocab(spark, tmp_path):
+    d = V.vocab_tokens(two_texts(spark), "text")
+    v1 = V.freq_vocab(d, "tokens")
+    io.save_vocab(v1, str(tmp_path / "vocab"))
+    assert sorted(io.load_vocab(spark, str(tmp_path / "vocab")).collect()) == sorted(v1.collect())

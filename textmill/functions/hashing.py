@@ -33,14 +33,6 @@ def seeded_uniform(seed, *cols) -> Column:
     return (seeded_hash(seed, *cols).cast("double") + F.lit(0.5)) / F.lit(HASH_SPAN)
 
 
-def seeded_normal(seed, *cols, mean: float = 0.0, std: float = 1.0) -> Column:
-    """Normal draw by Box-Muller over two independent seeded uniforms."""
-    u1 = seeded_uniform(f"{seed}:u1", *cols)
-    u2 = seeded_uniform(f"{seed}:u2", *cols)
-    z = F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-    return F.lit(mean) + F.lit(std) * z
-
-
 def sql_hash(seed, *exprs: str) -> str:
     """DuckDB twin of :func:`seeded_hash` over SQL expressions."""
     parts = [f"'{seed}'"] + [f"CAST({e} AS VARCHAR)" for e in exprs]
@@ -51,38 +43,15 @@ def sql_uniform(seed, *exprs: str) -> str:
     return f"(({sql_hash(seed, *exprs)})::DOUBLE + 0.5) / {HASH_SPAN!r}"
 
 
-def sql_normal(seed, *exprs: str, mean: float = 0.0, std: float = 1.0) -> str:
-    u1 = sql_uniform(f"{seed}:u1", *exprs)
-    u2 = sql_uniform(f"{seed}:u2", *exprs)
-    return f"({mean!r} + {std!r} * sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r} * {u2}))"
-
-
 def hex_uniform(h, start: int):
     """Uniform in (0, 1) from 15 hex digits of a digest starting at ``start``."""
     return (F.conv(F.substring(h, start, 15), 16, 10).cast("double") + F.lit(0.5)) / F.lit(HASH_SPAN)
 
 
-def seeded_normal_vector(seed, id_col, dim: int, mean: float = 0.0, std: float = 1.0) -> Column:
-    """``dim`` normal draws for one key: one md5 of (seed, key, j) per pair
-    j gives two uniforms (hex digits 1-15 and 16-30), and Box-Muller turns
-    them into two normals (cos and sin).
-
-    Built as a plain ``array`` of ``dim`` expressions (``dim`` is known on
-    the driver), not a ``transform`` lambda: higher-order functions are
-    interpreted, while these compile into the stage's generated code, and
-    subexpression elimination shares each digest between its two normals."""
-    key = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")
-    out = []
-    for j in range((dim + 1) // 2):
-        h = F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.lit(str(j))))
-        r = F.sqrt(F.lit(-2.0) * F.ln(hex_uniform(h, 1)))
-        th = F.lit(2.0 * math.pi) * hex_uniform(h, 16)
-        out += [F.lit(mean) + F.lit(std) * r * F.cos(th), F.lit(mean) + F.lit(std) * r * F.sin(th)]
-    return F.array(*out[:dim])
-
-
 def sql_normal_vector(seed, id_expr: str, dim: int, mean: float = 0.0, std: float = 1.0) -> str:
-    """DuckDB twin of :func:`seeded_normal_vector`."""
+    """DuckDB twin of the normal fill in ``operators.embed.fill_table``: one md5 of
+    (seed, key, j) per pair j, two uniforms from hex digits 1-15 and 16-30,
+    Box-Muller cos and sin."""
     n_pairs = (dim + 1) // 2
     hexes = (f"list_transform(range({n_pairs}), lambda j: md5(concat_ws(':', '{seed}', "
              f"CAST({id_expr} AS VARCHAR), CAST(j AS VARCHAR))))")
