@@ -148,9 +148,8 @@ def _stops_sql() -> str:
 SELECT doc_id, list_filter({S.tokenize('text')}, lambda t: NOT list_contains({_stops_sql()}, t)) AS tokens
 FROM documents""")
 def q_j8(spark, sf):
-    spark_ = spark
     d = docs(spark, sf, "doc_id", "text").withColumn("tokens", T.tokenize("text"))
-    words = spark_.createDataFrame([(w,) for w in T.default_stop_words()], "word string")
+    words = spark.createDataFrame([(w,) for w in T.default_stop_words()], "word string")
     return V.drop_tokens_join(d, "tokens", words)
 
 
