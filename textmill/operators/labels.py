@@ -7,9 +7,11 @@ join and no shuffle at all.  Above that it stays a table and is joined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from textmill.operators.rank import global_rank
 from textmill.operators.stats import distinct_labels
 from textmill.session import bounded_rows
 
@@ -19,16 +21,27 @@ MAX_LITERAL = 10_000
 def code_table(df: DataFrame, label: str, by: str = "first_seen", order_col: str = "doc_id",
                code: str = "code") -> DataFrame:
     """``label -> code`` from 0: by first appearance (L1) or sorted value (L2).
-    The window runs over the distinct-label table, never over the rows."""
+
+    Works on the distinct-label table, never on the rows.  When that table
+    is provably small (``MAX_LITERAL`` rows) the codes are assigned from
+    its rows on the driver; otherwise by the distributed global rank."""
     if by == "first_seen":
-        firsts = distinct_labels(df, label, order_col)
-        w = Window.orderBy("first_seen", label)
-        return firsts.select(label, (F.row_number().over(w) - 1).alias(code))
-    if by == "sorted":
-        w = Window.orderBy(label)
-        return (df.where(F.col(label).isNotNull()).select(label).distinct()
-                .select(label, (F.row_number().over(w) - 1).alias(code)))
-    raise ValueError(by)
+        keyed = distinct_labels(df, label, order_col)
+        order = ["first_seen", label]
+    elif by == "sorted":
+        keyed = df.where(F.col(label).isNotNull()).select(label).distinct()
+        order = [label]
+    else:
+        raise ValueError(by)
+    rows = bounded_rows(keyed, MAX_LITERAL)
+    spark = df.sparkSession
+    label_type = df.schema[label].dataType
+    schema = T.StructType([T.StructField(label, label_type), T.StructField(code, T.IntegerType())])
+    if rows is not None:
+        ranked = sorted(rows, key=lambda r: tuple(r[c] for c in order))
+        return spark.createDataFrame([(r[label], i) for i, r in enumerate(ranked)], schema)
+    g = global_rank(keyed, [F.asc(c) for c in order], out="__tm_r")
+    return g.select(label, (F.col("__tm_r") - 1).cast("int").alias(code))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, label: str, code: str = "code",
