@@ -50,3 +50,18 @@ def test_oracle_equal_small(spark, name):
     got = sorted(tuple(_norm(v) for v in r) for r in df.collect())
     want = sorted(tuple(_norm(r[i]) for i in idx) for r in orows)
     assert got == want
+
+
+def test_entry_first_in_fresh_process():
+    """The driver may call entry() before queries(): run that order in a
+    fresh interpreter (this test session has already loaded the registry)."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "import __spark_entry__ as E\n"
+            "df = E.entry(s); n = len(df.collect()); s.stop()\n"
+            "print('ROWS', n, df.columns)\n") % os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
