@@ -149,10 +149,13 @@ def pool(df: DataFrame, tokens_col: str, vectors: DataFrame, how: str = "avg", d
 # E5
 def train_word_vectors(df: DataFrame, tokens_col: str, dim: int = 100, min_count: int = 5,
                        seed: int = 42, max_iter: int = 1, window: int = 5,
-                       num_partitions: int = 1) -> DataFrame:
+                       num_partitions: int | None = None) -> DataFrame:
     """Word vectors trained with Spark ML ``Word2Vec``, standing in for the
-    downloaded ones: (token, vec array<float>)."""
+    downloaded ones: (token, vec array<float>).  Trains on
+    ``num_partitions`` tasks (default: the cluster's parallelism; Spark's
+    own default of 1 is a single task)."""
     from pyspark.ml.feature import Word2Vec
+    num_partitions = num_partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
     w2v = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=max_iter, windowSize=window,
                    inputCol=tokens_col, outputCol="__w2v", numPartitions=num_partitions)
     model = w2v.fit(df.select(tokens_col))
