@@ -283,3 +283,11 @@ def test_save_and_load_vocab(spark, tmp_path):
     v1 = V.freq_vocab(d, "tokens")
     io.save_vocab(v1, str(tmp_path / "vocab"))
     assert sorted(io.load_vocab(spark, str(tmp_path / "vocab")).collect()) == sorted(v1.collect())
+
+
+def test_bag_of_words_vector_form(spark):
+    d = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["b"])], "doc_id long, tokens array<string>")
+    model, out = V.bag_of_words(d, "tokens")
+    vocab = model.vocabulary
+    rows = {r.doc_id: r.features.toArray().tolist() for r in out.collect()}
+    assert rows[0][vocab.index("a")] == 2.0 and rows[0][vocab.index("b")] == 1.0 and rows[1][vocab.index("b")] == 1.0

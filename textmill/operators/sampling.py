@@ -19,6 +19,7 @@ from textmill.operators.rank import bucket_bits, bucketed_rank, hash_bucket, ran
 from textmill.session import barrier, bounded_rows
 
 MAX_CLASSES = 100_000  # class-size tables above this take the join path
+DRAWS_PER_TASK = 2_000_000  # resampling draws generated per task, at most about this many
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -116,7 +117,9 @@ def resample_to_class(df: DataFrame, label: str, target, seed, key_cols: list[st
                                     T.StructType([T.StructField("__tm_ci", T.LongType()),
                                                   T.StructField(label, label_type),
                                                   T.StructField("__tm_n", T.LongType())]))
-    draws = spark.range(0, t * len(others)).select(
+    total = t * len(others)
+    parts = max(spark.sparkContext.defaultParallelism, total // DRAWS_PER_TASK + 1)
+    draws = spark.range(0, total, numPartitions=parts).select(
         (F.col("id") / F.lit(t)).cast("bigint").alias("__tm_ci"), (F.col("id") % F.lit(t)).alias(copy_col))
     draws = draws.join(F.broadcast(classes), on="__tm_ci", how="inner")
     draws = draws.select(label, copy_col, (F.pmod(seeded_hash(f"{seed}:draw", label, copy_col),
