@@ -98,6 +98,23 @@ def q_pool_avg(spark, sf):
     return _pool(spark, sf, "avg")
 
 
+@query("e2_pool_avg_oov_zero", sql=f"""
+WITH wv AS {WV_SQL},
+toks AS (SELECT doc_id, unnest({S.tokenize('text')}) AS token FROM documents),
+t AS (SELECT doc_id, count(*) AS tot FROM toks GROUP BY doc_id),
+c AS (SELECT doc_id, token, count(*) AS n FROM toks GROUP BY doc_id, token),
+u AS (SELECT c.doc_id, c.n, unnest(w.vec)::DOUBLE AS x, generate_subscripts(w.vec, 1) AS k
+      FROM c JOIN wv w USING (token)),
+a AS (SELECT doc_id, k, sum(n * x) AS m FROM u GROUP BY doc_id, k)
+SELECT a.doc_id, list({round6_sql('a.m / t.tot')} ORDER BY a.k) AS doc_vec
+FROM a JOIN t USING (doc_id) GROUP BY a.doc_id""")
+def q_pool_avg_zero(spark, sf):
+    """Average with unknown tokens counted as zero vectors."""
+    d = table(spark, sf, "documents").select("doc_id", T.tokenize("text").alias("tokens"))
+    p = E.pool(d, "tokens", word_vectors(spark, sf), how="avg", oov="zero")
+    return p.select("doc_id", _round_vec(F.col("doc_vec")).alias("doc_vec"))
+
+
 @query("e3_pool_max", sql=f"SELECT * FROM {_pool_sql('max(x)')}")
 def q_pool_max(spark, sf):
     return _pool(spark, sf, "max")

@@ -77,6 +77,12 @@ def q_v1_cap(spark, sf):
     return _v1(spark, sf, cap=5000)
 
 
+@query("v1_freq_vocab_cap_20000", sql=f"SELECT * FROM {V1_SQL} WHERE id < 20000")
+def q_v1_cap_large(spark, sf):
+    """A cap above the top-k limit: the distributed global rank, filtered."""
+    return _v1(spark, sf, cap=20000)
+
+
 @query("v2_first_seen_vocab", sql=f"SELECT * FROM {V2_SQL}")
 def q_v2(spark, sf):
     return _v2(spark, sf)
