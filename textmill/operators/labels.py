@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from textmill.operators.rank import global_rank
 from textmill.operators.stats import distinct_labels
-from textmill.session import bounded_rows
+from textmill.session import bounded_rows, broadcast_if_small
 
-MAX_LITERAL = 10_000
+MAX_LITERAL = 1_000  # label maps up to this size are inlined as literals
+MAX_CODES = 10_000  # code tables up to this size are built on the driver
 
 
 def code_table(df: DataFrame, label: str, by: str = "first_seen", order_col: str = "doc_id",
@@ -23,7 +24,7 @@ def code_table(df: DataFrame, label: str, by: str = "first_seen", order_col: str
     """``label -> code`` from 0: by first appearance (L1) or sorted value (L2).
 
     Works on the distinct-label table, never on the rows.  When that table
-    is provably small (``MAX_LITERAL`` rows) the codes are assigned from
+    is provably small (``MAX_CODES`` rows) the codes are assigned from
     its rows on the driver; otherwise by the distributed global rank."""
     if by == "first_seen":
         keyed = distinct_labels(df, label, order_col)
@@ -33,7 +34,7 @@ def code_table(df: DataFrame, label: str, by: str = "first_seen", order_col: str
         order = [label]
     else:
         raise ValueError(by)
-    rows = bounded_rows(keyed, MAX_LITERAL)
+    rows = bounded_rows(keyed, MAX_CODES)
     spark = df.sparkSession
     label_type = df.schema[label].dataType
     schema = T.StructType([T.StructField(label, label_type), T.StructField(code, T.IntegerType())])
@@ -49,18 +50,19 @@ def apply_codes(df: DataFrame, codes: DataFrame, label: str, code: str = "code",
     """Add ``out`` from the code table.  ``unseen='error'`` fails the job on a
     label missing from the table (L2), ``'null'`` leaves it null."""
     out = out or code
+    order = df.columns + ([out] if out not in df.columns else [])
     rows = bounded_rows(codes.select(label, code), MAX_LITERAL)
     if rows is not None:
         m = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])]) if rows else None
         v = F.try_element_at(m, F.col(label)) if m is not None else F.lit(None).cast("int")
     else:
-        df = df.join(codes.select(label, F.col(code).alias("__tm_code")), on=label, how="left")
+        side = broadcast_if_small(codes.select(label, F.col(code).alias("__tm_code")), 1_000_000)
+        df = df.join(side, on=label, how="left")
         v = F.col("__tm_code")
     if unseen == "error":
         v = F.coalesce(v, F.when(F.col(label).isNotNull(), F.raise_error(
             F.concat(F.lit("unseen label: "), F.col(label).cast("string")))))
-    res = df.withColumn(out, v.cast("int"))
-    return res.drop("__tm_code") if "__tm_code" in res.columns else res
+    return df.withColumn(out, v.cast("int")).select(*order)
 
 
 # L1 / L2
@@ -77,6 +79,7 @@ def decode_label(df: DataFrame, codes: DataFrame, code_col: str, label: str = "l
     if rows is not None and rows:
         m = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
         return df.withColumn(out, F.try_element_at(m, F.col(code_col)))
+    inv = broadcast_if_small(inv, 1_000_000)
     return (df.join(inv, df[code_col] == inv["__c"], "left").withColumnRenamed("__l", out).drop("__c"))
 
 
