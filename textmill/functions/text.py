@@ -8,11 +8,11 @@ Unicode ``\\w`` / ``\\s``; a bare ``\\w`` or ``\\s`` would not.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textmill.functions.fixed import (
+    ENGLISH_STOP_WORDS,
     ASCII_PUNCTUATION,
     CONTRACTIONS,
     EXTRA_SYMBOLS,
@@ -28,7 +28,6 @@ WS_RUN = WS + "+"
 # Everything that is neither a Python Unicode word character nor whitespace.
 NOT_WORD_OR_WS = r"[^\p{L}\p{N}_" + WS_BODY + "]"
 # ASCII punctuation, digits, CR, TAB, LF (the min-count tokenizer's class).
-PUNCT_DIGITS = r"[\x21-\x40\x5b-\x60\x7b-\x7e\t\n\r]"
 
 
 def _col(c) -> Column:
@@ -138,34 +137,12 @@ def normalize(c) -> Column:
     return F.lower(out)
 
 
-_STOP_CACHE: dict[str, list[str]] = {}
-
-
 def default_stop_words(language: str = "english") -> list[str]:
-    """Spark ML's built-in stop-word list.  Read from the installed Spark ML
-    jar so no running JVM is needed (oracle SQL is built without one);
-    falls back to ``StopWordsRemover.loadDefaultStopWords``."""
-    if language not in _STOP_CACHE:
-        words = None
-        try:
-            import glob
-            import os
-            import zipfile
-
-            import pyspark
-            jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-            for jar in jars:
-                with zipfile.ZipFile(jar) as z:
-                    name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-                    if name in z.namelist():
-                        words = [w for w in z.read(name).decode("utf-8").split("\n") if w]
-                        break
-        except Exception:  # noqa: BLE001
-            words = None
-        if words is None:
-            words = list(StopWordsRemover.loadDefaultStopWords(language))
-        _STOP_CACHE[language] = words
-    return list(_STOP_CACHE[language])
+    """Spark ML's English stop-word list, as plain data: oracle SQL and the
+    registry are built without a JVM."""
+    if language != "english":
+        raise ValueError(f"no stop-word list for {language!r}; pass your own words")
+    return list(ENGLISH_STOP_WORDS)
 
 
 def symbols() -> list[str]:

@@ -37,7 +37,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh folder under the system temp dir."""
+    (local mode: tests) a fresh folder under the system temp dir; a cluster
+    without the setting is refused, since executors could not see that folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -45,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="textmill-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
