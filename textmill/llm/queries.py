@@ -28,3 +28,28 @@ def register(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.ngram_join import ngram_join
     return ngram_join(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@register("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from textmill.llm.token_files import new_folder, read_token_files, write_token_files
+    path = write_token_files(table(spark, sf_dir, "documents"), new_folder(spark),
+                             public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op9_bpe_replay")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from textmill.llm.bpe_replay import bpe_decode, bpe_encode
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks,
+                       public_tokenizers.PATTERN).drop("text")
+    return bpe_decode(coded, ranks).select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
