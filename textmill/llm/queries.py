@@ -69,3 +69,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select(
         "doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out"), "score",
         F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@register("op3_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from textmill.llm.pii import digest, find_pii
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+             for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *count, F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
+                        digest(F.col("spans")).alias("spans"))
