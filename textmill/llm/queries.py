@@ -77,7 +77,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from textmill.llm.pii import digest, find_pii
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    count = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS long)").alias(f"n_{k}")
              for k in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *count, F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
                         digest(F.col("spans")).alias("spans"))
