@@ -81,3 +81,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
              for k in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *count, F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
                         digest(F.col("spans")).alias("spans"))
+
+
+@register("op8_divergence_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.divergence import divergence_rules
+    return divergence_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "js_chars", "js_words")
