@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 
 from textmill.llm.chunks import ChunkTable
 
-#: Characters of text whose words are replayed together.
-SLICE_CHARS = 48_000_000
+#: Characters of text that a task holds at a time; words that are replayed
+#: together; replayed words that a worker keeps for its next slices.
+SLICE_CHARS = 6_000_000
+REPLAY_WORDS = 100_000
+KEPT_WORDS = 200_000
+#: Rows of a batch that goes back to Spark.
+OUT_ROWS = 1000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -50,6 +55,7 @@ class MergeTable:
         order = np.argsort(np.array(keys, np.int64))
         self.keys = np.array(keys, np.int64)[order]
         self.values = np.array(values, np.int32)[order]
+        self.kept: dict[str, bytes] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
@@ -70,18 +76,29 @@ class MergeTable:
                 out[i] = ids
         return out
 
+    def encode(self, words: dict[str, int]) -> list[bytes]:
+        """``replay`` of the keys, in order; the worker keeps some results."""
+        fresh = [w for w in words if w not in self.kept]
+        if len(self.kept) + len(fresh) > KEPT_WORDS:
+            self.kept.clear()
+            fresh = list(words)
+        for i in range(0, len(fresh), REPLAY_WORDS):
+            some = fresh[i:i + REPLAY_WORDS]
+            self.kept.update(zip(some, self.replay([w.encode() for w in some])))
+        return [self.kept[w] for w in words]
+
     def _merge(self, words: list[bytes]) -> list[bytes]:
         sizes = np.array([len(w) for w in words])
         ends = np.cumsum(sizes)
         sym = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         n = len(sym)
-        word = np.repeat(np.arange(len(words)), sizes)
-        right = np.arange(1, n + 1)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        right = np.arange(1, n + 1, dtype=np.int32)
         right[ends - 1] = -1
-        left = np.arange(-1, n - 1)
+        left = np.arange(-1, n - 1, dtype=np.int32)
         left[np.concatenate([[0], ends[:-1]])] = -1
         rank = np.full(n, _NONE, np.int32)  # of the pair that begins here
-        has = np.flatnonzero(right >= 0)
+        has = np.flatnonzero(right >= 0).astype(np.int32)
         rank[has] = self.rank(sym[has], sym[right[has]])
         alive = np.ones(n, bool)
         index: dict[int, list[np.ndarray]] = {}
@@ -162,20 +179,29 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
             texts = chunks.chunks()
             pieces: dict[str, int] = {}
             made = [[pieces.setdefault(p, len(pieces)) for p in split(c)] for c in texts]
-            ids = merges.replay([p.encode() for p in pieces])
+            ids = merges.encode(pieces)
             coded = [b"".join([ids[i] for i in m]) for m in made]
+            del pieces, made, ids, texts  # before the rows are built
             for batch, rows in held:
-                got = [b"".join([coded[i] for i in row.tolist()]) for row in rows]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())],
-                                                 names=[*batch.schema.names, out])
+                for i in range(0, len(rows), OUT_ROWS):
+                    some = rows[i:i + OUT_ROWS]
+                    got = [b"".join([coded[c] for c in row.tolist()]) for row in some]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, len(some)).columns, pa.array(got, pa.binary())],
+                                                     names=[*batch.schema.names, out])
 
         for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(place)]
-            held.append((batch, [chunks.add(t) for t in texts]))
-            chars += sum(map(len, texts))
-            if chars >= SLICE_CHARS:
-                yield from flush()
-                held, chunks, chars = [], ChunkTable(), 0
+            at = 0
+            while at < batch.num_rows:
+                rows, start = [], at
+                while at < batch.num_rows and chars < SLICE_CHARS:
+                    text = batch.column(place)[at].as_py() or ""
+                    rows.append(chunks.add(text))
+                    chars += len(text)
+                    at += 1
+                held.append((batch.slice(start, at - start), rows))
+                if chars >= SLICE_CHARS:
+                    yield from flush()
+                    held, chunks, chars = [], ChunkTable(), 0
         yield from flush()
 
     return docs.mapInArrow(run, schema)
@@ -190,9 +216,12 @@ def bpe_decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {r: t for t, r in ranks.value.items()}.__getitem__
-        for batch in batches:
-            got = [b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())],
-                                             names=[*batch.schema.names, out])
+        for whole in batches:
+            for i in range(0, whole.num_rows, OUT_ROWS):
+                batch = whole.slice(i, OUT_ROWS)
+                got = [b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist()))
+                       for x in batch.column(place)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())],
+                                                 names=[*batch.schema.names, out])
 
     return coded.mapInArrow(run, schema)

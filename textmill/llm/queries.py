@@ -89,3 +89,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "js_chars", "js_words")
+
+
+@register("op2_source_mix")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from textmill.llm.mixing import mix
+    got = mix(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
