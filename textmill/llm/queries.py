@@ -98,3 +98,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.mixing import mix
     got = mix(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@register("op7_ann_forest")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.ann_forest import nearest
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
