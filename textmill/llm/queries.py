@@ -105,3 +105,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.ann_forest import nearest
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@register("op6_html_model")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from textmill.llm.html_model import extract_text, train_pages
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    got = extract_text(pages, train_pages(pages))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
