@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 
@@ -36,6 +37,6 @@ class ChunkTable:
         out = np.fromiter(map(self.index.__getitem__, parts), np.int32, len(parts))
         return np.concatenate([np.array(first, np.int32), out]) if first else out
 
-    def chunks(self) -> list[str]:
-        """The chunks by number, as they stand in the texts."""
-        return [c[0] if isinstance(c, tuple) else " " + c for c in self.index]
+    def chunks(self, since: int = 0) -> list[str]:
+        """The chunks by number from ``since`` on, as they stand in the texts."""
+        return [c[0] if isinstance(c, tuple) else " " + c for c in islice(self.index, since, None)]

@@ -17,6 +17,7 @@ of each document) and ``payload`` (the packed blocks, see ``pack``).
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ BLOCK = 1024
 LANES = 32
 FRAME_IDS = 1 << 19
 SLICE_CHARS = 24_000_000
+#: Distinct chunks of text that a worker keeps encoded for its next slices.
+KEPT_CHUNKS = 1_000_000
 MAGIC = b"PFR1"
 #: Share of a block's values, in percent, that its width must hold.
 PERCENTILE = 95
@@ -124,6 +127,62 @@ def splits_at_spaces(tokenizer_json: str) -> bool:
             and not any(not x["special"] for x in t.get("added_tokens") or []))
 
 
+class _Encoder:
+    """Encodes texts by their distinct chunks, each once while it is kept."""
+
+    def __init__(self, model: str):
+        from tokenizers import Tokenizer
+
+        self.model, self.chunked = model, splits_at_spaces(model)
+        self.tokenizer = Tokenizer.from_str(model)
+        self.tokenizer.encode_special_tokens = True
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.table, self.coded = ChunkTable(), []
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(texts), 10_000):
+            coded = self.tokenizer.encode_batch_fast(texts[i:i + 10_000], add_special_tokens=False)
+            out += [np.array(x.ids, "<u4").tobytes() for x in coded]
+        return out
+
+    def lines(self, words: list[str]) -> list[bytes]:
+        """Ids of words of the form space, then non-spaces: encoded as lines
+        of few long texts, since a line break between two of them is always a
+        token of its own."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 2000):
+            some = words[i:i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line)
+            raw = ids.tobytes()
+            out += [raw[4 * a:4 * b] for a, b in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)])]
+            if len(out) != i + len(some):
+                raise AssertionError("a word holds a line break")
+        return out
+
+    def update(self) -> None:
+        """Encode the chunks that came since the last call."""
+        fresh = self.table.chunks(len(self.coded))
+        plain = [x[:1] == " " and x[1:].split() == [x[1:]] for x in fresh] if self.line is not None else [False] * len(fresh)
+        lines = iter(self.lines([x for x, p in zip(fresh, plain) if p]))
+        others = iter(self.whole([x for x, p in zip(fresh, plain) if not p]))
+        self.coded += [next(lines) if p else next(others) for p in plain]
+
+
+_ENCODERS: list[_Encoder] = []  # of this worker: one
+
+
+def _encoder(model: str) -> _Encoder:
+    if not _ENCODERS or _ENCODERS[0].model != model:
+        _ENCODERS[:] = [_Encoder(model)]
+    return _ENCODERS[0]
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 0,
                       id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every text (null: empty) with the tokenizer at
@@ -133,7 +192,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     ``path``.  Only the two named columns are read."""
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
-    chunked = splits_at_spaces(model)
     model = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -141,23 +199,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(model.value)
-        t.encode_special_tokens = True
+        encoder = _encoder(model.value)
         part = TaskContext.get().partitionId()
         seq = before = 0
 
-        def encode(texts: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for i in range(0, len(texts), 20_000):
-                coded = t.encode_batch_fast(texts[i:i + 20_000], add_special_tokens=False)
-                out += [np.array(x.ids, "<u4").tobytes() for x in coded]
-            return out
-
         def frames(ids: list[int | None], rows: list[bytes]):
             nonlocal seq, before
             start = size = 0
@@ -174,26 +220,30 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                     seq, before = seq + 1, before + size
                     start, size = i + 1, 0
 
-        def slice_of(ids: list, table: ChunkTable, rows: list):
-            if chunked:
-                coded = encode(table.chunks())
+        def slice_of(ids: list, rows: list):
+            if encoder.chunked:
+                encoder.update()
+                coded = encoder.coded
                 rows = [b"".join([coded[i] for i in row.tolist()]) + tail for row in rows]
+                if len(coded) > KEPT_CHUNKS:
+                    encoder.forget()
             else:
-                rows = [x + tail for x in encode(rows)]
+                rows = [x + tail for x in encoder.whole(rows)]
             yield from frames(ids, rows)
 
-        ids, rows, table, chars = [], [], ChunkTable(), 0
+        encoder.update()  # a task that ended early may have left chunks
+        ids, rows, chars = [], [], 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 ids.append(i)
-                rows.append(table.add(text) if chunked else text)
+                rows.append(encoder.table.add(text) if encoder.chunked else text)
                 chars += len(text)
                 if chars >= SLICE_CHARS:
-                    yield from slice_of(ids, table, rows)
-                    ids, rows, table, chars = [], [], ChunkTable(), 0
+                    yield from slice_of(ids, rows)
+                    ids, rows, chars = [], [], 0
         if ids:
-            yield from slice_of(ids, table, rows)
+            yield from slice_of(ids, rows)
 
     frames = plain.mapInArrow(run, "part int, seq int, before long, doc_ids array<long>, n_tokens array<long>, "
                                    "payload binary")
