@@ -115,3 +115,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     got = extract_text(pages, train_pages(pages))
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: host, path, verdict
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@register("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.url_filter import judge_urls
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS t(host, path, verdict)")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), rules, keep=["page_id"])
