@@ -153,16 +153,14 @@ def test_bucket_bits_conf_does_not_change_results(spark):
         spark.conf.unset("textmill.rank.bucketBits")
 
 
-def test_label_codes_join_path(spark):
+def test_label_codes_both_joins(spark, monkeypatch):
     import textmill.operators.labels as LL
     df = spark.createDataFrame([(i, f"c{i % 7}") for i in range(50)], "doc_id long, lab string")
     base = sorted(LL.label_codes(df, "lab", "sorted").collect())
-    old = LL.MAX_LITERAL
-    try:
-        LL.MAX_LITERAL = 2  # force the join path for applying and decoding
-        assert sorted(LL.label_codes(df, "lab", "sorted").collect()) == base
-        codes = LL.code_table(df, "lab", "sorted")
-        dec = LL.decode_label(LL.apply_codes(df, codes, "lab"), codes, "code", label="lab")
-        assert all(r.lab == r.label_name for r in dec.collect())
-    finally:
-        LL.MAX_LITERAL = old
+    monkeypatch.setattr(LL, "MAX_BROADCAST", 2)  # shuffle joins for applying and decoding
+    assert sorted(LL.label_codes(df, "lab", "sorted").collect()) == base
+    codes = LL.code_table(df, "lab", "sorted")
+    coded = LL.apply_codes(df, codes, "lab").withColumn("label_name", F.lit("old"))
+    dec = LL.decode_label(coded, codes, "code", label="lab")
+    assert dec.columns == ["doc_id", "lab", "code", "label_name"]
+    assert all(r.lab == r.label_name for r in dec.collect())

@@ -79,7 +79,7 @@ def test_term_counts_and_ngrams(spark):
 def test_word_vectors_odd_lines(spark, tmp_path):
     p = tmp_path / "vec.txt"
     p.write_text("a 1 2 3\n. . 4 5 6\n\nbad 1 x 3\nshort 1\n")
-    got = {r.token: r.vec for r in io.read_word_vectors(spark, str(p), 3).collect()}
+    got = {r.token: r.vec for r in io.read_word_vectors(spark, str(p), 3, on_bad="skip").collect()}
     assert got == {"a": [1.0, 2.0, 3.0], ". .": [4.0, 5.0, 6.0]}
 
 

@@ -1,11 +1,10 @@
 """Embeddings.
 
 Pooling is a weighted ``Summarizer`` aggregate per document (one JVM
-aggregate, no explode of vector dimensions).  A vector table proven small
-(row count checked) is broadcast and token rows join it directly; a larger
-one is a shuffle join on ``token``, fed (document, token, count) rows so
-repeated words do not multiply the join input, with hot words split by
-AQE's skew handling.
+aggregate, no explode of vector dimensions) over (document, token, count)
+rows, so repeated words do not multiply the join input.  A vector table
+measured small is broadcast; a larger one is a shuffle join on ``token``,
+with hot words split by AQE's skew handling.
 """
 
 from __future__ import annotations
@@ -25,11 +24,15 @@ from textmill.functions.fixed import (
 )
 from textmill.functions.hashing import hex_uniform, seeded_uniform
 from textmill.functions.text import capitalize, explode_tokens
-from textmill.session import broadcast_if_small, small_enough
+from textmill.session import barrier, broadcast_if_small, small_enough
 
 # Word-vector tables up to this many rows are broadcast (300 floats a row:
 # about 60 MB); larger ones are shuffle-joined on token.
 MAX_BROADCAST_VECTORS = 50_000
+_LOWEST = -1e300
+# Word2Vec's result depends on how many tasks train it: a fixed number gives
+# the same vectors on every cluster.
+W2V_PARTITIONS = 8
 
 
 def fill_table(keys: DataFrame, kind: str, seed, id_col: str, dim: int,
@@ -113,49 +116,48 @@ def pool(df: DataFrame, tokens_col: str, vectors: DataFrame, how: str = "avg", d
          oov: str = "skip", out: str = "doc_vec") -> DataFrame:
     """Document vector from its tokens' vectors: 'avg', 'max' or 'avg_max'
     (concatenation).  ``oov='skip'`` averages over tokens with a vector,
-    ``'zero'`` counts unknown tokens as zero vectors.  Documents without any
-    known token get no row."""
-    vec = vectors.select("token", array_to_vector(F.col("vec")).alias("__vec"))
-    if small_enough(vec, MAX_BROADCAST_VECTORS):
-        # broadcast side: join token rows directly; every document's tokens
-        # sit in one task, so the per-document aggregate combines map-side
-        counts = explode_tokens(df, tokens_col, "token", keep=[doc_col]).withColumn("__n", F.lit(1.0))
-        hit = counts.join(F.broadcast(vec), on="token", how="inner")
-    else:
-        # shuffle join on token: count repeated words first to shrink it
-        counts = (explode_tokens(df, tokens_col, "token", keep=[doc_col])
-                  .groupBy(doc_col, "token").agg(F.count(F.lit(1)).cast("double").alias("__n")))
-        hit = counts.join(vec, on="token", how="inner")
-    aggs = []
+    ``'zero'`` counts unknown tokens as zero vectors.  One row per document:
+    a document without any known token has a zero vector.
+
+    The vectors are written once, then measured; the joined rows are (document,
+    token, count), so a word that a text repeats costs one row of the join."""
+    vec = barrier(vectors.select("token", array_to_vector(F.col("vec")).alias("__vec"), F.size("vec").alias("__dim")))
+    dim = vec.agg(F.max("__dim")).first()[0] or 0
+    side = vec.drop("__dim")
+    side = F.broadcast(side) if small_enough(vec, MAX_BROADCAST_VECTORS) else side
+    counts = (explode_tokens(df, tokens_col, "token", keep=[doc_col])
+              .groupBy(doc_col, "token").agg(F.count(F.lit(1)).cast("double").alias("__n")))
+    joined = counts.join(side, on="token", how="left" if oov != "skip" else "inner")
+    zero = F.lit(0.0)
+    known = F.col("__vec").isNotNull()
+    aggs = [F.sum("__n").alias("__tot")]
+    nothing = array_to_vector(F.array_repeat(zero, dim))
     if how in ("avg", "avg_max"):
-        if oov == "skip":
-            aggs.append(Summarizer.mean(F.col("__vec"), F.col("__n")).alias("__mean"))
-        else:
-            aggs.append(Summarizer.sum(F.col("__vec"), F.col("__n")).alias("__sum"))
+        aggs.append(Summarizer.sum(F.coalesce("__vec", nothing), F.col("__n")).alias("__sum"))
     if how in ("max", "avg_max"):
-        aggs.append(Summarizer.max(F.col("__vec")).alias("__max"))
-    pooled = hit.groupBy(doc_col).agg(*aggs)
-    if how in ("avg", "avg_max") and oov != "skip":
-        totals = counts.groupBy(doc_col).agg(F.sum("__n").alias("__tot"))
-        pooled = pooled.join(totals, on=doc_col, how="inner")
-        mean = F.transform(vector_to_array(F.col("__sum")), lambda x: x / F.col("__tot"))
-    else:
-        mean = vector_to_array(F.col("__mean")) if how in ("avg", "avg_max") else None
-    mx = vector_to_array(F.col("__max")) if how in ("max", "avg_max") else None
-    res = mean if how == "avg" else mx if how == "max" else F.concat(mean, mx)
-    return pooled.select(doc_col, res.alias(out))
+        lowest = array_to_vector(F.array_repeat(F.lit(_LOWEST), dim))
+        aggs.append(Summarizer.max(F.when(known, F.col("__vec")).otherwise(lowest)).alias("__max"))
+    pooled = joined.groupBy(doc_col).agg(*aggs)
+    parts = []
+    if how in ("avg", "avg_max"):
+        # the total is zipped in: inside a lambda it would be looked up for every element
+        total = F.array_repeat(F.col("__tot"), dim)
+        parts.append(F.zip_with(vector_to_array(F.col("__sum")), total, lambda x, t: x / t))
+    if how in ("max", "avg_max"):
+        parts.append(F.transform(vector_to_array(F.col("__max")), lambda x: F.when(x <= _LOWEST, zero).otherwise(x)))
+    pooled = pooled.select(doc_col, (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("__pooled"))
+    return df.select(doc_col).distinct().join(pooled, on=doc_col, how="left").select(
+        doc_col, F.coalesce("__pooled", F.array_repeat(zero, dim * len(parts))).alias(out))
 
 
 # E5
 def train_word_vectors(df: DataFrame, tokens_col: str, dim: int = 100, min_count: int = 5,
                        seed: int = 42, max_iter: int = 1, window: int = 5,
-                       num_partitions: int | None = None) -> DataFrame:
+                       num_partitions: int = W2V_PARTITIONS) -> DataFrame:
     """Word vectors trained with Spark ML ``Word2Vec``, standing in for the
-    downloaded ones: (token, vec array<float>).  Trains on
-    ``num_partitions`` tasks (default: the cluster's parallelism; Spark's
-    own default of 1 is a single task)."""
+    downloaded ones: (token, vec array<float>).  Trains on ``num_partitions``
+    tasks, a parameter of the model like its seed."""
     from pyspark.ml.feature import Word2Vec
-    num_partitions = num_partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
     w2v = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=max_iter, windowSize=window,
                    inputCol=tokens_col, outputCol="__w2v", numPartitions=num_partitions)
     model = w2v.fit(df.select(tokens_col))

@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 EPS = 1e-15
 
 
+def _hit(label: str, pred: str) -> Column:
+    """Whether a prediction is right; a null prediction is a miss."""
+    return F.coalesce(F.col(pred) == F.col(label), F.lit(False))
+
+
 # X1
 def accuracy(df: DataFrame, label: str = "label", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
-    hit = F.avg((F.col(pred) == F.col(label)).cast("double")).alias("accuracy")
+    hit = F.avg(_hit(label, pred).cast("double")).alias("accuracy")
     return df.groupBy(*by).agg(hit) if by else df.agg(hit)
 
 
 # X2
 def accuracy_per_class(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     return df.groupBy(label).agg(
-        F.sum((F.col(pred) == F.col(label)).cast("bigint")).alias("hits"),
+        F.sum(_hit(label, pred).cast("bigint")).alias("hits"),
         F.count(F.lit(1)).alias("total")).withColumn("accuracy", F.col("hits") / F.col("total"))
 
 
@@ -33,31 +38,34 @@ def pair_counts(df: DataFrame, label: str = "label", pred: str = "pred", by: lis
 
 
 # X5
-MAX_CLASSES = 10_000
-
-
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred", rows: str = "true") -> DataFrame:
     """Long confusion table (row_class, col_class, n) over the union of true
-    and predicted classes, zero cells included.  ``rows='true'`` puts true
-    labels on rows (the other call order puts predictions there).
-
-    The class list is checked to be small and crosses to the driver; the
-    K x K cells come from exploding that literal list, and the counts from
-    one partial-aggregated ``groupBy(label, pred)``."""
-    from textmill.session import bounded_rows
-
-    pc = pair_counts(df, label, pred)
-    classes = pc.select(F.col("label").alias("c")).union(pc.select(F.col("pred").alias("c"))).distinct()
-    values = bounded_rows(classes.where(F.col("c").isNotNull()), MAX_CLASSES)
-    if values is None:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    lit_classes = F.array(*[F.lit(v[0]) for v in sorted(values, key=lambda v: v[0])])
+    and predicted classes, zero cells included; cells of null labels or
+    predictions are there where they occur, so that the counts add up to the
+    rows.  ``rows='true'`` puts true labels on rows (the other call order puts
+    predictions there).
+
+    One pass over the rows; the grid comes from numbering the classes and
+    joining each class's run of numbers back, so neither the class list nor
+    the cells meet on the driver or in one task."""
+    from textmill.operators.rank import global_rank
+    from textmill.session import barrier
+
+    pc = barrier(pair_counts(df, label, pred))
+    classes = pc.select(F.col("label").alias("c")).union(pc.select(F.col("pred").alias("c"))) \
+        .where("c IS NOT NULL").distinct()
+    numbered = barrier(global_rank(classes, [F.asc("c")], out="i"))
+    k = numbered.count()
     r, c = ("label", "pred") if rows == "true" else ("pred", "label")
-    cells = classes.where(F.col("c").isNotNull()).select(
-        F.col("c").alias("row_class"), F.explode(lit_classes).alias("col_class"))
     cnt = pc.select(F.col(r).alias("row_class"), F.col(c).alias("col_class"), "n")
+    odd = cnt.where("row_class IS NULL OR col_class IS NULL")
+    if not k:
+        return odd
+    cells = numbered.select(F.col("c").alias("row_class"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("j"))
+    cells = cells.join(numbered.select(F.col("c").alias("col_class"), F.col("i").alias("j")), "j").drop("j")
     return (cells.join(cnt, on=["row_class", "col_class"], how="left")
-            .select("row_class", "col_class", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+            .select("row_class", "col_class", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
+            .unionByName(odd))
 
 
 def confusion_matrix(df: DataFrame, values: list, label: str = "label", pred: str = "pred",
@@ -78,12 +86,15 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     by = by or []
     if swapped:
         label, pred = pred, label
-    pc = pair_counts(df, label, pred, by)
+    from textmill.session import barrier
+
+    # one pass over the rows; a null prediction is a miss of its class, no class
+    pc = barrier(pair_counts(df, label, pred, by))
     true_n = pc.groupBy(*by, F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
     pred_n = pc.groupBy(*by, F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
     tp = pc.where(F.col("label") == F.col("pred")).groupBy(*by, F.col("label").alias("cls")) \
         .agg(F.sum("n").alias("tp"))
-    classes = true_n.select(*by, "cls").union(pred_n.select(*by, "cls")).distinct()
+    classes = true_n.select(*by, "cls").union(pred_n.select(*by, "cls")).where("cls IS NOT NULL").distinct()
     t = (classes.join(true_n, on=by + ["cls"], how="left").join(pred_n, on=by + ["cls"], how="left")
          .join(tp, on=by + ["cls"], how="left").fillna(0, subset=["support", "predicted", "tp"]))
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
@@ -221,20 +232,17 @@ def multilabel_report(df: DataFrame, labels: list[str], true_col: str = "labels"
                       pred_col: str = "result") -> DataFrame:
     """Per label: true positives, precision, recall; plus the exact-match
     share of whole label sets."""
-    rows = []
+    aggs = [F.avg((F.array_sort(F.col(true_col)) == F.array_sort(F.col(pred_col))).cast("double")).alias("exact")]
     for lab in labels:
-        t = F.array_contains(F.col(true_col), lab).cast("int")
-        p = F.array_contains(F.col(pred_col), lab).cast("int")
-        rows.append(df.agg(F.lit(lab).alias("label"), F.sum(t * p).alias("tp"), F.sum(p).alias("predicted"),
-                           F.sum(t).alias("actual")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+        t = F.array_contains(F.col(true_col), lab).cast("bigint")
+        p = F.array_contains(F.col(pred_col), lab).cast("bigint")
+        aggs += [F.struct(F.lit(lab).alias("label"), F.sum(t * p).alias("tp"), F.sum(p).alias("predicted"),
+                          F.sum(t).alias("actual")).alias(f"l{len(aggs)}")]
+    one = df.agg(*aggs)  # a single row
+    out = one.select(F.explode(F.array(*[a for a in one.columns if a != "exact"])).alias("r")).select("r.*")
     out = out.select("label", F.col("tp").cast("bigint").alias("tp"),
                      F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0).alias("precision"),
                      F.when(F.col("actual") > 0, F.col("tp") / F.col("actual")).otherwise(0.0).alias("recall"))
-    exact = df.agg(F.avg((F.array_sort(F.col(true_col)) == F.array_sort(F.col(pred_col))).cast("double"))
-                   .alias("precision")).select(F.lit("exact_match").alias("label"),
-                                               F.lit(None).cast("bigint").alias("tp"), "precision",
-                                               F.lit(None).cast("double").alias("recall"))
+    exact = one.select(F.lit("exact_match").alias("label"), F.lit(None).cast("bigint").alias("tp"),
+                       F.col("exact").alias("precision"), F.lit(None).cast("double").alias("recall"))
     return out.unionByName(exact)

@@ -1,31 +1,26 @@
 """Label codes.
 
-The code table has one row per class.  When it is small (checked, at most
-``MAX_LITERAL`` classes) it becomes a literal map inside the projection: no
-join and no shuffle at all.  Above that it stays a table and is joined.
+The code table has one row per class and comes from the distributed global
+rank, whatever its size.  It is joined: broadcast where it is measured small,
+by a shuffle otherwise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textmill.operators.rank import global_rank
 from textmill.operators.stats import distinct_labels
-from textmill.session import bounded_rows, broadcast_if_small
+from textmill.session import broadcast_if_small
 
-MAX_LITERAL = 1_000  # label maps up to this size are inlined as literals
-MAX_CODES = 10_000  # code tables up to this size are built on the driver
+MAX_BROADCAST = 1_000_000  # code tables up to this many rows are broadcast
 
 
 def code_table(df: DataFrame, label: str, by: str = "first_seen", order_col: str = "doc_id",
                code: str = "code") -> DataFrame:
     """``label -> code`` from 0: by first appearance (L1) or sorted value (L2).
-
-    Works on the distinct-label table, never on the rows.  When that table
-    is provably small (``MAX_CODES`` rows) the codes are assigned from
-    its rows on the driver; otherwise by the distributed global rank."""
+    Works on the distinct-label table, never on the rows."""
     if by == "first_seen":
         keyed = distinct_labels(df, label, order_col)
         order = ["first_seen", label]
@@ -34,13 +29,6 @@ def code_table(df: DataFrame, label: str, by: str = "first_seen", order_col: str
         order = [label]
     else:
         raise ValueError(by)
-    rows = bounded_rows(keyed, MAX_CODES)
-    spark = df.sparkSession
-    label_type = df.schema[label].dataType
-    schema = T.StructType([T.StructField(label, label_type), T.StructField(code, T.IntegerType())])
-    if rows is not None:
-        ranked = sorted(rows, key=lambda r: tuple(r[c] for c in order))
-        return spark.createDataFrame([(r[label], i) for i, r in enumerate(ranked)], schema)
     g = global_rank(keyed, [F.asc(c) for c in order], out="__tm_r")
     return g.select(label, (F.col("__tm_r") - 1).cast("int").alias(code))
 
@@ -51,14 +39,9 @@ def apply_codes(df: DataFrame, codes: DataFrame, label: str, code: str = "code",
     label missing from the table (L2), ``'null'`` leaves it null."""
     out = out or code
     order = df.columns + ([out] if out not in df.columns else [])
-    rows = bounded_rows(codes.select(label, code), MAX_LITERAL)
-    if rows is not None:
-        m = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])]) if rows else None
-        v = F.try_element_at(m, F.col(label)) if m is not None else F.lit(None).cast("int")
-    else:
-        side = broadcast_if_small(codes.select(label, F.col(code).alias("__tm_code")), 1_000_000)
-        df = df.join(side, on=label, how="left")
-        v = F.col("__tm_code")
+    side = broadcast_if_small(codes.select(F.col(label).alias("__tm_l"), F.col(code).alias("__tm_code")), MAX_BROADCAST)
+    df = df.join(side, F.col(label) == F.col("__tm_l"), "left")
+    v = F.col("__tm_code")
     if unseen == "error":
         v = F.coalesce(v, F.when(F.col(label).isNotNull(), F.raise_error(
             F.concat(F.lit("unseen label: "), F.col(label).cast("string")))))
@@ -74,13 +57,10 @@ def label_codes(df: DataFrame, label: str, by: str = "first_seen", out: str = "c
 # L4
 def decode_label(df: DataFrame, codes: DataFrame, code_col: str, label: str = "label",
                  out: str = "label_name") -> DataFrame:
-    inv = codes.select(F.col("code").alias("__c"), F.col(label).alias("__l"))
-    rows = bounded_rows(inv, MAX_LITERAL)
-    if rows is not None and rows:
-        m = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
-        return df.withColumn(out, F.try_element_at(m, F.col(code_col)))
-    inv = broadcast_if_small(inv, 1_000_000)
-    return (df.join(inv, df[code_col] == inv["__c"], "left").withColumnRenamed("__l", out).drop("__c"))
+    """``out`` = the class name of a code; a column of that name is replaced."""
+    inv = broadcast_if_small(codes.select(F.col("code").alias("__tm_c"), F.col(label).alias("__tm_l")), MAX_BROADCAST)
+    order = df.columns + ([out] if out not in df.columns else [])
+    return df.join(inv, df[code_col] == F.col("__tm_c"), "left").withColumn(out, F.col("__tm_l")).select(*order)
 
 
 # L5

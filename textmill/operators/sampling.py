@@ -12,13 +12,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textmill.functions.hashing import seeded_hash, seeded_uniform
-from textmill.operators.rank import bucket_bits, bucketed_rank, hash_bucket, range_bucket
-from textmill.session import barrier, bounded_rows
+from textmill.operators.rank import bucket_bits, bucketed_rank, global_rank, hash_bucket, range_bucket
+from textmill.session import barrier, broadcast_if_small
 
-MAX_CLASSES = 100_000  # class-size tables above this take the join path
+MAX_BROADCAST = 1_000_000  # class tables up to this many rows are broadcast
 DRAWS_PER_TASK = 2_000_000  # resampling draws generated per task, at most about this many
 
 
@@ -98,30 +97,24 @@ def resample_to_class(df: DataFrame, label: str, target, seed, key_cols: list[st
     key_cols = key_cols or ["doc_id"]
     spark = df.sparkSession
     base = df.where(F.col(label).isNotNull())
-    sizes = bounded_rows(class_sizes(base, label), MAX_CLASSES)
-    if sizes is None:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    n_of = {r[label]: r["class_n"] for r in sizes}
-    if target not in n_of:
+    sizes = barrier(class_sizes(base, label))
+    found = sizes.where(F.col(label) == F.lit(target)).first()
+    if found is None:
         raise ValueError(f"target class {target!r} not present")
-    t = n_of[target]
-    others = sorted((c for c in n_of if c != target), key=lambda c: str(c))
+    t = found["class_n"]
+    # the other classes, numbered from 0: as many as there are
+    classes = barrier(global_rank(sizes.where(F.col(label) != F.lit(target)), [F.asc(label)], out="__tm_r")
+                      .select((F.col("__tm_r") - 1).alias("__tm_ci"), label, F.col("class_n").alias("__tm_n")))
+    n_others = classes.count()
     ranked = rank_in_class(base, label, seed, key_cols)
     kept = base.where(F.col(label) == F.lit(target)).withColumn(copy_col, F.lit(0).cast("bigint"))
-    if not others or t == 0:
+    if not n_others:
         return kept
-    # class index -> (class, size): at most MAX_CLASSES rows, already on the
-    # driver, so it is broadcast with a proven bound
-    label_type = base.schema[label].dataType
-    classes = spark.createDataFrame([(i, c, n_of[c]) for i, c in enumerate(others)],
-                                    T.StructType([T.StructField("__tm_ci", T.LongType()),
-                                                  T.StructField(label, label_type),
-                                                  T.StructField("__tm_n", T.LongType())]))
-    total = t * len(others)
+    total = t * n_others
     parts = max(spark.sparkContext.defaultParallelism, total // DRAWS_PER_TASK + 1)
     draws = spark.range(0, total, numPartitions=parts).select(
-        (F.col("id") / F.lit(t)).cast("bigint").alias("__tm_ci"), (F.col("id") % F.lit(t)).alias(copy_col))
-    draws = draws.join(F.broadcast(classes), on="__tm_ci", how="inner")
+        F.expr(f"id div {t}").alias("__tm_ci"), (F.col("id") % F.lit(t)).alias(copy_col))
+    draws = draws.join(broadcast_if_small(classes, MAX_BROADCAST), on="__tm_ci", how="inner")
     draws = draws.select(label, copy_col, (F.pmod(seeded_hash(f"{seed}:draw", label, copy_col),
                                                   F.col("__tm_n")) + 1).alias("rank"))
     drawn = draws.join(ranked, on=[label, "rank"], how="inner").drop("rank")

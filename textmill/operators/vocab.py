@@ -161,9 +161,10 @@ def term_counts(df: DataFrame, tokens_col: str, doc_col: str = "doc_id") -> Data
             .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("n")))
 
 
-def bag_of_words(df: DataFrame, tokens_col: str, vocab_size: int = 1 << 18, min_df: float = 1.0,
+def bag_of_words(df: DataFrame, tokens_col: str, vocab_size: int = (1 << 31) - 1, min_df: float = 1.0,
                  out: str = "features"):
-    """Vector form via Spark ML ``CountVectorizer``; returns (model, frame)."""
+    """Vector form via Spark ML ``CountVectorizer``; returns (model, frame).
+    By default every word is a feature."""
     from pyspark.ml.feature import CountVectorizer
     cv = CountVectorizer(inputCol=tokens_col, outputCol=out, vocabSize=vocab_size, minDF=min_df)
     model = cv.fit(df)

@@ -44,15 +44,19 @@ def q_read_csv(spark, sf):
 
 
 @query("s3_read_news_tsv", sql="""
-SELECT conv_id AS "ID", role AS "CATEGORY", CAST(turn AS BIGINT) AS "TIMESTAMP" FROM conversations""")
+SELECT CAST(doc_id AS BIGINT) AS "ID", 'title ' || CAST(n_chars AS VARCHAR) AS "TITLE",
+       'http://' || source || '.example/' || lang AS "URL", source AS "PUBLISHER", lang AS "CATEGORY",
+       md5(text) AS "STORY", lang || '.' || source AS "HOSTNAME", CAST(n_chars AS BIGINT) AS "TIMESTAMP"
+FROM documents""")
 def q_read_tsv(spark, sf):
     path = _scratch(spark, "news_tsv")
-    c = table(spark, sf, "conversations")
-    c.select(F.col("conv_id").alias("ID"), F.lit("t").alias("TITLE"), F.lit("u").alias("URL"),
-             F.lit("p").alias("PUBLISHER"), F.col("role").alias("CATEGORY"), F.lit("s").alias("STORY"),
-             F.lit("h").alias("HOSTNAME"), F.col("turn").alias("TIMESTAMP")) \
+    d = table(spark, sf, "documents")
+    d.select(F.col("doc_id").alias("ID"), F.concat(F.lit("title "), F.col("n_chars").cast("string")).alias("TITLE"),
+             F.concat(F.lit("http://"), "source", F.lit(".example/"), "lang").alias("URL"),
+             F.col("source").alias("PUBLISHER"), F.col("lang").alias("CATEGORY"), F.md5("text").alias("STORY"),
+             F.concat("lang", F.lit("."), "source").alias("HOSTNAME"), F.col("n_chars").cast("bigint").alias("TIMESTAMP")) \
         .write.option("sep", "\t").csv(path)
-    return io.read_news_tsv(spark, path).select("ID", "CATEGORY", "TIMESTAMP")
+    return io.read_news_tsv(spark, path).select("ID", "TITLE", "URL", "PUBLISHER", "CATEGORY", "STORY", "HOSTNAME", "TIMESTAMP")
 
 
 @query("s10_preview", sql="""

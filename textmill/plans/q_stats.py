@@ -153,7 +153,7 @@ WITH v AS (SELECT length(text)::DOUBLE AS x FROM documents),
      d AS (SELECT g.point, sum(w.w * exp(-0.5 * ((p.start + g.point * p.step - w.v) / p.h)
                                       * ((p.start + g.point * p.step - w.v) / p.h)))
                           * (1.0 / (p.n * p.h * sqrt(2 * pi()))) AS density
-           FROM g, p, w WHERE abs(p.start + g.point * p.step - w.v) <= 9.0 * p.h GROUP BY g.point, p.n, p.h)
+           FROM g, p, w GROUP BY g.point, p.n, p.h)
 SELECT g.point, round(p.start + g.point * p.step, 6) AS x, round(coalesce(d.density, 0.0), 12) AS density
 FROM g CROSS JOIN p LEFT JOIN d ON g.point = d.point""")
 def q_density(spark, sf):
@@ -221,13 +221,14 @@ def q_shuffle(spark, sf):
 
 
 @query("u1_stack", sql="""
-SELECT doc_id, lang FROM documents WHERE lang = 'fr'
-UNION ALL SELECT doc_id, lang FROM documents WHERE lang = 'de'
+SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL
 UNION ALL SELECT doc_id, lang FROM documents WHERE lang = 'fr'""")
 def q_stack(spark, sf):
+    """All classes stacked, the one of ``fr`` once more."""
     d = docs(spark, sf).select("doc_id", "lang")
+    rest = d.where(F.col("lang").isNotNull() & ~F.col("lang").isin("fr", "de"))
     fr, de = P.of_class(d, "lang", "fr"), P.of_class(d, "lang", "de")
-    return A.stack(fr, de, fr)
+    return A.stack(fr, de, rest, fr)
 
 
 def _default_stops_sql() -> str:

@@ -63,26 +63,18 @@ def barrier(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> list | None:
-    """Collect ``df`` only if it has at most ``max_rows`` rows, else ``None``.
-
-    Used for the few driver crossings the design allows (class sizes,
-    histogram bounds); the caller takes a distributed path on ``None``.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
 def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows (the scan stops
-    after ``max_rows + 1``).  Use on inputs that are cheap to read (files,
-    checkpoints), before deciding to broadcast them."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows.  A plain count: every
+    task adds up its own rows.  Use it on inputs that are cheap to read
+    (files, checkpoints), before deciding to broadcast them."""
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` behind a measured size bound; otherwise ``df`` as is
     (a shuffle join, which AQE may still turn into a broadcast at run time
-    from the shuffle's real size)."""
+    from the shuffle's real size).  ``df`` is written once to the checkpoint
+    folder, so measuring it does not derive it twice."""
     from pyspark.sql.functions import broadcast
-    return broadcast(df) if small_enough(df, max_rows) else df
+    kept = barrier(df)
+    return broadcast(kept) if small_enough(kept, max_rows) else kept
