@@ -82,12 +82,13 @@ def fill_table(keys: DataFrame, kind: str, seed, id_col: str, dim: int,
 # E1 (+ J5, J6)
 def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, fill: str = "normal",
                     try_capitalized: bool = True, seed=42, cap: int | None = None,
-                    special_rows: bool = False) -> DataFrame:
+                    special_rows: bool = False, first_row: bool = False) -> DataFrame:
     """(id, token, vec) for every vocabulary word below ``cap``: the word's own
     vector, else (``try_capitalized``) the capitalised word's, else a seeded
     fill (drawn only for the words that have neither).  ``special_rows`` sets
     row 0 to zeros and row 1 to a uniform draw (padding and unknown of the
-    min-count vocabulary)."""
+    min-count vocabulary); ``first_row`` adds row 0 with the table's own fill
+    (the frequency vocabulary, whose ids begin at 1)."""
     v = vocab.select("token", F.col("id").cast("bigint").alias("id"))
     if cap is not None:
         v = v.where(F.col("id") < cap)
@@ -102,8 +103,11 @@ def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, fill: str =
     found_vec = F.coalesce(*cols)
     res = fill_table(out.select("id", "token", found_vec.alias("__found")), fill, seed, "id", dim,
                      keep_col="__found").select("id", "token", "vec")
+    spark = vocab.sparkSession
+    if first_row:
+        zeroth = spark.createDataFrame([(0, "")], "id bigint, token string")
+        res = fill_table(zeroth, fill, seed, "id", dim).select("id", "token", "vec").unionByName(res)
     if special_rows:
-        spark = vocab.sparkSession
         extra = spark.createDataFrame([(0, ""), (1, "UNK")], "id bigint, token string")
         res = (fill_table(extra.where("id = 0"), "zeros", seed, "id", dim)
                .unionByName(fill_table(extra.where("id = 1"), "uniform", seed, "id", dim))

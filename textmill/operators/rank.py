@@ -40,12 +40,6 @@ def hash_bucket(hash_col: str, bits: int = DEFAULT_BUCKET_BITS):
     return F.shiftright(F.col(hash_col), HASH_BITS - bits)
 
 
-def range_bucket(col: str, lo: int, hi: int, n_buckets: int = 1 << DEFAULT_BUCKET_BITS):
-    """Bucket of an integer key known to lie in [lo, hi] (monotone in it)."""
-    width = max(1, (hi - lo) // n_buckets + 1)
-    return F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("bigint")
-
-
 def bucketed_rank(df: DataFrame, partition_cols: list[str], order_cols: list[str],
                   bucket, out: str = "rank", total: str | None = None) -> DataFrame:
     """Add ``out`` = 1-based rank of each row inside ``partition_cols`` by
@@ -103,3 +97,23 @@ def global_rank(df: DataFrame, order_cols: list, out: str = "rank") -> DataFrame
             .join(F.broadcast(offsets), on="__tm_pid", how="inner")
             .withColumn(out, (F.col("__tm_off") + local + 1).cast("bigint"))
             .drop(mid, "__tm_pid", "__tm_off"))
+
+
+def global_running_sum(df: DataFrame, order_cols: list, value: str, out: str = "upto") -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to and including each
+    row by ``order_cols`` (unique): sorted over the cluster and written once,
+    then a running sum inside each sorted partition plus the totals of the
+    partitions before it."""
+    from textmill.session import barrier
+
+    mid = "__tm_mid"
+    ordered = barrier(df.orderBy(*order_cols).withColumn(mid, F.monotonically_increasing_id()))
+    with_pid = ordered.withColumn("__tm_pid", F.shiftright(mid, 33))
+    totals = with_pid.groupBy("__tm_pid").agg(F.sum(value).alias("__tm_t"))
+    running = Window.orderBy("__tm_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each sorted partition
+    offsets = totals.select("__tm_pid", F.coalesce(F.sum("__tm_t").over(running), F.lit(0)).alias("__tm_off"))
+    inside = F.sum(value).over(Window.partitionBy("__tm_pid").orderBy(mid).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    return (with_pid.withColumn("__tm_in", inside).join(F.broadcast(offsets), "__tm_pid")
+            .withColumn(out, F.col("__tm_off") + F.col("__tm_in")).drop(mid, "__tm_pid", "__tm_in", "__tm_off"))

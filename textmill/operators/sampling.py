@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.hashing import seeded_hash, seeded_uniform
-from textmill.operators.rank import bucket_bits, bucketed_rank, global_rank, hash_bucket, range_bucket
+from textmill.operators.rank import bucket_bits, bucketed_rank, global_rank, hash_bucket
 from textmill.session import barrier, broadcast_if_small
 
 MAX_BROADCAST = 1_000_000  # class tables up to this many rows are broadcast
@@ -156,13 +156,10 @@ def holdout(df: DataFrame, share: float, order_col: str = "doc_id", split_col: s
             names: tuple[str, str] = ("train", "val")) -> DataFrame:
     """The last ``share`` of rows in ``order_col`` order is validation
     (train keeps the first ``int(n * (1 - share))``)."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("lo"),
-               F.max(order_col).alias("hi")).first()
-    if not r.n:
-        return df.withColumn(split_col, F.lit(names[0]))
-    split_at = int(r.n * (1 - share))
-    ranked = bucketed_rank(df, [], [order_col],
-                           range_bucket(order_col, r.lo, r.hi, 1 << bucket_bits(df.sparkSession)), out="__tm_r")
+    # ranked by a sort over the cluster, whose ranges are sampled: gaps or an
+    # outlier in the column move no rows together
+    ranked = global_rank(df, [F.asc(order_col)], out="__tm_r")
+    split_at = int(ranked.count() * (1 - share))
     return (ranked.withColumn(split_col, F.when(F.col("__tm_r") <= split_at, F.lit(names[0]))
                               .otherwise(F.lit(names[1]))).drop("__tm_r"))
 

@@ -39,9 +39,12 @@ def top_k(df: DataFrame, k: int, *order) -> DataFrame:
 # A3
 def split_leakage(df: DataFrame, text: str, label: str, split: str = "split") -> DataFrame:
     """Rows per (text, label, split) with the number of splits that text is in;
-    ``n_splits > 1`` marks a text leaked across splits."""
-    per = df.groupBy(text, label, split).agg(F.count(F.lit(1)).alias("n"))
-    spread = df.groupBy(text).agg(F.countDistinct(split).alias("n_splits"))
+    ``n_splits > 1`` marks a text leaked across splits.  One pass over the
+    rows; both sides read its written counts."""
+    from textmill.session import barrier
+
+    per = barrier(df.groupBy(text, label, split).agg(F.count(F.lit(1)).alias("n")))
+    spread = per.groupBy(text).agg(F.countDistinct(split).alias("n_splits"))
     return per.join(spread, on=text, how="inner")
 
 
@@ -51,16 +54,44 @@ def length_stats(df: DataFrame, col: str) -> DataFrame:
                   F.avg(col).alias("mean_len"))
 
 
+def _value_ranks(df: DataFrame, col: str):
+    """(v, n, upto) by distinct value in order, and the number of values: the
+    rows are only ever counted, the distinct values sorted over the cluster."""
+    from textmill.operators.rank import global_running_sum
+    from textmill.session import barrier
+
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    ranked = barrier(global_running_sum(counts, [F.asc("v")], "n"))
+    return ranked, ranked.agg(F.sum("n")).first()[0] or 0
+
+
+def _at_quantile(q: float, total: int):
+    """Linear interpolation between the two values around position q (total - 1)."""
+    place = q * (total - 1)
+    low = int(place)
+    high, part = min(low + 1, total - 1), place - int(place)
+    at = lambda i: F.max(F.when((F.col("upto") > i) & (F.col("upto") - F.col("n") <= i), F.col("v")))
+    return at(low) + (at(high) - at(low)) * F.lit(part)
+
+
 # A5: exact quartiles with linear interpolation (``summary()`` is approximate).
 def describe(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max.  Exact quartiles keep a
-    count per distinct value (right for lengths and counts); ``exact=False``
-    uses the bounded-memory sketch for continuous values at scale."""
-    c = F.col(col)
+    """count, mean, sample std, min, quartiles, max.  Exact quartiles come from
+    counts by distinct value and their running sum; ``exact=False`` uses the
+    bounded-memory sketch."""
     if exact:
-        qs = [F.percentile(c, F.lit(q)) for q in (0.25, 0.5, 0.75)]
-    else:
-        qs = [F.percentile_approx(c, F.lit(q), 10000).cast("double") for q in (0.25, 0.5, 0.75)]
+        ranked, total = _value_ranks(df, col)
+        v, n = F.col("v"), F.col("n")
+        mean = ranked.agg(F.sum(v * n) / F.sum(n)).first()[0] if total else None
+        middle = F.lit(mean).cast("double")
+        qs = [_at_quantile(q, total) if total else F.lit(None).cast("double") for q in (0.25, 0.5, 0.75)]
+        std = F.sqrt(F.sum(n * (v - middle) * (v - middle)) / F.lit(total - 1)) if total > 1 else F.lit(None).cast("double")
+        return ranked.agg(
+            F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("count"), F.max(middle).alias("mean"), std.alias("std"),
+            F.min(v).alias("min"), qs[0].alias("p25"), qs[1].alias("p50"), qs[2].alias("p75"), F.max(v).alias("max"))
+    c = F.col(col)
+    qs = [F.percentile_approx(c, F.lit(q), 10000).cast("double") for q in (0.25, 0.5, 0.75)]
     return df.agg(
         F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
         F.min(c).cast("double").alias("min"),
@@ -70,9 +101,10 @@ def describe(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
 # A6
 def quantile(df: DataFrame, col: str, q: float = 0.9, exact: bool = True) -> DataFrame:
     """Exact linear-interpolated quantile; ``exact=False`` uses the bounded
-    sketch (``percentile_approx``) for very many distinct values."""
+    sketch (``percentile_approx``)."""
     if exact:
-        return df.agg(F.percentile(F.col(col), F.lit(q)).alias("q"))
+        ranked, total = _value_ranks(df, col)
+        return ranked.agg((_at_quantile(q, total) if total else F.max("v")).alias("q"))
     return df.agg(F.percentile_approx(F.col(col), F.lit(q), 10000).cast("double").alias("q"))
 
 

@@ -175,16 +175,15 @@ def bag_of_words(df: DataFrame, tokens_col: str, vocab_size: int = (1 << 31) - 1
 def drop_tokens_join(df: DataFrame, tokens_col: str, words: DataFrame, doc_col: str = "doc_id",
                      out: str = "tokens", case_sensitive: bool = True) -> DataFrame:
     """Remove tokens found in a word table (any size), keeping order and
-    duplicates: anti-join on exploded tokens, regroup by position."""
-    pos = positions(df, tokens_col, doc_col)
+    duplicates.  One pass over ``df``: a text without tokens, or with none
+    left, keeps an empty array."""
+    pos = positions(df, tokens_col, doc_col, keep_empty=True)
     key = F.col("token") if case_sensitive else F.lower("token")
     w = words.select((F.col("word") if case_sensitive else F.lower("word")).alias("__tm_w")).distinct()
-    w = broadcast_if_small(w, BROADCAST_CAP)
-    kept = pos.join(w, key == w["__tm_w"], "left_anti")
-    grouped = kept.groupBy(doc_col).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias(out))
-    return (df.select(doc_col).join(grouped, on=doc_col, how="left")
-            .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))))
+    hit = pos.join(broadcast_if_small(w, BROADCAST_CAP), key == F.col("__tm_w"), "left")
+    item = F.when(F.col("pos").isNotNull() & F.col("__tm_w").isNull(), F.struct("pos", "token"))
+    return hit.groupBy(doc_col).agg(
+        F.transform(F.sort_array(F.collect_list(item)), lambda s: s["token"]).alias(out))
 
 
 # J9 / T13
@@ -192,13 +191,12 @@ def lemmatize(df: DataFrame, tokens_col: str, lemmas: DataFrame, doc_col: str =
               out: str = "lemmas") -> DataFrame:
     """Replace each token by its lemma from a (token, lemma) table; unknown
     tokens keep themselves."""
-    pos = positions(df, tokens_col, doc_col)
+    pos = positions(df, tokens_col, doc_col, keep_empty=True)
     lem = pos.join(broadcast_if_small(lemmas.select("token", "lemma"), BROADCAST_CAP), on="token", how="left") \
         .withColumn("lemma", F.coalesce(F.col("lemma"), F.col("token")))
-    grouped = lem.groupBy(doc_col).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "lemma"))), lambda s: s["lemma"]).alias(out))
-    return (df.select(doc_col).join(grouped, on=doc_col, how="left")
-            .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))))
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "lemma"))
+    return lem.groupBy(doc_col).agg(
+        F.transform(F.sort_array(F.collect_list(item)), lambda s: s["lemma"]).alias(out))
 
 
 def vocab_tokens(df: DataFrame, text_col: str, out: str = "tokens") -> DataFrame:

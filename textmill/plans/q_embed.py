@@ -15,11 +15,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from textmill.functions import text as T
-from textmill.functions.hashing import sql_normal_vector
-from textmill.functions.fixed import EMB_FILL_MEAN, EMB_FILL_STD
+from textmill.functions.fixed import (
+    EMB_FILL_MEAN,
+    EMB_FILL_STD,
+    EMB_FILL_UNIFORM_HIGH,
+    EMB_FILL_UNIFORM_LOW,
+)
+from textmill.functions.hashing import sql_normal_vector, sql_uniform
 from textmill.operators import embed as E
 from textmill.plans import sqlfrag as S
-from textmill.plans.q_vocab import V2_SQL, _v2
+from textmill.plans.q_vocab import V1_CAP_SQL, V2_SQL, _v1, _v2
 from textmill.plans.registry import query, table
 from textmill.plans.sqlfrag import round6_sql
 from textmill.session import ensure_checkpoint_dir
@@ -77,6 +82,50 @@ def q_embedding_table(spark, sf):
     return t.select("id", "token", _round_vec(F.col("vec")).alias("vec"))
 
 
+@query("e1_matrix_freq_normal", sql=f"""
+WITH v AS (SELECT id, token FROM {V1_CAP_SQL} UNION ALL SELECT 0, ''), wv AS {WV_SQL}
+SELECT CAST(v.id AS BIGINT) AS id, v.token,
+       {_round_vec_sql(f"coalesce(w1.vec, w2.vec, {_fill_sql(42, 'v.id')})")} AS vec
+FROM v LEFT JOIN wv w1 ON w1.token = v.token AND v.id > 0
+       LEFT JOIN wv w2 ON w2.token = {S.capitalize('v.token')} AND v.id > 0""")
+def q_matrix_normal(spark, sf):
+    """Frequency vocabulary (5,000), normal fill, row 0 drawn like the rest."""
+    t = E.embedding_table(_v1(spark, sf, cap=5000), word_vectors(spark, sf), DIM, fill="normal", first_row=True)
+    return t.select("id", "token", _round_vec(F.col("vec")).alias("vec"))
+
+
+@query("e1_matrix_freq_zeros", sql=f"""
+WITH v AS (SELECT id, token FROM {V1_CAP_SQL} UNION ALL SELECT 0, ''), wv AS {WV_SQL}
+SELECT CAST(v.id AS BIGINT) AS id, v.token,
+       {_round_vec_sql(f"coalesce(w1.vec, list_transform(range({DIM}), lambda i: 0.0::FLOAT))")} AS vec
+FROM v LEFT JOIN wv w1 ON w1.token = v.token AND v.id > 0""")
+def q_matrix_zeros(spark, sf):
+    """Frequency vocabulary (5,000), exact words only, zeros elsewhere, row 0 zero."""
+    t = E.embedding_table(_v1(spark, sf, cap=5000), word_vectors(spark, sf), DIM, fill="zeros",
+                          try_capitalized=False, first_row=True)
+    return t.select("id", "token", _round_vec(F.col("vec")).alias("vec"))
+
+
+def _uniform_sql(seed, id_expr: str) -> str:
+    span = EMB_FILL_UNIFORM_HIGH - EMB_FILL_UNIFORM_LOW
+    return (f"list_transform(range({DIM}), lambda j: CAST({EMB_FILL_UNIFORM_LOW!r} + {span!r} * "
+            f"{sql_uniform(seed, id_expr, 'j')} AS FLOAT))")
+
+
+@query("e1_matrix_min_count_uniform", sql=f"""
+WITH v AS (SELECT id, token FROM {V2_SQL}), wv AS {WV_SQL}
+SELECT CAST(0 AS BIGINT) AS id, '' AS token, list_transform(range({DIM}), lambda i: 0.0::DOUBLE) AS vec
+UNION ALL SELECT CAST(1 AS BIGINT), 'UNK', {_round_vec_sql(_uniform_sql(42, '1'))}
+UNION ALL SELECT CAST(v.id AS BIGINT), v.token,
+       {_round_vec_sql(f"coalesce(w1.vec, {_uniform_sql(42, 'v.id')})")}
+FROM v LEFT JOIN wv w1 ON w1.token = v.token""")
+def q_matrix_uniform(spark, sf):
+    """Min-count vocabulary, exact words only, uniform fill, special rows 0 and 1."""
+    v2 = _v2(spark, sf)
+    t = E.embedding_table(v2, word_vectors(spark, sf, v2), DIM, fill="uniform", try_capitalized=False, special_rows=True)
+    return t.select("id", "token", _round_vec(F.col("vec")).alias("vec"))
+
+
 ZERO_SQL = f"list_transform(range({DIM}), lambda i: 0.0::DOUBLE)"
 
 
