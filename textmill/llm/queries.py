@@ -24,7 +24,25 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-@register("op1_ngram_join")
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@register("op1_ngram_join", sql=fr"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) >= 3
+        THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS gs FROM w),
+n AS (SELECT doc_id, len(gs) AS n, md5(array_to_string(list_sort(gs), chr(10))) AS same FROM g),
+s AS (SELECT doc_id, unnest(gs) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d),
+k AS (SELECT d AS doc_id, min(c) AS component_id FROM r GROUP BY d),
+l AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, coalesce(n_links, 0) AS n_links,
+       CASE WHEN n = 0 THEN 1 ELSE count(*) OVER (PARTITION BY same) END AS n_copies
+FROM n JOIN k USING (doc_id) LEFT JOIN l USING (doc_id)""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.ngram_join import ngram_join
     return ngram_join(table(spark, sf_dir, "documents"), size=3, percent=90)
@@ -122,7 +140,44 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
-@register("op4_url_filter")
+def _rules_sql() -> str:
+    return "(VALUES " + ", ".join(map(str, URL_RULES)) + ") r(h, p, v)"
+
+
+def _url_sql(u: str) -> dict[str, str]:
+    """Host, path and alias key of a url, as SQL."""
+    rest = f"CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) END"
+    host = f"coalesce(translate(regexp_extract({rest}, '^[^/?#]*'), {_AZ}), '')"
+    path = f"coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '')"
+    query = (f"array_to_string(list_filter(string_split(regexp_extract({rest}, '^[^?#]*[?]([^#]*)', 1), '&'), lambda q: q <> '' AND "
+             "NOT regexp_matches(q, '^(utm_[a-z]+|fbclid|gclid|msclkid|mc_cid|mc_eid)(=|$)')), '&')")
+    key = (f"CASE WHEN strpos({u}, '://') > 0 THEN '//' || {host} || {path} || "
+           f"CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END ELSE {u} END")
+    return {"host": host, "path": path, "key": key}
+
+
+_U = _url_sql("url")
+
+
+#: The oracle knows links by absolute address, which is what pages declare.
+@register("op4_url_filter", sql=fr"""
+WITH RECURSIVE
+t AS (SELECT DISTINCT url, unnest(list_concat(
+        list_transform(regexp_extract_all(html, '(?i)<link\s[^>]*rel="canonical"[^>]*>'), lambda x: regexp_extract(x, 'href="([^"]*)"', 1)),
+        list_transform(regexp_extract_all(html, '(?i)<meta\s[^>]*http-equiv="refresh"[^>]*>'),
+                       lambda x: regexp_extract(x, '(?i)url=([^"]*)"', 1)))) AS target
+      FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+u AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL UNION SELECT target FROM t WHERE target <> ''),
+x AS (SELECT url, {_U['host']} AS host, {_U['path']} AS path, {_U['key']} AS key FROM u),
+f AS (SELECT url, key, h || p AS rule, v FROM x JOIN {_rules_sql()}
+      ON x.host <> '' AND (x.host = h OR ends_with(x.host, '.' || h)) AND starts_with(x.path, p)
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(h || p) DESC, v, h || p) = 1),
+e AS (SELECT a.key AS a, b.key AS b FROM t JOIN x a ON a.url = t.url JOIN x b ON b.url = t.target
+      UNION SELECT b.key, a.key FROM t JOIN x a ON a.url = t.url JOIN x b ON b.url = t.target),
+bad(key) AS (SELECT key FROM f WHERE v = 'block' UNION SELECT e.b FROM bad JOIN e ON e.a = bad.key)
+SELECT page_id, {_U['host'].replace('url', 'pages.url')} AS host, {_U['path'].replace('url', 'pages.url')} AS path, f.rule,
+       coalesce(f.v, CASE WHEN x.key IN (SELECT key FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN x ON x.url = pages.url LEFT JOIN f ON f.url = pages.url""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.url_filter import judge_urls
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS t(host, path, verdict)")
