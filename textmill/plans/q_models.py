@@ -20,7 +20,9 @@ from textmill.operators.evaluate import classification_report
 from textmill.operators.sampling import stratified_split
 from textmill.operators.embed import pool
 from textmill.plans import sqlfrag as S
-from textmill.plans.q_embed import word_vectors
+from textmill.operators.pipeline import main_pipeline, vector_stages
+from textmill.plans.q_embed import WV_SQL, ZERO_SQL, word_vectors
+from textmill.plans.q_vocab import _lemma_table, _stops_sql
 from textmill.functions.hashing import sql_hash
 from textmill.plans.q_sampling import SEED, _strat_sql
 from textmill.plans.registry import query, table
@@ -70,6 +72,48 @@ def q_m5(spark, sf):
         F.round("f1", 6).alias("f1"), "support")
 
 
+def _tables(spark, sf):
+    """The lemma and the vector table, written for the pipeline's look-ups."""
+    lemmas, vectors = _scratch(spark, "lemmas"), _scratch(spark, "vectors")
+    _lemma_table(spark, sf).write.parquet(lemmas)
+    word_vectors(spark, sf).write.parquet(vectors)
+    return lemmas, vectors
+
+
+@query("m5_main_pipeline_vectors", sql=f"""
+WITH wv AS {WV_SQL},
+toks AS (SELECT DISTINCT unnest({S.tokenize('text')}) AS token FROM documents),
+lem AS (SELECT token, substr(token, 1, length(token) - 1) AS lemma FROM toks
+        WHERE suffix(token, 's') AND length(token) > 3 AND substr(token, 1, length(token) - 1) IN (SELECT token FROM toks)),
+t AS (SELECT doc_id, unnest(list_filter(list_transform({S.split_ws('text')},
+        lambda t: regexp_replace(lower(t), '[^\\p{{L}}+]', '', 'g')), lambda t: t <> '' AND NOT list_contains({_stops_sql()}, t))) AS token
+      FROM documents),
+c AS (SELECT doc_id, coalesce(lemma, token) AS token, count(*) AS n FROM t LEFT JOIN lem USING (token) GROUP BY ALL),
+u AS (SELECT c.doc_id, c.n, unnest(w.vec)::DOUBLE AS x, generate_subscripts(w.vec, 1) AS k FROM c JOIN wv w USING (token)),
+a AS (SELECT doc_id, k, sum(n * x) / sum(n) AS m FROM u GROUP BY doc_id, k),
+p AS (SELECT doc_id, list({r6('m')} ORDER BY k) AS doc_vec FROM a GROUP BY doc_id)
+SELECT d.doc_id, coalesce(p.doc_vec, {ZERO_SQL}) AS doc_vec FROM documents d LEFT JOIN p USING (doc_id)""")
+def q_main_vectors(spark, sf):
+    """The main pipeline's document vectors, from its saved and loaded stages."""
+    model = M.scoring_pipeline(vector_stages(*_tables(spark, sf)))
+    path = _scratch(spark, "vector_stages")
+    save_model(model, path)
+    out = load_model(path).transform(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.transform("doc_vec", lambda x: F.round(x, 6)).alias("doc_vec"))
+
+
+@query("m5_main_pipeline_report")
+def q_main_report(spark, sf):
+    """normalise -> stop words -> lemmas -> averaged vectors -> classifier:
+    split first, fitted on the training split, reported on all test rows."""
+    s = stratified_split(_docs_text(spark, sf), "lang", 0.25, SEED)
+    model = main_pipeline(*_tables(spark, sf), label="lang").fit(s.where(F.col("split") == "train"))
+    scored = M.score(s.where(F.col("split") == "test"), model, labels_from="label_idx")
+    return classification_report(scored, "lang", "predicted_label").select(
+        "class", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"),
+        F.round("f1", 6).alias("f1"), "support")
+
+
 @query("m6_m7_s7_save_load_score", sql=f"""
 SELECT doc_id, TRUE AS same FROM {_strat_sql(0.25, cols='doc_id, lang')} WHERE split = 'test'""")
 def q_m6(spark, sf):
