@@ -31,7 +31,7 @@ TREES, DEPTH, SAMPLE_ROWS = 10, 9, 20_000
 #: A query's search ends when its leaves, over all trees, hold so many vectors
 #: and this share of the index.  The share is what vectors without any
 #: clusters need for a recall over 0.9; clustered ones do with far less.
-SEARCH, SEARCH_SHARE = 6_000, 0.5
+SEARCH, SEARCH_SHARE = 6_000, 0.6
 #: Vectors of a leaf that one block holds, about.
 BLOCK = 2048
 #: Pieces in which the ids of one much repeated vector are gathered first.
