@@ -25,6 +25,8 @@ from textmill.session import barrier
 #: Labelled rows that a fit uses at most (chosen by a hash of their id).
 SAMPLE_ROWS = 40_000
 FIT_PARTITIONS = 16
+#: Rows of a batch that goes back to Spark.
+OUT_ROWS = 1000
 #: Features of the kernel, width of the kernel in standardised units, ridge.
 FOURIER, WIDTH, RIDGE, SEED = 256, 3.0, 1e-3, 20_240
 
@@ -115,8 +117,8 @@ def _vectors(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 def _summed(df: DataFrame, function) -> np.ndarray | None:
     """The sum over all rows of what ``function(x, y)`` returns for a matrix
-    and labels: one array a partition comes to the driver, added in the order
-    of the partitions."""
+    and labels: ``FIT_PARTITIONS`` arrays at most come to the driver, however
+    many partitions the rows have, and are added in their order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -130,7 +132,7 @@ def _summed(df: DataFrame, function) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
                                               pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
 
-    rows = sorted(df.select("x", "y").mapInArrow(run, "part int, total binary").collect())
+    rows = sorted(df.select("x", "y").coalesce(FIT_PARTITIONS).mapInArrow(run, "part int, total binary").collect())
     return sum(np.frombuffer(r.total) for r in rows) if rows else None
 
 
@@ -184,16 +186,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a double column ``out`` (0 to 1) from the whole text and
-    nothing else; null and empty texts are scored as texts without words."""
+    """``docs`` with a double column ``out`` (0 to 1; no column of ``docs`` may
+    have its name) from the whole text and nothing else; null and empty texts
+    are scored as texts without words."""
     schema = docs.select("*", F.lit(0.0).alias(out)).schema
     place = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(place)], np.float64).reshape(-1, len(FEATURES))
-            got = shared.value.score(x)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, out])
+        for whole in batches:
+            for i in range(0, whole.num_rows, OUT_ROWS):
+                b = whole.slice(i, OUT_ROWS)
+                x = np.array([statistics(t.as_py()) for t in b.column(place)], np.float64).reshape(-1, len(FEATURES))
+                got = shared.value.score(x)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
