@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from textmill.llm.chunks import ChunkTable
 
 #: Characters of text that a task holds at a time; words that are replayed
-#: together; replayed words that a worker keeps for its next slices.
+#: together; replayed words that a task keeps for its next slices.
 SLICE_CHARS = 6_000_000
 REPLAY_WORDS = 100_000
 KEPT_WORDS = 200_000
@@ -77,7 +77,7 @@ class MergeTable:
         return out
 
     def encode(self, words: dict[str, int]) -> list[bytes]:
-        """``replay`` of the keys, in order; the worker keeps some results."""
+        """``replay`` of the keys, in order; some results are kept."""
         fresh = [w for w in words if w not in self.kept]
         if len(self.kept) + len(fresh) > KEPT_WORDS:
             self.kept.clear()
@@ -203,6 +203,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
                     yield from flush()
                     held, chunks, chars = [], ChunkTable(), 0
         yield from flush()
+        merges.kept.clear()  # the worker may idle for long
 
     return docs.mapInArrow(run, schema)
 
