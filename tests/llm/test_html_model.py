@@ -76,3 +76,18 @@ def test_page_with_every_kind_of_block(spark):
     assert out.columns == ["page_id", "url", "html", "text"]
     assert sorted(r.text for r in out.collect()) == ["", got[0], got[0]]
     assert H.extract_text(df.limit(0), model).count() == 0
+
+
+def test_a_head_without_its_end_tag():
+    model = H.train_pages()
+    text = H._LONG.strip()
+    body = f"<article><h1>Title</h1><p>{text}</p></article>"
+    whole = f"Title {text}"
+    heads = ["<head><title>x</title><body>", "<head><title>x</title><meta charset=utf-8><link rel=icon href=i>",
+             "<head><title>x</title><style>p{}</style><script>var a = '<p>';</script><body class=post>",
+             "<head><noscript><img src=i><p>No script.</p></noscript><template><p>Later.</p></template><title>x</title>",
+             "<head><base href=/><title/><head><body>", "<head><title>x<body>", "<head><title>x</head><body>",
+             "<head><img src=i><title>x</title></head><body>", "<head><title>x</title></head><body>", "<head></body>"]
+    got = model.texts([f"<html>{h}{body}</html>" for h in heads] + [f"{h}{body}" for h in heads])
+    assert got == [whole] * 2 * len(heads)
+    assert [t for _, t in H.page_tree("<html><head><title>x</title>Bare &amp; whole").runs] == ["Bare & whole"]

@@ -33,6 +33,10 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no text of the page at all.
 NO_TEXT = set("head script style template noscript svg iframe object math canvas audio video select textarea".split())
+#: What a head may hold, of that what may hold text, and the tags that end any head.
+_IN_HEAD = set("html head title meta link base basefont bgsound script style template noscript noframes".split())
+_HEAD_TEXT = set("title script style template noscript noframes".split())
+_ENDS_HEAD = {"head", "body", "html"}
 _CLOSES_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav "
                 "ol p pre section table ul details summary dialog".split())
 #: An element of the first kind ends an open one of the second, up to the third.
@@ -90,6 +94,7 @@ class _Page(HTMLParser):
         self.runs: list[tuple[int, list[str]]] = []
         self.open = False          # whether the last run goes on
         self.skip: list[str] = []  # elements without text that are open
+        self.cut = False           # whether a tag or text ended the head, so that a title may follow
         self.link = 0
         self.linked = [0]          # characters in links, by node
 
@@ -108,12 +113,23 @@ class _Page(HTMLParser):
         self.open = False
         self.link = 0
 
+    def _cut_head(self):
+        """</head> may be left out: what a head cannot hold ends it."""
+        self.skip.clear()
+        self.cut = True
+
     def handle_starttag(self, tag, attrs):
+        if self.skip == ["head"] and tag in _IN_HEAD:
+            if tag in _HEAD_TEXT:
+                self.skip.append(tag)
+            return
+        if self.skip == ["head"] or (tag == "body" and self.skip and self.skip[0] in ("head", "title")):
+            self._cut_head()
         if self.skip:
             if tag == self.skip[-1] and tag not in VOID:
                 self.skip.append(tag)
             return
-        if tag in NO_TEXT:
+        if tag in NO_TEXT or (tag == "title" and self.cut):
             self.skip.append(tag)
             return
         if tag in INLINE:
@@ -140,15 +156,15 @@ class _Page(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in NO_TEXT:
+        if tag in NO_TEXT or self.skip[-1:] == [tag]:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if self.skip:
             if tag == self.skip[-1]:
                 self.skip.pop()
-            elif self.skip == ["head"] and tag == "html":
-                self.skip.pop()
+            elif self.skip[0] in ("head", "title") and tag in _ENDS_HEAD:
+                self.skip.clear()
             return
         if tag == "a":
             self.link = 0
@@ -157,6 +173,8 @@ class _Page(HTMLParser):
         self._pop(len(self.names) - 1 - self.names[::-1].index(tag))
 
     def handle_data(self, data):
+        if self.skip == ["head"] and data.strip():
+            self._cut_head()
         if self.skip:
             return
         node = self.stack[-1]
