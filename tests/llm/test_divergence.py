@@ -67,3 +67,23 @@ def test_no_reference(spark):
 def test_every_common_word_has_a_sign():
     signs = _signs()
     assert all(w in signs for ws in COMMON_WORDS.values() for w in ws) and len(set(signs.values())) == len(signs)
+
+
+def test_languages_without_a_word_list(spark):
+    r = random.Random(8)
+    common = "ja on ei se että oli hän mutta kun niin myös vain ovat olla kuin jos sen hänen".split()
+    content = ["".join(r.choice("aeioukltnsmpv") for _ in range(r.randint(4, 9))) for _ in range(400)]
+    clean = [" ".join(r.choice(common) if r.random() < 0.45 else r.choice(content) for _ in range(250)) + "." for _ in range(40)]
+    junk = [" ".join(r.choice("#$%&|<>") * 3 + str(r.randint(0, 999)) for _ in range(250)) for _ in range(4)]
+    listing = [" ".join(r.choice(content) for _ in range(250)) for _ in range(4)]
+    rows = [(i, t, "fi") for i, t in enumerate(clean + junk + listing)] + [(100, clean[0], "et"), (101, clean[1], None)]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    docs = given.unionByName(spark.createDataFrame([(10_000_000 + i, t, lang) for i, t, lang in rows], given.schema))
+    got = {x.doc_id: x for x in divergence_rules(docs).collect()}
+    kept = {i: got[10_000_000 + i].kept for i, _, _ in rows}
+    assert all(kept[i] for i in range(40)) and not any(kept[i] for i in range(40, 48))
+    assert kept[100] and not kept[101]  # too few texts of that language; a text of no given one
+    for x in divergence_rules(given).collect():
+        assert x[3:] == got[x.doc_id][3:]
+    alone = divergence_rules(spark.createDataFrame(rows[:48], "doc_id long, text string, lang string")).collect()
+    assert sorted(x.doc_id for x in alone if x.kept) == list(range(40))

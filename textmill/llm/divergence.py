@@ -4,14 +4,16 @@ A document's histogram of character classes and its histogram of the common
 words of each language are compared with the language's references by
 Jensen-Shannon distance; a document passes if some language is near in both.
 References are the median histograms of the whole corpus by language (a few
-numbers a language, gathered in one aggregate).  Short texts have no stable
+numbers a language, gathered in one aggregate).  A language without a list
+here gets its common words from the corpus, by counts over all its texts, and
+its reference judges the texts of that language only.  Short texts have no stable
 histogram: below the guards a distance counts as 0.  Plain counts (symbols,
 repeated lines, repeated windows of words) come from the same pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Common function words, as any grammar lists them.
@@ -28,6 +30,8 @@ MIN_WORDS, MIN_CHARS = 40, 120
 #: and what the square root of the number of words divides, for the noise of
 #: short ones.
 CHARS_LIMIT, WORDS_LIMIT = (0.10, 1.35), (0.22, 1.0)
+#: Words of a language that the corpus gives, and long texts it must have for that.
+CORPUS_WORDS, MIN_TEXTS = 20, 20
 #: Steps in which shares are counted for the references.
 STEPS = 2000
 
@@ -41,9 +45,29 @@ _PLAIN = r"[a-z\x20\x09-\x0D\u00DF-\u00FF]+"
 _SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_.,:;!?@=(){}[]<>~^*"
 
 
-def _signs() -> dict[str, str]:
-    words = list(dict.fromkeys(w for ws in COMMON_WORDS.values() for w in ws))
-    return dict(zip(words, _SIGNS, strict=False))
+def _signs(more: dict[str, list[str]] | None = None) -> dict[str, str]:
+    words = list(dict.fromkeys(w for ws in [*COMMON_WORDS.values(), *(more or {}).values()] for w in ws))
+    return {w: _SIGNS[i] if i < len(_SIGNS) else chr(0x20000 + i) for i, w in enumerate(words)}
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
+    """The most frequent words of each language of ``docs`` that has no list
+    above and ``MIN_TEXTS`` texts of ``MIN_WORDS`` words or more."""
+    lang = F.col(lang_col).cast("string")
+    words = F.filter(F.split(F.col(text_col).cast("string"), SPACE, -1), lambda w: w != "")
+    others = docs.where(~lang.isin(*COMMON_WORDS)).select(lang.alias("lang"), words.alias("w"))
+    long_enough = others.where(F.size("w") >= MIN_WORDS).groupBy("lang").count().where(F.col("count") >= MIN_TEXTS)
+    names = [r["lang"] for r in long_enough.collect()]
+    if not names:
+        return {}
+    counts = others.where(F.col("lang").isin(*names)).select("lang", F.explode("w").alias("w")) \
+        .select("lang", F.lower("w").alias("word")).where(F.col("word").rlike(r"^[\p{L}\p{M}'’-]+$")) \
+        .groupBy("lang", "word").count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    out: dict[str, list[str]] = {name: [] for name in sorted(names)}
+    for r in counts.withColumn("place", place).where(F.col("place") <= CORPUS_WORDS).orderBy("lang", "place").collect():
+        out[r["lang"]].append(r["word"])
+    return out
 
 
 def _repeated(df: DataFrame) -> DataFrame:
@@ -70,18 +94,18 @@ def _repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", covered.cast("long")).drop("__win", "__twice", "__at", "__pos")
 
 
-def text_histograms(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def text_histograms(docs: DataFrame, text_col: str = "text", more: dict[str, list[str]] | None = None) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols (long), ``chars`` (counts
     of the character classes, the rest last) and ``common`` (counts of the
-    common words); the words stay as ``__w``, the text as ``__t``.  A null
-    text counts as empty."""
+    common words, then of ``more`` words by language); the words stay as
+    ``__w``, the text as ``__t``.  A null text counts as empty."""
     df = docs.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     # one pass over the text takes out what is no special character anyway
     few = F.regexp_replace("__t", _PLAIN, "")
     df = df.select("*", F.filter(F.split(F.col("__t"), SPACE, -1), lambda w: w != "").alias("__w"), few.alias("__few"))
     counts = [F.length(F.regexp_replace("__few", f"[^{p}]+", "")).cast("long").alias(f"__{k}")
               for k, p in _CLASSES.items()]
-    signs = _signs()
+    signs = _signs(more)
     forms = {**signs, **{w.capitalize(): s for w, s in signs.items()}}
     known, order = F.array(*[F.lit(w) for w in forms]), F.lit("".join(forms.values()))
     marks = F.transform(F.filter("__w", lambda w: w.isin(*forms)),
@@ -90,43 +114,49 @@ def text_histograms(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("n_words", F.size("__w").cast("long")) \
         .withColumn("word_chars", F.aggregate("__w", F.lit(0).cast("long"), lambda a, w: a + F.length(w))) \
         .withColumn("n_symbols", F.col("__symbol"))
-    each = [F.length("__marks") - F.length(F.replace(F.col("__marks"), F.lit(s), F.lit(""))) for s in signs.values()]
+    listed = len(_signs())
+    each = F.array(*[F.length("__marks") - F.length(F.replace(F.col("__marks"), F.lit(s), F.lit("")))
+                     for s in list(signs.values())[:listed]])
+    if len(signs) > listed:
+        each = F.concat(each, F.transform(F.array(*map(F.lit, list(signs.values())[listed:])), lambda s: F.length(
+            "__marks") - F.length(F.replace(F.col("__marks"), s, F.lit("")))))
     seen = [F.col(f"__{k}") for k in _CLASSES]
     rest = F.greatest(F.col("word_chars") - sum(seen[1:], seen[0]), F.lit(0))
     return df.withColumn("chars", F.array(*seen, rest).cast("array<double>")) \
-        .withColumn("common", F.array(*each).cast("array<double>")) \
+        .withColumn("common", each.cast("array<double>")) \
         .drop("__few", "__marks", *[f"__{k}" for k in _CLASSES])
 
 
-def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def text_counts(docs: DataFrame, text_col: str = "text", more: dict[str, list[str]] | None = None) -> DataFrame:
     """``text_histograms`` with n_dup_lines and n_repeat_words (long).
     Columns of ``docs`` with these names are replaced."""
-    df = text_histograms(docs, text_col)
+    df = text_histograms(docs, text_col, more)
     lines = F.transform(F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(x))
     df = df.select("*", lines.alias("__lines"), F.transform("__w", lambda w: F.xxhash64(w)).alias("__h")) \
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     return _repeated(df).drop("__t", "__w", "__h", "__lines")
 
 
-def _places(lang: str) -> list[int]:
-    order = list(_signs())
-    return [order.index(w) for w in COMMON_WORDS[lang]]
+def _places(lang: str, more: dict[str, list[str]] | None = None) -> list[int]:
+    order = {w: i for i, w in enumerate(_signs(more))}
+    return [order[w] for w in COMMON_WORDS.get(lang) or more[lang]]
 
 
-def language_references(counts: DataFrame, lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+def language_references(counts: DataFrame, lang_col: str = "lang", more: dict[str, list[str]] | None = None) -> dict[str, tuple]:
     """Median histograms by language, over all texts of the corpus long enough
     to have one: (character classes, common words and the rest).  Medians,
     since a corpus holds junk too; exact ones of shares in steps of 1/``STEPS``,
     from counts by step that the tasks add up.  Languages without a word list,
-    or without such texts, have none."""
-    lang = F.col(lang_col)
+    here or in ``more`` (the one that ``counts`` were made with), or without
+    such texts, have none; those of ``more`` have their words as third item."""
+    lang, lists = F.col(lang_col).cast("string"), {**(more or {}), **COMMON_WORDS}
     long_enough = counts.where((F.col("n_words") >= MIN_WORDS) & (F.col("word_chars") >= MIN_CHARS)
-                               & lang.isin(*COMMON_WORDS))
+                               & lang.isin(*lists))
     n_chars = len(_CLASSES) + 1
     shares = F.array(*[F.col("chars")[i] / F.col("word_chars") for i in range(n_chars)])
     own = None
-    for name in COMMON_WORDS:
-        mine = F.array(*[F.col("common")[i] / F.col("n_words") for i in _places(name)])
+    for name in lists:
+        mine = F.array(*[F.col("common")[i] / F.col("n_words") for i in _places(name, more)])
         own = F.when(lang == name, mine) if own is None else own.when(lang == name, mine)
     steps = long_enough.select(lang.alias("lang"), F.posexplode(F.concat(shares, own)).alias("bin", "share")) \
         .groupBy("lang", "bin", F.round(F.col("share") * STEPS).cast("int").alias("step")).count()
@@ -144,9 +174,10 @@ def language_references(counts: DataFrame, lang_col: str = "lang") -> dict[str,
 
     out = {}
     for name in sorted({k for k, _ in by_bin}):
-        bins = [median(name, i) for i in range(n_chars + len(COMMON_WORDS[name]))]
+        bins = [median(name, i) for i in range(n_chars + len(lists[name]))]
         chars, words = bins[:n_chars], bins[n_chars:]
-        out[name] = ([c / sum(chars) for c in chars], [*words, max(0.0, 1 - sum(words))])
+        out[name] = ([c / sum(chars) for c in chars], [*words, max(0.0, 1 - sum(words))],
+                     *([] if name in COMMON_WORDS else [lists[name]]))
     return out
 
 
@@ -167,36 +198,44 @@ def divergence_rules(docs: DataFrame, references: dict | None = None, text_col:
     the language that is nearest; null without references), base_failed
     (n_words < 10, or 100 * n_repeat_words > 20 * n_words) and kept.
 
-    ``references`` default to those of ``docs`` itself.  Null and empty texts
-    fail; texts under the guards are judged by base_failed alone; without any
-    reference nothing else is judged.  Repeated rows are judged alike.
+    ``references`` default to those of ``docs`` itself; one of a language that
+    ``COMMON_WORDS`` lacks is (characters, words, list of its words) and holds
+    for texts of that ``lang_col`` only.  Null and empty texts fail; texts under
+    the guards, and texts whose language is given and has no reference (fewer
+    than ``MIN_TEXTS`` long texts), are judged by base_failed alone.  Repeated
+    rows are judged alike.
     """
-    counts = text_counts(docs, text_col)
     if references is None:
         plain = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-        references = language_references(text_histograms(plain))
+        more = corpus_words(plain)
+        references = language_references(text_histograms(plain, more=more), more=more)
+    more = {lang: r[2] for lang, r in sorted(references.items()) if lang not in COMMON_WORDS}
+    given = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    counts = text_counts(docs.withColumn("__lang", given), text_col, more)
     share_c = F.transform("chars", lambda x: x / F.greatest(F.col("word_chars"), F.lit(1)))
     share_w = F.transform("common", lambda x: x / F.greatest(F.col("n_words"), F.lit(1)))
     df = counts.withColumn("__pc", share_c).withColumn("__pw", share_w)
     pairs = []
-    for lang, (chars, words) in sorted(references.items()):
-        at = [F.col("__pw")[i] for i in _places(lang)]
+    for lang, (chars, words, *_) in sorted(references.items()):
+        at = [F.col("__pw")[i] for i in _places(lang, more)]
         hist = F.array(*at, F.greatest(1 - sum(at[1:], at[0]), F.lit(0.0)))
         c = F.when(F.col("word_chars") < MIN_CHARS, 0.0).otherwise(js_distance(F.col("__pc"), chars))
         w = F.when(F.col("n_words") < MIN_WORDS, 0.0).otherwise(js_distance(hist, words))
         noise = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-        pairs.append(F.struct((c / (CHARS_LIMIT[0] + CHARS_LIMIT[1] * noise)).alias("rc"),
-                              (w / (WORDS_LIMIT[0] + WORDS_LIMIT[1] * noise)).alias("rw"), c.alias("c"), w.alias("w")))
+        pair = F.struct((c / (CHARS_LIMIT[0] + CHARS_LIMIT[1] * noise)).alias("rc"),
+                        (w / (WORDS_LIMIT[0] + WORDS_LIMIT[1] * noise)).alias("rw"), c.alias("c"), w.alias("w"))
+        pairs.append(F.when(F.col("__lang") == lang, pair) if lang in more else pair)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     if not pairs:
-        return df.drop("__pc", "__pw").withColumn("js_chars", F.lit(None).cast("double")) \
+        return df.drop("__pc", "__pw", "__lang").withColumn("js_chars", F.lit(None).cast("double")) \
             .withColumn("js_words", F.lit(None).cast("double")).withColumn("base_failed", base) \
             .withColumn("kept", ~F.col("base_failed")).drop("chars", "common")
     df = df.withColumn("__all", F.array(*pairs))
-    near = F.array_min(F.transform("__all", lambda s: F.struct(
+    near = F.array_min(F.transform(F.filter("__all", lambda s: s.isNotNull()), lambda s: F.struct(
         F.greatest(s["rc"], s["rw"]).alias("far"), s["c"].alias("c"), s["w"].alias("w"))))
     df = df.withColumn("__near", near)
+    unlike = F.coalesce(F.col("__near")["far"] > 1, F.lit(False)) & F.coalesce(F.col("__lang").isin(*references), F.lit(True))
     return df.withColumn("js_chars", F.col("__near")["c"]).withColumn("js_words", F.col("__near")["w"]) \
         .withColumn("base_failed", base) \
-        .withColumn("kept", ~F.col("base_failed") & (F.col("__near")["far"] <= 1)) \
-        .drop("__pc", "__pw", "__all", "__near", "chars", "common")
+        .withColumn("kept", ~F.col("base_failed") & ~unlike) \
+        .drop("__pc", "__pw", "__all", "__near", "__lang", "chars", "common")
