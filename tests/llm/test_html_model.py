@@ -91,3 +91,12 @@ def test_a_head_without_its_end_tag():
     got = model.texts([f"<html>{h}{body}</html>" for h in heads] + [f"{h}{body}" for h in heads])
     assert got == [whole] * 2 * len(heads)
     assert [t for _, t in H.page_tree("<html><head><title>x</title>Bare &amp; whole").runs] == ["Bare & whole"]
+
+
+def test_formulas_and_fallback_text_stay():
+    model = H.train_pages()
+    text = H._LONG.strip()
+    page = (f"<html><head><title>x</title></head><body><article><h1>Title</h1><p>{text} So <math><mrow><mi>a</mi><mo>=</mo><mn>2</mn>"
+            f"</mrow></math> holds.</p><p><object data=f><param name=a value=b>A map of the <b>old</b> town.</object> {text}</p>"
+            f"<object><p>{text}</p></object></article></body></html>")
+    assert model.texts([page]) == [f"Title {text} So a=2 holds. A map of the old town. {text} {text}"]
