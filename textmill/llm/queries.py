@@ -182,3 +182,40 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.url_filter import judge_urls
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS t(host, path, verdict)")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), rules, keep=["page_id"])
+
+
+def _repeated_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in the texts whose h = crc32(doc_id) ends in 0, the
+    words from a certain one on repeat the first of them."""
+    from pyspark.sql import functions as F
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def change(w):
+        n = F.size(w)
+        a = (g % F.greatest(n, F.lit(1))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, 1, a), F.slice(tail, 1, n - a)), " ")
+
+    # one entry, so that the words are taken once
+    changed = F.transform(F.array(words), change)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from textmill.llm.periodic_runs import periodic_runs, runs_digest, strongest
+    docs = _repeated_tails(table(spark, sf_dir, "documents"))
+    got = periodic_runs(docs, min_length=24, min_exponent=3, keep=["doc_id"])
+    best = strongest(F.col("runs"))
+    got = got.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                     F.sha2(runs_digest(F.col("runs")), 256).alias("runs_sha256"),
+                     F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return got.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                      F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                      "runs_sha256", "collapsed_sha256", "n_words")
