@@ -2,8 +2,8 @@
 
 Every round is a few shuffles over the edge table, whatever its shape, and
 the number of rounds grows with the logarithm of the longest path.  A node
-with very many edges is only ever aggregated (map-side combine) or joined
-(AQE splits the skewed side); no node's edges meet in one task.
+with very many edges is only ever aggregated (map-side combine) or joined by
+broadcast with the few others of its kind; no node's edges meet in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.operators.headtail import join_split
 from textmill.session import barrier
 
 
@@ -18,19 +19,21 @@ def _pairs(a, b) -> DataFrame:
     return F.least(a, b), F.greatest(a, b)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One star step over (lo, hi) rows, lo < hi: every node's neighbours are
     pointed at the smallest node it sees (``large``: only its larger
-    neighbours, seen from both ends; else only its smaller ones)."""
+    neighbours, seen from both ends; else only its smaller ones).  ``total``
+    is the number of rows, or more."""
     if large:
         seen = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        low = seen.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        moved = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(low, "u") \
-            .select(F.col("m").alias("lo"), F.col("v").alias("hi"))
+        low = seen.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = join_split(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")), low.drop("n"), "u",
+                           low.select("u", "n"), total).select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         return moved.distinct()
-    low = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    both = edges.join(low, "hi")
+    low = edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+    both = join_split(edges, low.drop("n"), "hi", low.select("hi", "n"), total)
+    low = low.drop("n")
     moved = both.select(F.col("m").alias("a"), F.col("lo").alias("b")) \
         .unionByName(low.select(F.col("m").alias("a"), F.col("hi").alias("b")))
     return moved.where("a <> b").select(*[c.alias(n) for c, n in zip(_pairs(F.col("a"), F.col("b")), ("lo", "hi"))]) \
@@ -54,7 +57,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     for _ in range(rounds):
         if not last[0]:
             break
-        now = barrier(_star(_star(now, True), False))
+        now = barrier(_star(barrier(_star(now, True, last[0])), False, last[0]))
         this = mark(now)
         if this == last:
             break

@@ -219,3 +219,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
                       F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
                       "runs_sha256", "collapsed_sha256", "n_words")
+
+
+@register("op13_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from textmill.llm.simhash import simhash_classes
+    got = simhash_classes(table(spark, sf_dir, "documents"), size=4, bits=4, seed=42)
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
