@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from textmill.llm import bpe_replay, token_files
 from textmill.llm.queries import QUERIES
@@ -58,6 +59,59 @@ def test_merges_of_random_bytes(seed):
         assert np.frombuffer(ids, "<u4").tolist() == enc._encode_single_piece(w)
 
 
+def plain_merges(ranks, word):
+    """Lowest rank first, leftmost first, one pair at a time."""
+    if word in ranks:
+        return [ranks[word]]
+    parts = [word[i:i + 1] for i in range(len(word))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_merges_by_any_ranks(seed):
+    """Tables in which a merge may make a pair of a lower rank, too."""
+    r = random.Random(seed)
+    tokens = [bytes([i]) for i in range(256)]
+    tokens += list({bytes(r.choice(b"ab") for _ in range(r.randint(2, 6))) for _ in range(r.choice([5, 20, 60]))})
+    numbers = list(range(len(tokens)))
+    r.shuffle(numbers)
+    ranks = dict(zip(tokens, numbers))
+    words = [bytes(r.choice(b"aab") for _ in range(r.randint(1, 40))) for _ in range(200)] + [b"a" * n for n in range(1, 30)]
+    for w, ids in zip(words, bpe_replay.MergeTable(ranks).replay(words)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain_merges(ranks, w), w
+
+
+def test_long_runs_end(spark):
+    n = 1_000_000
+    long = ["-" * n, " " * n, "a" * n, "ab" * (n // 2), "\n" * n]
+    got = bpe_replay.bpe_encode(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), RANKS, P.PATTERN)
+    enc = tiktoken_encoding()
+    for i, ids in got.select("doc_id", "ids").collect():
+        ids = np.frombuffer(ids, "<u4")
+        few = enc.encode_ordinary(long[i][:4000])
+        assert enc.decode_bytes(ids.tolist()) == long[i].encode()
+        assert np.array_equal(ids[:len(few) // 2], few[:len(few) // 2])
+    merges = bpe_replay.MergeTable(bpe_replay.read_ranks(RANKS))
+    for w in (b"-" * 20_001, b" " * 20_000, b"ab" * 9_999, b"=-" * 7_001):
+        assert np.frombuffer(merges.replay([w])[0], "<u4").tolist() == enc._encode_single_piece(w)
+
+
+def test_columns_named_like_results(spark):
+    df = spark.createDataFrame([(1, "a b", "old", "older")], "doc_id long, text string, ids string, decoded string")
+    coded = bpe_replay.bpe_encode(df, RANKS, P.PATTERN)
+    assert coded.columns == ["doc_id", "text", "decoded", "ids"]
+    back = bpe_replay.bpe_decode(coded, RANKS)
+    assert back.columns == ["doc_id", "text", "ids", "decoded"]
+    assert bytes(back.first().decoded) == b"a b"
+    assert bpe_replay.bpe_decode(bpe_replay.bpe_encode(df.limit(0), RANKS, P.PATTERN), RANKS).count() == 0
+    assert bpe_replay.bpe_encode(df.select("doc_id", F.col("text").alias("ids")), RANKS, P.PATTERN, "ids").columns == ["doc_id", "ids"]
+
+
 def test_frames_round_trip():
     r = np.random.default_rng(0)
     for ids in (np.empty(0, np.uint32), np.array([7], np.uint32), np.full(5000, 9, np.uint32),

@@ -4,7 +4,8 @@ A task does not encode text by text.  It numbers the distinct words of a
 whole slice of the corpus, lays all of them out as one array of symbols, and
 replays the merges over that array: an inverted index from rank (of a token
 pair) to word positions is taken in rank order, every position of the rank is
-merged at once, and only the touched neighbours get new pairs.  Each text is
+merged at once - of pairs that overlap, as in a run of equal symbols, every
+other one - and only the touched neighbours get new pairs.  Each text is
 then the join of its words' ids.  A slice holds a bounded amount of text, so
 memory does not grow with the input; no shuffle is needed.
 """
@@ -118,6 +119,33 @@ class MergeTable:
                         index[r] = [p]
                         heapq.heappush(queue, r)
 
+        def together(r: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of the positions of rank ``r``: those to merge now, and those
+            to look at again."""
+            same = word[at[1:]] == word[at[:-1]]
+            if not same.any():
+                return at, at[:0]
+            # leftmost first: of a chain of overlapping pairs every other one is merged
+            place = np.arange(len(at))
+            begins = np.concatenate([[True], right[at[:-1]] != at[1:]])
+            whole, at = at, at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+            # a pair that a merge makes must not come before the merges that are left;
+            # in the tables of trained tokenizers it never does
+            after, before = right[right[at]], left[at]
+            joined = np.concatenate([[False], after[:-1] == at[1:]])
+            made = np.full(len(at), _NONE, np.int32)
+            some = np.flatnonzero(after >= 0)
+            made[some] = self.rank(np.full(len(some), r, np.int32), sym[after[some]])
+            some = np.flatnonzero(before >= 0)
+            made[some] = np.minimum(made[some], self.rank(np.where(joined[some], r, sym[before[some]]).astype(np.int32),
+                                                          np.full(len(some), r, np.int32)))
+            if not (made < r).any():
+                return at, at[:0]
+            first = np.concatenate([[True], ~same])
+            odd = word[at[made < r]]
+            slow = np.isin(word[whole], odd)
+            return np.sort(np.concatenate([at[~np.isin(word[at], odd)], whole[slow & first]])), whole[slow & ~first]
+
         put(has)
         while queue:
             r = heapq.heappop(queue)
@@ -125,8 +153,7 @@ class MergeTable:
             at = at[rank[at] == r]
             if not len(at):
                 continue
-            lead = np.concatenate([[True], word[at][1:] != word[at][:-1]])
-            later, at = at[~lead], at[lead]
+            at, later = together(r, at)
             gone = right[at]
             after = right[gone]
             sym[at] = r
@@ -157,13 +184,18 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
                out: str = "ids") -> DataFrame:
     """``docs`` with a binary column ``out``: the ids of the text as
     little-endian unsigned 32-bit integers, every match of ``pattern`` encoded
-    on its own, without special tokens.  A null or empty text has no ids.
+    on its own, without special tokens.  A null or empty text has no ids.  A
+    column named ``out`` is replaced.  Rows are encoded one by one, so repeated
+    rows give repeated results and an empty table an empty one.
     ``pattern`` must begin a new match at a space before a non-space, as the
     usual byte-level patterns do.  The file at ``ranks_path`` is read once, on
     the driver."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = docs.select("*", F.lit(b"").alias(out)).schema
-    place = docs.columns.index(text_col)
+    others = [c for c in docs.columns if c != out]
+    names = [*others, *([text_col] if text_col == out else [])]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    schema = docs.select(*[F.col(f"`{c}`") for c in others], F.lit(b"").alias(out)).schema
+    place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ranks.value
@@ -186,8 +218,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
                 for i in range(0, len(rows), OUT_ROWS):
                     some = rows[i:i + OUT_ROWS]
                     got = [b"".join([coded[c] for c in row.tolist()]) for row in some]
-                    yield pa.RecordBatch.from_arrays([*batch.slice(i, len(some)).columns, pa.array(got, pa.binary())],
-                                                     names=[*batch.schema.names, out])
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.slice(i, len(some)).columns[:len(others)], pa.array(got, pa.binary())], names=[*others, out])
 
         for batch in batches:
             at = 0
@@ -210,10 +242,14 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
 
 def bpe_decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``coded`` with a binary column ``out``: the bytes that its ids stand
-    for.  Null ids give no bytes; an id without a token is an error."""
+    for.  Null ids give no bytes; an id without a token is an error.  A column
+    named ``out`` is replaced; an empty table gives an empty one."""
     ranks = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = coded.select("*", F.lit(b"").alias(out)).schema
-    place = coded.columns.index(ids_col)
+    others = [c for c in coded.columns if c != out]
+    names = [*others, *([ids_col] if ids_col == out else [])]
+    coded = coded.select(*[F.col(f"`{c}`") for c in names])
+    schema = coded.select(*[F.col(f"`{c}`") for c in others], F.lit(b"").alias(out)).schema
+    place = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {r: t for t, r in ranks.value.items()}.__getitem__
@@ -222,7 +258,7 @@ def bpe_decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str
                 batch = whole.slice(i, OUT_ROWS)
                 got = [b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist()))
                        for x in batch.column(place)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())],
-                                                 names=[*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(others)], pa.array(got, pa.binary())],
+                                                 names=[*others, out])
 
     return coded.mapInArrow(run, schema)
