@@ -47,12 +47,44 @@ def test_small_table_is_exact(spark):
 def test_few_rows_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (7, [1.0, 1.0]), (9, [1.0])], schema)
-    assert {q: [i for i, _ in v] for q, v in result(nearest(df, df.where("vec_id % 50 = 0"))).items()} == {0: [7, 50], 50: [7, 0]}
+    got = nearest(df, df.where("vec_id % 50 = 0")).select("query_id", "rank", "vec_id").collect()
+    again = [(50, 1, 50), (50, 2, 7), (50, 3, 0)]  # two rows of one id: each a query, each the other's neighbour
+    assert sorted(map(tuple, got)) == sorted([(0, 1, 7), (0, 2, 50), (0, 3, 50), *again, *again])
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
     one = df.where("vec_id = 7")
     assert nearest(one, one).count() == 0
 
 
+def test_no_query_is_lost(spark):
+    """The table's vectors have three components, most queries have two."""
+    rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(51, 91)] + [(50, [1.0, 1.0, 1.0])]
+    rows += [(100, [1.0, 2.0]), (150, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = result(nearest(df, df.where("vec_id % 50 = 0")))
+    assert [i for i, _ in got[50]] == [i for i, _ in brute(rows[:41], [50], 5)[50]] and set(got) == {50}
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (0, [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id = 1"), k=2).select("query_id", "rank", "vec_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2), (1, 1, 3), (1, 2, 0), (1, 2, 0)]
+    found = result(nearest(df, df.where("vec_id = 0"), k=4))
+    assert [i for i, _ in found[0]] == [2, 3, 1, 1]
+
+
+def test_scaling_changes_no_tie(spark):
+    """Cosines that are equal in double precision stay equal, whatever the
+    largest component: the smaller id wins."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 5))
+    rows = [(0, base[0].tolist())] + [(2 * i + c, (base[i] * f).tolist()) for i in range(1, 30) for c, f in ((1, 2.0 ** 40), (0, 2.0 ** -3))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = result(nearest(df, df.where("vec_id = 0"), k=20))[0]
+    assert [i for i, _ in got] == [i for i, _ in brute(rows, [0], 20)[0]]
+    assert all(a[1] == b[1] and a[0] + 1 == b[0] for a, b in zip(got[::2], got[1::2]))
+
+
 def test_recall(spark):
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]

@@ -115,22 +115,30 @@ def _vector(x) -> np.ndarray:
     return np.asarray(x, np.float64)
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: very
+    large components stay finite, and no bit of a cosine changes."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v): ids and vectors that take part - none null, no null or
-    non-finite component, some component not 0, and of the length that most
-    have (the smaller of two as frequent).  Of rows that share an id the
-    smallest vector counts."""
+    non-finite component, some component not 0."""
     v = F.col(vec_col).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), good.alias("ok")) \
+    return table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), good.alias("ok")) \
         .where("vec_id IS NOT NULL AND v IS NOT NULL AND ok").drop("ok")
+
+
+def common_length(rows: DataFrame) -> int:
+    """The vector length that most rows have (the smaller of two as frequent)."""
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("v") == (common["n"] if common else 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return common["n"] if common else 0
 
 
 def _points(rows: DataFrame, ids: int) -> DataFrame:
-    """(rep, v, ids): equal vectors as one, with their ``ids`` smallest ids."""
+    """(rep, v, ids): equal vectors as one, with their ``ids`` smallest ids (an
+    id as often as rows have it); rep numbers them."""
     def few(c):
         return F.slice(F.array_sort(c), 1, ids)
 
@@ -152,23 +160,28 @@ def _points(rows: DataFrame, ids: int) -> DataFrame:
     part = part.groupBy("v", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).alias("salt")) \
         .agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
     part = part.groupBy("v").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
-    return part.select(F.col("ids")[0].alias("rep"), "v", "ids")
+    return part.select(F.monotonically_increasing_id().alias("rep"), "v", "ids")
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
             trees: int = TREES, depth: int = DEPTH, sample_rows: int = SAMPLE_ROWS, search: int = SEARCH,
             search_share: float = SEARCH_SHARE, seed: int = SEED) -> DataFrame:
     """The ``k`` nearest rows of ``table`` by cosine for each row of
-    ``queries`` (same columns; a row is no neighbour of its own id):
-    (query_id, rank, vec_id, score), nearest first, ties to the smaller id.
-
-    Null vectors and ids, zero vectors, vectors with a null or non-finite
-    component and vectors of an odd length take no part on either side.  A
-    query has fewer than ``k`` rows only where the table has fewer others.
-    Other columns are ignored; empty tables give no rows.
+    ``queries`` (same columns): (query_id, rank, vec_id, score), nearest first,
+    ties to the smaller id.  A query that is itself a row of ``table`` (same id
+    and vector) is not its own neighbour.
+
+    Null vectors and ids, zero vectors and vectors with a null or non-finite
+    component take no part on either side; nor do vectors of another length
+    than most of ``table`` have.  Rows may share an id: each is found, and each
+    such query has its own ``k`` rows.  A query has fewer than ``k`` rows only
+    where the table has fewer others.  Other columns are ignored; empty tables
+    give no rows.
     """
     spark = table.sparkSession
-    points = barrier(_points(valid_vectors(table, id_col, vec_col), k + 1))
+    valid = valid_vectors(table, id_col, vec_col)
+    dim = common_length(valid)
+    points = barrier(_points(valid.where(F.size("v") == dim), k + 1))
     there = points.count()
     share = min(1.0, sample_rows / max(1, there))
     sample = points if share == 1 else points.where(
@@ -178,9 +191,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     if not rows:
         return spark.createDataFrame([], schema)
     x = np.array([v for _, v in rows], np.float64)
-    dim = x.shape[1]
-    # scaled first, so that very large components stay finite
-    unit = lambda m: (lambda y: y / np.linalg.norm(y, axis=1, keepdims=True))(m / np.abs(m).max(axis=1, keepdims=True))
+    unit = lambda m: (lambda y: y / np.linalg.norm(y, axis=1, keepdims=True))(_scaled(m))
     forest = fit_forest(unit(x).astype(np.float32), trees, depth, seed)
     shared = spark.sparkContext.broadcast(forest)  # its size is fixed by trees, depth and dim
 
@@ -212,7 +223,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             part = (rep * 0x9E3779B1 >> 7) % np.maximum(state.value[1][t, leaf], 1)
             at = ((t.astype(np.int64) << depth | leaf) << 32) | part
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), np.int32)), b.column(2), b.column(3),
-                                              b.column(4)], names=["key", "kind", "id", "v", "ids"])
+                                              b.column(4)], names=["key", "kind", "row", "v", "ids"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, parts = state.value
@@ -220,7 +231,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             for i in range(0, b.num_rows, 200):
                 some = b.slice(i, 200)
                 at, row = [], []
-                for j, u in enumerate(unit(matrix(some.column(1))).astype(np.float32)):
+                for j, u in enumerate(unit(matrix(some.column(2))).astype(np.float32)):
                     for t, leaf in shared.value.leaves(u, sizes, enough):
                         for part in range(int(parts[t, leaf])):
                             at.append((t << depth | leaf) << 32 | part)
@@ -230,61 +241,69 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                     n = len(at)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(at, pa.int64()), pa.array(np.ones(n, np.int32)), some.column(0).take(row),
-                         some.column(1).take(row), pa.array([None] * n, pa.list_(pa.int64()))],
-                        names=["key", "kind", "id", "v", "ids"])
+                         some.column(2).take(row), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32),
+                                                                            some.column(1).take(row))],
+                        names=["key", "kind", "row", "v", "ids"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block, ids = None, [], []
+        now, block, ids, reps = None, [], [], []
         m = norms = None
         for b in batches:
-            keys, kinds, own = (b.column(i).to_pylist() for i in range(3))
+            keys, kinds, row = (b.column(i).to_pylist() for i in range(3))
             vectors, lists = matrix(b.column(3)), b.column(4).to_pylist()
-            found: tuple[list, list, list] = ([], [], [])
+            found: tuple[list, ...] = ([], [], [], [], [])
             i = 0
             while i < len(keys):
                 if keys[i] != now:
-                    now, block, ids, m = keys[i], [], [], None
+                    now, block, ids, reps, m = keys[i], [], [], [], None
                 if kinds[i] == 0:
                     block.append(vectors[i])
                     ids.append(lists[i])
+                    reps.append(row[i])
                     i += 1
                     continue
                 z = i
                 while z < len(keys) and keys[z] == now and z - i < 512:
                     z += 1
                 if block and m is None:
-                    m = np.array(block)
-                    m /= np.abs(m).max(axis=1, keepdims=True)
+                    m = _scaled(np.array(block))
                     norms = np.sqrt(np.einsum("ij,ij->i", m, m))
                 if m is not None:
                     near = vectors[i:z] @ (m / norms[:, None]).T
                     few = min(len(m), k + 1)
                     best = np.argpartition(-near, few - 1, axis=1)[:, :few]
                     for q in range(i, z):
-                        v = vectors[q] / np.abs(vectors[q]).max()
+                        v = _scaled(vectors[q:q + 1])[0]
                         norm = np.sqrt(np.dot(v, v))
+                        (own,) = lists[q]
                         got = []
                         # whatever ties with the last of the best may win by its id
-                        row = near[q - i]
-                        last = row[best[q - i]].min()
-                        for j in np.flatnonzero(row >= last - 1e-12 * (1 + abs(last))):
-                            s = float(np.dot(v, m[j]) / (norm * norms[j]))
-                            got += [(-s, n) for n in ids[j] if n != own[q]]
-                        for s, n in sorted(got)[:k]:
-                            found[0].append(own[q])
-                            found[1].append(n)
-                            found[2].append(-s)
+                        to = near[q - i]
+                        last = to[best[q - i]].min()
+                        for j in np.flatnonzero(to >= last - 1e-12 * (1 + abs(last))):
+                            some = ids[j]
+                            if own in some and np.array_equal(block[j], vectors[q]):
+                                some = list(some)
+                                some.remove(own)  # the query's own row
+                            if some:
+                                got.append((-float(np.dot(v, m[j]) / (norm * norms[j])), some, reps[j]))
+                        for s, some, rep in sorted(got)[:k]:
+                            for c, x in zip(found, (row[q], own, rep, -s, some)):
+                                c.append(x)
                 i = z
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()),
-                                              pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    out = f"key long, kind int, id long, v {kind}, ids array<long>"
-    asked = valid_vectors(queries, id_col, vec_col).where(F.size("v") == dim)
-    both = placed.mapInArrow(key, out).unionByName(asked.select("vec_id", "v").mapInArrow(probe, out))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)],
+                                             names=["row", "query_id", "rep", "score", "ids"])
+
+    out = f"key long, kind int, row long, v {kind}, ids array<long>"
+    asked = barrier(valid_vectors(queries, id_col, vec_col).where(F.size("v") == dim).select(
+        F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
+    both = placed.mapInArrow(key, out).unionByName(asked.mapInArrow(probe, out))
     scored = both.repartition("key").sortWithinPartitions("key", "kind") \
-        .mapInArrow(rank, "query_id long, vec_id long, score double")
-    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    # a query has k rows a block at most
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+        .mapInArrow(rank, "row long, query_id long, rep long, score double, ids array<long>")
+    # several trees find the same vectors
+    scored = scored.groupBy("row", "query_id", "rep").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+    # a query has k vectors a block at most, each with k + 1 ids at most
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("vec_id", F.explode("ids")).withColumn("rank", F.row_number().over(w)) \
+        .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
