@@ -6,10 +6,14 @@ survive before any join, join the vocabulary on ``token``, regroup per
 document ordered by position.  A group is one document, bounded by its own
 length, never by the data size.
 
-The vocabulary join: a capped vocabulary has a proven size bound (``cap``
-rows) and is broadcast when the cap is below ``BROADCAST_CAP``; an uncapped
-one is a shuffle join on ``token`` whose hot words AQE's skew-join
-handling splits.
+Rows are told apart by a number taken before the explode, so rows that share
+an id (copies) or have none stay rows of their own.  The number is the row's
+place in its partition: give input that is read in the same order again
+(files, tables, checkpoints), or write it first.
+
+The vocabulary join is ``lookup``: a table measured small, in bytes, is
+broadcast; of a larger one the frequent words are broadcast and the others
+joined by shuffle.
 """
 
 from __future__ import annotations
@@ -19,10 +23,9 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as T
 from textmill.functions.fixed import PAD_ID, UNK_ID
+from textmill.operators.lookup import lookup
 from textmill.operators.rank import global_rank
-from textmill.session import broadcast_if_small
 
-BROADCAST_CAP = 2_000_000  # rows of (token, id): ~100 MB at most
 TOPK_MAX = 10_000  # vocabulary caps up to this use a top-k, larger ones a global rank
 
 
@@ -78,25 +81,31 @@ def first_seen_vocab(df: DataFrame, tokens_col: str, doc_col: str = "doc_id", mi
     return ranked.select("token", "freq", (F.col("rank") + 1).alias("id"))
 
 
-def _vocab_side(vocab: DataFrame, cap: int | None):
-    """The (token, id) side of an encoding join: broadcast when its size is
-    bounded by ``cap`` or measured below ``BROADCAST_CAP`` rows, otherwise a
-    shuffle join on token (hot words split by AQE's skew handling)."""
+_ROW = "__tm_row"
+
+
+def _row_positions(df: DataFrame, tokens_col: str, doc_col: str, max_pos: int | None = None) -> DataFrame:
+    """(row, doc, pos, token): ``positions`` with the number of the row, and
+    one row with null pos and token for a text without tokens."""
+    numbered = df.select(F.monotonically_increasing_id().alias(_ROW), doc_col, tokens_col)
+    out = numbered.select(_ROW, doc_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
+    return out.where(F.col("pos").isNull() | (F.col("pos") < max_pos)) if max_pos is not None else out
+
+
+def _vocab_side(vocab: DataFrame, cap: int | None = None) -> DataFrame:
+    """The (token, id) side of an encoding join."""
     v = vocab.select("token", F.col("id").cast("bigint").alias("id"))
-    if cap is not None:
-        v = v.where(F.col("id") < cap)
-        if cap <= BROADCAST_CAP:
-            return F.broadcast(v)
-    return broadcast_if_small(v, BROADCAST_CAP)
+    return v.where(F.col("id") < cap) if cap is not None else v
 
 
-def _regroup(pos_ids: DataFrame, doc_col: str, out: str) -> DataFrame:
-    """Ids per document in position order; rows with a null id (empty
-    documents, dropped tokens) contribute nothing, so such a document gets
-    an empty array.  ``collect_list`` skips the nulls."""
-    item = F.when(F.col("id").isNotNull(), F.struct("pos", "id"))
-    return pos_ids.groupBy(doc_col).agg(
-        F.transform(F.sort_array(F.collect_list(item)), lambda s: s["id"]).alias(out))
+def _regroup(pos_items: DataFrame, doc_col: str, item: str, out: str, keep=None) -> DataFrame:
+    """``item`` per row of the input, in position order; null items (and those
+    for which ``keep`` does not hold) contribute nothing, so a text without any
+    gets an empty array.  ``collect_list`` skips the nulls."""
+    there = F.col(item).isNotNull() & F.col("pos").isNotNull()
+    one = F.when(there if keep is None else there & keep, F.struct("pos", item))
+    return pos_items.groupBy(_ROW, doc_col).agg(
+        F.transform(F.sort_array(F.collect_list(one)), lambda s: s[item]).alias(out)).drop(_ROW)
 
 
 # V3 + J4
@@ -104,9 +113,8 @@ def encode_drop(df: DataFrame, tokens_col: str, vocab: DataFrame, cap: int | Non
                 doc_col: str = "doc_id", out: str = "ids") -> DataFrame:
     """Token ids in order; unknown tokens (and ids >= ``cap``) vanish.  A text
     with no known word keeps an empty array."""
-    pos = positions(df, tokens_col, doc_col, keep_empty=True)
-    hit = pos.join(_vocab_side(vocab, cap), on="token", how="left")
-    return _regroup(hit, doc_col, out)
+    hit = lookup(_row_positions(df, tokens_col, doc_col), "token", _vocab_side(vocab, cap))
+    return _regroup(hit, doc_col, "id", out)
 
 
 # V5
@@ -128,10 +136,9 @@ def encode_fixed(df: DataFrame, tokens_col: str, vocab: DataFrame, n: int = 70,
                  doc_col: str = "doc_id", out: str = "encoded", len_col: str = "length") -> DataFrame:
     """First ``n`` tokens as ids (unknown -> 1), zeros behind, and the true
     length ``min(n, tokens)``.  Positions >= n are cut before the join."""
-    pos = positions(df, tokens_col, doc_col, max_pos=n, keep_empty=True)
-    ids = pos.join(_vocab_side(vocab, None), on="token", how="left") \
-        .withColumn("id", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID).cast("bigint"))))
-    enc = _regroup(ids, doc_col, out)
+    ids = lookup(_row_positions(df, tokens_col, doc_col, max_pos=n), "token", _vocab_side(vocab)) \
+        .withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID).cast("bigint")))
+    enc = _regroup(ids, doc_col, "id", out)
     return enc.select(doc_col, pad(out, n, padding="post", truncating="post").alias(out),
                       F.size(out).cast("int").alias(len_col))
 
@@ -142,11 +149,10 @@ def encode_masked(df: DataFrame, tokens_col: str, vocab: DataFrame, n: int = 128
     """[cls] ids [sep], cut so the whole fits ``n``, zeros behind, and an
     attention mask of 1 on real positions.  Word ids are shifted by
     ``id_offset`` to make room for the two special ids (unknown stays 1)."""
-    pos = positions(df, tokens_col, doc_col, max_pos=n - 2, keep_empty=True)
-    v = _vocab_side(vocab.select("token", (F.col("id") + id_offset).alias("id")), None)
-    ids = pos.join(v, on="token", how="left") \
-        .withColumn("id", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID).cast("bigint"))))
-    enc = _regroup(ids, doc_col, "ids")
+    v = _vocab_side(vocab.select("token", (F.col("id") + id_offset).alias("id")))
+    ids = lookup(_row_positions(df, tokens_col, doc_col, max_pos=n - 2), "token", v) \
+        .withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID).cast("bigint")))
+    enc = _regroup(ids, doc_col, "id", "ids")
     body = F.concat(F.array(F.lit(cls_id).cast("bigint")), F.col("ids"), F.array(F.lit(sep_id).cast("bigint")))
     real = F.size(body)
     return enc.select(doc_col, pad(body, n, padding="post", truncating="post").alias("input_ids"),
@@ -177,13 +183,11 @@ def drop_tokens_join(df: DataFrame, tokens_col: str, words: DataFrame, doc_col:
     """Remove tokens found in a word table (any size), keeping order and
     duplicates.  One pass over ``df``: a text without tokens, or with none
     left, keeps an empty array."""
-    pos = positions(df, tokens_col, doc_col, keep_empty=True)
     key = F.col("token") if case_sensitive else F.lower("token")
-    w = words.select((F.col("word") if case_sensitive else F.lower("word")).alias("__tm_w")).distinct()
-    hit = pos.join(broadcast_if_small(w, BROADCAST_CAP), key == F.col("__tm_w"), "left")
-    item = F.when(F.col("pos").isNotNull() & F.col("__tm_w").isNull(), F.struct("pos", "token"))
-    return hit.groupBy(doc_col).agg(
-        F.transform(F.sort_array(F.collect_list(item)), lambda s: s["token"]).alias(out))
+    w = words.select((F.col("word") if case_sensitive else F.lower("word")).alias("__tm_w")).distinct() \
+        .withColumn("__tm_in", F.lit(True))
+    hit = lookup(_row_positions(df, tokens_col, doc_col).withColumn("__tm_w", key), "__tm_w", w)
+    return _regroup(hit, doc_col, "token", out, keep=F.col("__tm_in").isNull())
 
 
 # J9 / T13
@@ -191,12 +195,9 @@ def lemmatize(df: DataFrame, tokens_col: str, lemmas: DataFrame, doc_col: str =
               out: str = "lemmas") -> DataFrame:
     """Replace each token by its lemma from a (token, lemma) table; unknown
     tokens keep themselves."""
-    pos = positions(df, tokens_col, doc_col, keep_empty=True)
-    lem = pos.join(broadcast_if_small(lemmas.select("token", "lemma"), BROADCAST_CAP), on="token", how="left") \
+    lem = lookup(_row_positions(df, tokens_col, doc_col), "token", lemmas.select("token", "lemma")) \
         .withColumn("lemma", F.coalesce(F.col("lemma"), F.col("token")))
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "lemma"))
-    return lem.groupBy(doc_col).agg(
-        F.transform(F.sort_array(F.collect_list(item)), lambda s: s["lemma"]).alias(out))
+    return _regroup(lem, doc_col, "lemma", out)
 
 
 def vocab_tokens(df: DataFrame, text_col: str, out: str = "tokens") -> DataFrame:

@@ -10,7 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -63,18 +65,42 @@ def barrier(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.  A plain count: every
-    task adds up its own rows.  Use it on inputs that are cheap to read
-    (files, checkpoints), before deciding to broadcast them."""
-    return df.count() <= max_rows
+#: Bytes of a table, as its columns hold them, that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row, about: lengths of texts and arrays, and a word for
+    everything else."""
+    def of(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(c)
+        if isinstance(kind, T.ArrayType):
+            item = kind.elementType
+            if isinstance(item, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+                return F.aggregate(c, F.lit(8).cast("long"), lambda s, x: s + F.coalesce(of(x, item).cast("long"), F.lit(8)))
+            return F.size(c) * 8
+        if isinstance(kind, T.StructType):
+            return sum((F.coalesce(of(c[f.name], f.dataType).cast("long"), F.lit(8)) for f in kind), F.lit(8).cast("long"))
+        return F.lit(8)
+
+    return sum((F.coalesce(of(F.col(f"`{f.name}`"), f.dataType).cast("long"), F.lit(8)) for f in df.schema.fields),
+               F.lit(16).cast("long"))
+
+
+def small_enough(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes
+    (``BROADCAST_BYTES`` by default), both summed in one aggregate.  Use it on
+    inputs that are cheap to read (files, checkpoints), before deciding to
+    broadcast them.  """
+    n, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return n <= max_rows and (size or 0) <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` behind a measured size bound; otherwise ``df`` as is
-    (a shuffle join, which AQE may still turn into a broadcast at run time
-    from the shuffle's real size).  ``df`` is written once to the checkpoint
-    folder, so measuring it does not derive it twice."""
-    from pyspark.sql.functions import broadcast
+    """``broadcast(df)`` behind a measured bound of rows and bytes; otherwise
+    ``df`` as is (a shuffle join, which AQE may still turn into a broadcast at
+    run time from the shuffle's real size).  ``df`` is written once to the
+    checkpoint folder, so measuring it does not derive it twice."""
     kept = barrier(df)
-    return broadcast(kept) if small_enough(kept, max_rows) else kept
+    return F.broadcast(kept) if small_enough(kept, max_rows) else kept
