@@ -285,9 +285,18 @@ def test_save_and_load_vocab(spark, tmp_path):
     assert sorted(io.load_vocab(spark, str(tmp_path / "vocab")).collect()) == sorted(v1.collect())
 
 
-def test_bag_of_words_vector_form(spark):
-    d = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["b"])], "doc_id long, tokens array<string>")
-    model, out = V.bag_of_words(d, "tokens")
-    vocab = model.vocabulary
-    rows = {r.doc_id: r.features.toArray().tolist() for r in out.collect()}
-    assert rows[0][vocab.index("a")] == 2.0 and rows[0][vocab.index("b")] == 1.0 and rows[1][vocab.index("b")] == 1.0
+def test_bag_of_words_vector_form(spark, tmp_path):
+    from textmill.operators.pipeline import BagOfWords, fit_bag_of_words
+    rows = [(0, ["a", "b", "a"], "x"), (1, ["b"], "x"), (1, ["b", "b", None], "y"), (None, ["c"], "z"), (5, [], "z"), (6, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, tokens array<string>, features string")
+    terms = V.term_numbers(d, "tokens")
+    assert sorted(map(tuple, terms.collect()), key=lambda r: r[3]) == [("b", 4, 3, 0), ("a", 2, 1, 1), ("c", 1, 1, 2)]
+    want = [(0, 3, [0, 1], [1.0, 2.0]), (1, 3, [0], [1.0]), (1, 3, [0], [2.0]), (None, 3, [2], [1.0]), (5, 3, [], []), (6, 3, [], [])]
+    assert sorted(map(tuple, V.bag_of_words(d, "tokens", terms).collect()), key=str) == sorted(want, key=str)
+    fit_bag_of_words(d, str(tmp_path / "terms"), min_docs=2).write().save(str(tmp_path / "stage"))
+    got = BagOfWords.load(str(tmp_path / "stage")).transform(d)
+    assert got.columns == ["doc_id", "tokens", "features"]
+    assert sorted((r.doc_id or -1, r.features.size, r.features.indices, r.features["values"]) for r in got.collect()) == [
+        (-1, 1, [], []), (0, 1, [0], [1.0]), (1, 1, [0], [1.0]), (1, 1, [0], [2.0]), (5, 1, [], []), (6, 1, [], [])]
+    none = d.limit(0)
+    assert V.bag_of_words(d, "tokens", V.term_numbers(none, "tokens")).select("size", "indices").distinct().collect() == [(0, [])]

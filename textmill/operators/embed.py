@@ -1,16 +1,23 @@
 """Embeddings.
 
-Pooling is a weighted ``Summarizer`` aggregate per document (one JVM
-aggregate, no explode of vector dimensions) over (document, token, count)
-rows, so repeated words do not multiply the join input.  A vector table
-measured small is broadcast; a larger one is a shuffle join on ``token``,
-with hot words split by AQE's skew handling.
+With a vector table that is measured small, in bytes, pooling is a weighted
+``Summarizer`` aggregate per row (one JVM aggregate, no explode of vector
+dimensions) over (row, token, count), joined by broadcast.  With a larger one
+it is a blocked product: the table is cut into blocks of bounded size, a text
+sends each block that holds some of its words one row, and the partial sums of
+a text, one vector a block, are added up.  No word is a join key there, so a
+word that every text has costs no more than another.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -23,12 +30,13 @@ from textmill.functions.fixed import (
     EMB_FILL_UNIFORM_LOW,
 )
 from textmill.functions.hashing import hex_uniform, seeded_uniform
-from textmill.functions.text import capitalize, explode_tokens
-from textmill.session import barrier, broadcast_if_small, small_enough
+from textmill.functions.text import capitalize
+from textmill.session import BROADCAST_BYTES, barrier, broadcast_if_small, row_bytes
 
-# Word-vector tables up to this many rows are broadcast (300 floats a row:
-# about 60 MB); larger ones are shuffle-joined on token.
-MAX_BROADCAST_VECTORS = 50_000
+# Word-vector tables up to this many rows and bytes are broadcast.
+MAX_BROADCAST_VECTORS, MAX_BROADCAST_BYTES = 200_000, BROADCAST_BYTES
+# Beyond: bytes of a block of the table, and rows of texts that meet one copy of it.
+BLOCK_BYTES, SLICE_ROWS = 32 << 20, 200_000
 _LOWEST = -1e300
 # Word2Vec's result depends on how many tasks train it: a fixed number gives
 # the same vectors on every cluster.
@@ -115,43 +123,130 @@ def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, fill: str =
     return res
 
 
+def folded_vectors(vectors: DataFrame) -> DataFrame:
+    """(token, vec) with lower-cased tokens, one row each: of several spellings
+    the lower-case one counts, else the first by code points (of equal
+    spellings the smallest vector)."""
+    low = F.lower("token")
+    best = F.min(F.struct((F.col("token") != low).alias("o"), F.col("token").alias("t"), F.col("vec").alias("v")))
+    return vectors.where(F.col("token").isNotNull()).groupBy(low.alias("token")).agg(best.alias("b")).select("token", "b.v") \
+        .withColumnRenamed("v", "vec")
+
+
+_ROW = "__tm_row"
+
+
+def _pool_joined(rows: DataFrame, tokens_col: str, vec: DataFrame, doc_col: str, dim: int) -> DataFrame:
+    """(row, doc, known, tokens, sum, max) with the vector table broadcast."""
+    zero = F.lit(0.0)
+    side = F.broadcast(vec.select("token", array_to_vector(F.col("vec")).alias("__vec")))
+    counts = rows.select(_ROW, doc_col, F.explode_outer(tokens_col).alias("token")) \
+        .groupBy(_ROW, doc_col, "token").agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    joined = counts.join(side, on="token", how="left")
+    known = F.col("__vec").isNotNull()
+    nothing = array_to_vector(F.array_repeat(zero, dim))
+    lowest = array_to_vector(F.array_repeat(F.lit(_LOWEST), dim))
+    return joined.groupBy(_ROW, doc_col).agg(
+        F.sum(F.when(known, F.col("__n")).otherwise(zero)).alias("__known"),
+        F.sum(F.when(F.col("token").isNotNull(), F.col("__n")).otherwise(zero)).alias("__tokens"),
+        Summarizer.sum(F.coalesce("__vec", nothing), F.col("__n")).alias("__sum"),
+        Summarizer.max(F.coalesce("__vec", lowest)).alias("__max"))
+
+
+def _pool_blocked(rows: DataFrame, tokens_col: str, vec: DataFrame, doc_col: str, dim: int, size: int) -> DataFrame:
+    """The same by a blocked product; ``size`` is the table's bytes."""
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    slices = max(1, -(-rows.count() // SLICE_ROWS))
+    doc_type = rows.schema[doc_col].dataType.simpleString()
+    fields = f"block int, slice int, kind int, {_ROW} long, doc {doc_type}, tokens array<string>, n array<double>, vec array<double>"
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for i, (row, tokens) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                by: dict[int, dict[str, int]] = {}
+                for token, n in Counter(t for t in tokens or [] if t is not None).items():
+                    by.setdefault(zlib.crc32(token.encode()) % blocks, {})[token] = n
+                for block, counts in (by or {row % blocks: {}}).items():
+                    out.append((i, block, row % slices, row, list(counts), list(map(float, counts.values()))))
+            at, block, part, row, tokens, n = zip(*out) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array([1] * len(out), pa.int32()), pa.array(row, pa.int64()),
+                 b.column(1).take(pa.array(at, pa.int64())), pa.array(tokens, pa.list_(pa.string())),
+                 pa.array(n, pa.list_(pa.float64())), pa.array([None] * len(out), pa.list_(pa.float64()))],
+                names=["block", "slice", "kind", _ROW, "doc", "tokens", "n", "vec"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index, held, matrix = None, {}, [], None
+        for b in batches:
+            got: list[tuple] = []
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("block", "slice", "kind"))))
+            rows, tokens, n, vectors = (b.column(c).to_pylist() for c in (_ROW, "tokens", "n", "vec"))
+            for i, (block, part, kind) in enumerate(keys):
+                if (block, part) != now:
+                    now, index, held, matrix = (block, part), {}, [], None
+                if kind == 0:
+                    index[tokens[i][0]] = len(held)
+                    held.append(np.resize(vectors[i], dim) if len(vectors[i]) >= dim else np.pad(vectors[i], (0, dim - len(vectors[i]))))
+                    continue
+                if matrix is None:
+                    matrix = np.array(held, np.float64).reshape(-1, dim)
+                found = [(index[t], w) for t, w in zip(tokens[i], n[i]) if t in index]
+                some = matrix[[j for j, _ in found]]
+                weight = np.array([w for _, w in found])
+                got.append((i, rows[i], float(weight.sum()), float(sum(n[i])), weight @ some if found else np.zeros(dim),
+                            some.max(axis=0) if found else np.full(dim, _LOWEST)))
+            if got:
+                at, row, known, total, sums, most = zip(*got)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row, pa.int64()), b.column(b.schema.get_field_index("doc")).take(pa.array(at, pa.int64())),
+                     pa.array(known), pa.array(total), *[pa.ListArray.from_arrays(
+                         pa.array(np.arange(len(got) + 1, dtype=np.int32) * dim), pa.array(np.concatenate(x))) for x in (sums, most)]],
+                    names=[_ROW, "doc", "known", "tokens", "sum", "max"])
+
+    sent = rows.select(_ROW, doc_col, tokens_col).mapInArrow(pieces, fields)
+    placed = vec.select(F.pmod(F.crc32("token"), F.lit(blocks)).cast("int").alias("block"),
+                        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"),
+                        F.lit(None).cast("long").alias(_ROW), F.lit(None).cast(doc_type).alias("doc"), F.array("token").alias("tokens"),
+                        F.lit(None).cast("array<double>").alias("n"), F.col("vec").cast("array<double>").alias("vec"))
+    done = sent.unionByName(placed).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind").mapInArrow(
+        partial, f"{_ROW} long, doc {doc_type}, known double, tokens double, sum array<double>, max array<double>")
+    # a text has one row a block
+    return done.groupBy(_ROW, F.col("doc").alias(doc_col)).agg(
+        F.sum("known").alias("__known"), F.sum("tokens").alias("__tokens"),
+        Summarizer.sum(array_to_vector(F.col("sum"))).alias("__sum"), Summarizer.max(array_to_vector(F.col("max"))).alias("__max"))
+
+
 # E2 / E3
 def pool(df: DataFrame, tokens_col: str, vectors: DataFrame, how: str = "avg", doc_col: str = "doc_id",
-         oov: str = "skip", out: str = "doc_vec") -> DataFrame:
+         oov: str = "skip", out: str = "doc_vec", case_sensitive: bool = True, max_bytes: int | None = None) -> DataFrame:
     """Document vector from its tokens' vectors: 'avg', 'max' or 'avg_max'
     (concatenation).  ``oov='skip'`` averages over tokens with a vector,
-    ``'zero'`` counts unknown tokens as zero vectors.  One row per document:
-    a document without any known token has a zero vector.
-
-    The vectors are written once, then measured; the joined rows are (document,
-    token, count), so a word that a text repeats costs one row of the join."""
-    vec = barrier(vectors.select("token", array_to_vector(F.col("vec")).alias("__vec"), F.size("vec").alias("__dim")))
-    dim = vec.agg(F.max("__dim")).first()[0] or 0
-    side = vec.drop("__dim")
-    side = F.broadcast(side) if small_enough(vec, MAX_BROADCAST_VECTORS) else side
-    counts = (explode_tokens(df, tokens_col, "token", keep=[doc_col])
-              .groupBy(doc_col, "token").agg(F.count(F.lit(1)).cast("double").alias("__n")))
-    joined = counts.join(side, on="token", how="left" if oov != "skip" else "inner")
+    ``'zero'`` counts unknown tokens as zero vectors.  Without
+    ``case_sensitive`` tokens and table meet in lower case
+    (``folded_vectors``).  Up to ``max_bytes`` the table is broadcast.  One row per row of ``df``, also where rows share an
+    id or have none: a row without any known token has a zero vector.  Rows are
+    numbered by their place: give input that is read in the same order again."""
+    vec = vectors.where(F.col("token").isNotNull()).select("token", "vec")
+    vec = barrier(vec if case_sensitive else folded_vectors(vec))
+    dim, n, size = vec.agg(F.max(F.size("vec")), F.count(F.lit(1)), F.sum(row_bytes(vec))).first()
+    if not dim:  # no vectors: every mean has no components
+        return df.select(doc_col, F.array().cast("array<double>").alias(out))
+    tokens = F.col(tokens_col) if case_sensitive else F.transform(tokens_col, lambda t: F.lower(t))
+    rows = df.select(F.monotonically_increasing_id().alias(_ROW), doc_col, tokens.alias("__tm_tokens"))
+    if n <= MAX_BROADCAST_VECTORS and size <= (MAX_BROADCAST_BYTES if max_bytes is None else max_bytes):
+        pooled = _pool_joined(rows, "__tm_tokens", vec, doc_col, dim)
+    else:
+        pooled = _pool_blocked(rows, "__tm_tokens", vec, doc_col, dim, size)
     zero = F.lit(0.0)
-    known = F.col("__vec").isNotNull()
-    aggs = [F.sum("__n").alias("__tot")]
-    nothing = array_to_vector(F.array_repeat(zero, dim))
-    if how in ("avg", "avg_max"):
-        aggs.append(Summarizer.sum(F.coalesce("__vec", nothing), F.col("__n")).alias("__sum"))
-    if how in ("max", "avg_max"):
-        lowest = array_to_vector(F.array_repeat(F.lit(_LOWEST), dim))
-        aggs.append(Summarizer.max(F.when(known, F.col("__vec")).otherwise(lowest)).alias("__max"))
-    pooled = joined.groupBy(doc_col).agg(*aggs)
     parts = []
     if how in ("avg", "avg_max"):
         # the total is zipped in: inside a lambda it would be looked up for every element
-        total = F.array_repeat(F.col("__tot"), dim)
-        parts.append(F.zip_with(vector_to_array(F.col("__sum")), total, lambda x, t: x / t))
+        total = F.array_repeat(F.col("__known" if oov == "skip" else "__tokens"), dim)
+        parts.append(F.zip_with(vector_to_array(F.col("__sum")), total, lambda x, t: F.when(t > 0, x / t).otherwise(zero)))
     if how in ("max", "avg_max"):
         parts.append(F.transform(vector_to_array(F.col("__max")), lambda x: F.when(x <= _LOWEST, zero).otherwise(x)))
-    pooled = pooled.select(doc_col, (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("__pooled"))
-    return df.select(doc_col).distinct().join(pooled, on=doc_col, how="left").select(
-        doc_col, F.coalesce("__pooled", F.array_repeat(zero, dim * len(parts))).alias(out))
+    return pooled.select(doc_col, (F.concat(*parts) if len(parts) > 1 else parts[0]).alias(out))
 
 
 # E5

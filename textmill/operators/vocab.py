@@ -167,14 +167,30 @@ def term_counts(df: DataFrame, tokens_col: str, doc_col: str = "doc_id") -> Data
             .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("n")))
 
 
-def bag_of_words(df: DataFrame, tokens_col: str, vocab_size: int = (1 << 31) - 1, min_df: float = 1.0,
-                 out: str = "features"):
-    """Vector form via Spark ML ``CountVectorizer``; returns (model, frame).
-    By default every word is a feature."""
-    from pyspark.ml.feature import CountVectorizer
-    cv = CountVectorizer(inputCol=tokens_col, outputCol=out, vocabSize=vocab_size, minDF=min_df)
-    model = cv.fit(df)
-    return model, model.transform(df)
+def term_numbers(df: DataFrame, tokens_col: str, min_docs: int = 1) -> DataFrame:
+    """(term, n, docs, id): every term of at least ``min_docs`` texts, numbered
+    from 0 by falling count, ties by term.  A distributed table of any size."""
+    each = df.select(F.monotonically_increasing_id().alias(_ROW), F.explode_outer(tokens_col).alias("term")) \
+        .where(F.col("term").isNotNull()).groupBy(_ROW, "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    ranked = global_rank(counts, [F.desc("n"), F.asc("term")], out="id")
+    return ranked.select("term", "n", "docs", (F.col("id") - 1).alias("id"))
+
+
+def bag_of_words(df: DataFrame, tokens_col: str, terms: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """Sparse vectors over the numbers of ``terms`` (term, id; ids from 0):
+    (doc, size, indices array<long> ascending, values array<double>), one row
+    per row of ``df``.  Terms without a number add nothing; a text without any
+    has empty arrays.  ``size`` is the number of terms."""
+    terms = terms.select(F.col("term").alias("token"), "id")
+    size = terms.agg(F.max("id")).first()[0]
+    each = _row_positions(df, tokens_col, doc_col).groupBy(_ROW, doc_col, "token").agg(
+        F.count(F.lit(1)).cast("double").alias("n"))
+    found = lookup(each, "token", terms)
+    entry = F.when(F.col("id").isNotNull(), F.struct("id", "n"))
+    got = found.groupBy(_ROW, doc_col).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return got.select(doc_col, F.lit(0 if size is None else size + 1).cast("long").alias("size"),
+                      F.transform("e", lambda x: x["id"]).alias("indices"), F.transform("e", lambda x: x["n"]).alias("values"))
 
 
 # J8

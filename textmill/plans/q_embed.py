@@ -45,6 +45,11 @@ WV_SQL = f"""(SELECT CASE WHEN e.vec_id % 2 = 0 THEN v.token ELSE {S.capitalize(
         e.embedding AS vec FROM {V2_SQL} v JOIN embeddings e ON v.id = e.vec_id + 2)"""
 
 
+#: Lower-cased words, one row each: the lower-case spelling, else the first.
+FOLDED_SQL = f"""(SELECT lower(token) AS token, vec FROM {WV_SQL}
+        QUALIFY row_number() OVER (PARTITION BY lower(token) ORDER BY token <> lower(token), token) = 1)"""
+
+
 def _round_vec(c):
     return F.transform(c, lambda x: F.round(x.cast("double"), 6))
 
@@ -129,10 +134,10 @@ def q_matrix_uniform(spark, sf):
 ZERO_SQL = f"list_transform(range({DIM}), lambda i: 0.0::DOUBLE)"
 
 
-def _pool_sql(agg: str) -> str:
-    return f"""(WITH wv AS {WV_SQL},
-c AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({S.tokenize('text')}) AS token FROM documents)
-      GROUP BY doc_id, token),
+def _pool_sql(agg: str, wv: str = WV_SQL, token: str = "token") -> str:
+    return f"""(WITH wv AS {wv},
+c AS (SELECT doc_id, {token} AS token, count(*) AS n FROM (SELECT doc_id, unnest({S.tokenize('text')}) AS token FROM documents)
+      GROUP BY ALL),
 u AS (SELECT c.doc_id, c.n, unnest(w.vec)::DOUBLE AS x, generate_subscripts(w.vec, 1) AS k
       FROM c JOIN wv w USING (token)),
 a AS (SELECT doc_id, k, {agg} AS m FROM u GROUP BY doc_id, k),
@@ -151,6 +156,22 @@ def q_pool_avg(spark, sf):
     return _pool(spark, sf, "avg")
 
 
+@query("e2_pool_avg_blocked", sql=f"SELECT * FROM {_pool_sql('sum(n * x) / sum(n)')}")
+def q_pool_avg_blocked(spark, sf):
+    """The same with no table small enough to broadcast: the blocked product."""
+    d = table(spark, sf, "documents").select("doc_id", T.tokenize("text").alias("tokens"))
+    p = E.pool(d, "tokens", word_vectors(spark, sf), how="avg", max_bytes=0)
+    return p.select("doc_id", _round_vec(F.col("doc_vec")).alias("doc_vec"))
+
+
+@query("e2_pool_avg_no_case", sql=f"SELECT * FROM {_pool_sql('sum(n * x) / sum(n)', FOLDED_SQL, 'lower(token)')}")
+def q_pool_avg_no_case(spark, sf):
+    """Look-up without regard to case, as the main pipeline does it."""
+    d = table(spark, sf, "documents").select("doc_id", T.tokenize("text").alias("tokens"))
+    p = E.pool(d, "tokens", word_vectors(spark, sf), how="avg", case_sensitive=False)
+    return p.select("doc_id", _round_vec(F.col("doc_vec")).alias("doc_vec"))
+
+
 @query("e2_pool_avg_oov_zero", sql=f"""
 WITH wv AS {WV_SQL},
 toks AS (SELECT doc_id, unnest({S.tokenize('text')}) AS token FROM documents),

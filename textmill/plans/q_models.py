@@ -21,7 +21,7 @@ from textmill.operators.sampling import stratified_split
 from textmill.operators.embed import pool
 from textmill.plans import sqlfrag as S
 from textmill.operators.pipeline import main_pipeline, vector_stages
-from textmill.plans.q_embed import WV_SQL, ZERO_SQL, word_vectors
+from textmill.plans.q_embed import FOLDED_SQL, ZERO_SQL, word_vectors
 from textmill.plans.q_vocab import _lemma_table, _stops_sql
 from textmill.functions.hashing import sql_hash
 from textmill.plans.q_sampling import SEED, _strat_sql
@@ -81,14 +81,14 @@ def _tables(spark, sf):
 
 
 @query("m5_main_pipeline_vectors", sql=f"""
-WITH wv AS {WV_SQL},
+WITH wv AS {FOLDED_SQL},
 toks AS (SELECT DISTINCT unnest({S.tokenize('text')}) AS token FROM documents),
 lem AS (SELECT token, substr(token, 1, length(token) - 1) AS lemma FROM toks
         WHERE suffix(token, 's') AND length(token) > 3 AND substr(token, 1, length(token) - 1) IN (SELECT token FROM toks)),
 t AS (SELECT doc_id, unnest(list_filter(list_transform({S.split_ws('text')},
         lambda t: regexp_replace(lower(t), '[^\\p{{L}}+]', '', 'g')), lambda t: t <> '' AND NOT list_contains({_stops_sql()}, t))) AS token
       FROM documents),
-c AS (SELECT doc_id, coalesce(lemma, token) AS token, count(*) AS n FROM t LEFT JOIN lem USING (token) GROUP BY ALL),
+c AS (SELECT doc_id, lower(coalesce(lemma, token)) AS token, count(*) AS n FROM t LEFT JOIN lem USING (token) GROUP BY ALL),
 u AS (SELECT c.doc_id, c.n, unnest(w.vec)::DOUBLE AS x, generate_subscripts(w.vec, 1) AS k FROM c JOIN wv w USING (token)),
 a AS (SELECT doc_id, k, sum(n * x) / sum(n) AS m FROM u GROUP BY doc_id, k),
 p AS (SELECT doc_id, list({r6('m')} ORDER BY k) AS doc_vec FROM a GROUP BY doc_id)

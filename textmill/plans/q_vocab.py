@@ -4,6 +4,8 @@ as in the reference; V2 on all documents."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textmill.functions import text as T
@@ -12,6 +14,7 @@ from textmill.operators import vocab as V
 from textmill.plans import sqlfrag as S
 from textmill.plans.q_sampling import SEED, _strat_sql
 from textmill.plans.registry import query, sql_lit, table
+from textmill.session import ensure_checkpoint_dir
 
 
 def docs(spark, sf, *cols):
@@ -138,6 +141,27 @@ def q_v7(spark, sf):
     return V.term_counts(d, "tokens")
 
 
+TERMS_SQL = f"""(SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS id
+FROM (SELECT unnest({S.tokenize('text')}) AS term FROM documents) GROUP BY term)"""
+
+
+@query("v7_bag_of_words", sql=f"""
+WITH t AS {TERMS_SQL},
+c AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n
+      FROM (SELECT doc_id, unnest({S.tokenize('text')}) AS term FROM documents) GROUP BY ALL),
+b AS (SELECT doc_id, list(id ORDER BY id) AS indices, list(n ORDER BY id) AS v FROM c JOIN t USING (term) GROUP BY doc_id)
+SELECT d.doc_id, (SELECT count(*) FROM t) AS size, coalesce(b.indices, []::BIGINT[]) AS indices,
+       coalesce(b.v, []::DOUBLE[]) AS values FROM documents d LEFT JOIN b USING (doc_id)""")
+def q_v7_vectors(spark, sf):
+    """Sparse vectors over all words, from the saved and loaded stage."""
+    from textmill.operators.pipeline import BagOfWords, fit_bag_of_words
+    d = docs(spark, sf, "doc_id", "text").withColumn("tokens", T.tokenize("text"))
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bag_{uuid.uuid4().hex}"
+    fit_bag_of_words(d, f"{base}/terms").write().save(f"{base}/stage")
+    got = BagOfWords.load(f"{base}/stage").transform(d)
+    return got.select("doc_id", "features.size", "features.indices", "features.values")
+
+
 @query("v8_ngrams", sql=f"""
 SELECT doc_id, CASE WHEN len(t) >= 2 THEN list_transform(range(len(t) - 1), lambda i: t[i + 1] || ' ' || t[i + 2])
                     ELSE []::VARCHAR[] END AS grams
