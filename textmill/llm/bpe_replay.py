@@ -56,6 +56,10 @@ class MergeTable:
         order = np.argsort(np.array(keys, np.int64))
         self.keys = np.array(keys, np.int64)[order]
         self.values = np.array(values, np.int32)[order]
+        # tokens that some pair joins to a token of a lower rank than their own
+        self.early = np.zeros(max(ranks.values()) + 1, bool)
+        for side in (self.keys >> 32, self.keys & 0xFFFFFFFF):
+            self.early[side[self.values < side]] = True
         self.kept: dict[str, bytes] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,8 +133,9 @@ class MergeTable:
             place = np.arange(len(at))
             begins = np.concatenate([[True], right[at[:-1]] != at[1:]])
             whole, at = at, at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
-            # a pair that a merge makes must not come before the merges that are left;
-            # in the tables of trained tokenizers it never does
+            if not self.early[r]:
+                return at, at[:0]
+            # a pair that a merge makes must not come before the merges that are left
             after, before = right[right[at]], left[at]
             joined = np.concatenate([[False], after[:-1] == at[1:]])
             made = np.full(len(at), _NONE, np.int32)
