@@ -170,7 +170,8 @@ def term_counts(df: DataFrame, tokens_col: str, doc_col: str = "doc_id") -> Data
 def term_numbers(df: DataFrame, tokens_col: str, min_docs: int = 1) -> DataFrame:
     """(term, n, docs, id): every term of at least ``min_docs`` texts, numbered
     from 0 by falling count, ties by term.  A distributed table of any size."""
-    each = df.select(F.monotonically_increasing_id().alias(_ROW), F.explode_outer(tokens_col).alias("term")) \
+    numbered = df.select(F.monotonically_increasing_id().alias(_ROW), tokens_col)  # before the explode
+    each = numbered.select(_ROW, F.explode_outer(tokens_col).alias("term")) \
         .where(F.col("term").isNotNull()).groupBy(_ROW, "term").agg(F.count(F.lit(1)).alias("n"))
     counts = each.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     ranked = global_rank(counts, [F.desc("n"), F.asc("term")], out="id")
