@@ -296,7 +296,7 @@ def test_bag_of_words_vector_form(spark, tmp_path):
     fit_bag_of_words(d, str(tmp_path / "terms"), min_docs=2).write().save(str(tmp_path / "stage"))
     got = BagOfWords.load(str(tmp_path / "stage")).transform(d)
     assert got.columns == ["doc_id", "tokens", "features"]
-    assert sorted((r.doc_id or -1, r.features.size, r.features.indices, r.features["values"]) for r in got.collect()) == [
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.features.size, r.features.indices, r.features["values"]) for r in got.collect()) == [
         (-1, 1, [], []), (0, 1, [0], [1.0]), (1, 1, [0], [1.0]), (1, 1, [0], [2.0]), (5, 1, [], []), (6, 1, [], [])]
     none = d.limit(0)
     assert V.bag_of_words(d, "tokens", V.term_numbers(none, "tokens")).select("size", "indices").distinct().collect() == [(0, [])]

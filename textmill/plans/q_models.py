@@ -20,6 +20,7 @@ from textmill.operators.evaluate import classification_report
 from textmill.operators.sampling import stratified_split
 from textmill.operators.embed import pool
 from textmill.plans import sqlfrag as S
+from textmill.operators.linear import sql_linear_svm
 from textmill.operators.pipeline import main_pipeline, vector_stages
 from textmill.plans.q_embed import FOLDED_SQL, ZERO_SQL, word_vectors
 from textmill.plans.q_vocab import _lemma_table, _stops_sql
@@ -177,20 +178,48 @@ def q_m3_val(spark, sf):
     return report
 
 
-@query("m4_bow_svm")
+def _unit_sql(src: str) -> str:
+    """Examples of the linear SVM over a relation (doc_id, text)."""
+    return f"""WITH c AS (SELECT doc_id AS row, term, count(*) AS n FROM (SELECT doc_id, unnest({S.tokenize('text')}) AS term FROM {src})
+GROUP BY ALL) SELECT row, term, n / sqrt(CAST(sum(n * n) OVER (PARTITION BY row) AS DOUBLE)) AS x FROM c
+UNION ALL SELECT doc_id, '', 1.0::DOUBLE FROM {src}"""
+
+
+def _coded_sql(src: str) -> str:
+    return f"SELECT doc_id AS row, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS y FROM {src}"
+
+
+_SVM_TRAIN = f"(SELECT doc_id, text, lang FROM {_strat_sql(0.33, cols='doc_id, lang, text')} WHERE split = 'train')"
+_SVM_TEST = f"(SELECT doc_id, text, lang FROM {_strat_sql(0.33, cols='doc_id, lang, text')} WHERE split = 'test')"
+SVM_STEPS, SVM_CLASSES, SVM_REG = 8, 4, 0.001
+
+
+@query("m4_bow_svm", sql=f"""
+WITH {sql_linear_svm(_unit_sql(_SVM_TRAIN), _coded_sql(_SVM_TRAIN), SVM_CLASSES, SVM_STEPS, SVM_REG)},
+te AS ({_unit_sql(_SVM_TEST)}),
+mt AS (SELECT row, {', '.join(f'sum(x * coalesce(w{c}, 0)) AS s{c}' for c in range(SVM_CLASSES))}
+       FROM te LEFT JOIN weights USING (term) GROUP BY row)
+SELECT d.doc_id, d.lang, CAST(list_position([s0, s1, s2, s3], greatest(s0, s1, s2, s3)) - 1 AS INTEGER) AS prediction
+FROM mt JOIN {_SVM_TEST} d ON d.doc_id = mt.row""")
 def q_m4(spark, sf):
     s = stratified_split(_docs_text(spark, sf), "lang", 0.33, SEED).withColumn("tokens", T.tokenize("text"))
-    m = M.train_svm(s.where(F.col("split") == "train"), "tokens", "lang", max_iter=10)
+    m = M.train_svm(s.where(F.col("split") == "train"), "tokens", "lang", max_iter=SVM_STEPS, reg=SVM_REG)
     return M.score(s.where(F.col("split") == "test"), m).select("doc_id", "lang", F.col("prediction").cast("int"))
 
 
-@query("o4_top_features")
+@query("o4_top_features", sql=f"""
+WITH {sql_linear_svm(_unit_sql('documents'), _coded_sql('documents'), SVM_CLASSES, SVM_STEPS, SVM_REG)},
+l AS ({' UNION ALL '.join(f'SELECT {c} AS class_index, term, w{c} AS weight FROM weights' for c in range(SVM_CLASSES))}),
+k AS (SELECT DISTINCT lang AS label, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS class_index FROM documents)
+SELECT class_index, label, term, {r6('weight')} AS weight,
+       CAST(row_number() OVER (PARTITION BY class_index ORDER BY weight DESC, term) AS INTEGER) AS rank
+FROM l JOIN k USING (class_index) WHERE term <> ''
+QUALIFY row_number() OVER (PARTITION BY class_index ORDER BY weight DESC, term) <= 10""")
 def q_o4(spark, sf):
     """The words that weigh most for each class in the linear SVMs."""
     d = _docs_text(spark, sf).withColumn("tokens", T.tokenize("text"))
-    model = M.train_svm(d, "tokens", "lang", max_iter=10)
-    _, words, svm = model.stages
-    return M.top_features([m.coefficients.toArray() for m in svm.models], words.vocabulary, spark, 10)
+    model = M.train_svm(d, "tokens", "lang", max_iter=SVM_STEPS, reg=SVM_REG)
+    return M.top_features(model, spark, 10).withColumn("weight", F.round("weight", 6))
 
 
 @query("f2_clean_text_stage", sql=f"SELECT doc_id, clean AS clean_text FROM {S.clean_cte('documents')}")
