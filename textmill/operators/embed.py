@@ -38,9 +38,6 @@ MAX_BROADCAST_VECTORS, MAX_BROADCAST_BYTES = 200_000, BROADCAST_BYTES
 # Beyond: bytes of a block of the table, and rows of texts that meet one copy of it.
 BLOCK_BYTES, SLICE_ROWS = 32 << 20, 200_000
 _LOWEST = -1e300
-# Word2Vec's result depends on how many tasks train it: a fixed number gives
-# the same vectors on every cluster.
-W2V_PARTITIONS = 8
 
 
 def fill_table(keys: DataFrame, kind: str, seed, id_col: str, dim: int,
@@ -251,14 +248,9 @@ def pool(df: DataFrame, tokens_col: str, vectors: DataFrame, how: str = "avg", d
 
 # E5
 def train_word_vectors(df: DataFrame, tokens_col: str, dim: int = 100, min_count: int = 5,
-                       seed: int = 42, max_iter: int = 1, window: int = 5,
-                       num_partitions: int = W2V_PARTITIONS) -> DataFrame:
-    """Word vectors trained with Spark ML ``Word2Vec``, standing in for the
-    downloaded ones: (token, vec array<float>).  Trains on ``num_partitions``
-    tasks, a parameter of the model like its seed."""
-    from pyspark.ml.feature import Word2Vec
-    w2v = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=max_iter, windowSize=window,
-                   inputCol=tokens_col, outputCol="__w2v", numPartitions=num_partitions)
-    model = w2v.fit(df.select(tokens_col))
-    return model.getVectors().select(F.col("word").alias("token"),
-                                     vector_to_array(F.col("vector"), "float32").alias("vec"))
+                       seed: int = 42, max_iter: int = 4, window: int = 5, doc_col: str = "doc_id") -> DataFrame:
+    """Trained word vectors, standing in for the downloaded ones: (token, vec
+    array<float>), by factorised co-occurrence (``wordvec``); ``max_iter`` is
+    its number of power steps."""
+    from textmill.operators.wordvec import word_vectors
+    return word_vectors(df, tokens_col, dim, min_count, window, max_iter, seed, doc_col)

@@ -27,7 +27,7 @@ from textmill.plans import sqlfrag as S
 from textmill.plans.q_vocab import V1_CAP_SQL, V2_SQL, _v1, _v2
 from textmill.plans.registry import query, table
 from textmill.plans.sqlfrag import round6_sql
-from textmill.session import ensure_checkpoint_dir
+from textmill.session import barrier, ensure_checkpoint_dir
 from textmill.sources.io import read_word_vectors
 
 DIM = 64
@@ -207,6 +207,50 @@ SELECT token, CAST(16 AS INTEGER) AS dim FROM (SELECT unnest({S.tokenize('text')
 GROUP BY token HAVING count(*) >= 5""")
 def q_train_vectors(spark, sf):
     """One vector per word seen at least 5 times; the oracle checks the words."""
-    d = table(spark, sf, "documents").select(T.tokenize("text").alias("tokens"))
+    d = table(spark, sf, "documents").select("doc_id", T.tokenize("text").alias("tokens"))
     v = E.train_word_vectors(d, "tokens", dim=16, min_count=5, seed=42)
     return v.select("token", F.size("vec").alias("dim"))
+
+
+_PAIRS_SQL = f"""p AS (SELECT doc_id, unnest(tk) AS token, generate_subscripts(tk, 1) AS pos
+  FROM (SELECT doc_id, {S.tokenize('text')} AS tk FROM documents)),
+f AS (SELECT token FROM p GROUP BY token HAVING count(*) >= 5),
+k AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS at FROM p JOIN f USING (token)),
+n AS (SELECT least(x.token, y.token) AS a, greatest(x.token, y.token) AS b, count(*) AS n
+  FROM k x JOIN k y ON x.doc_id = y.doc_id AND y.at > x.at AND y.at <= x.at + 5 GROUP BY ALL)"""
+
+
+def _pairs(spark, sf):
+    """Co-occurrence counts by id, and the words of the ids."""
+    from textmill.operators import wordvec as W
+    from textmill.operators.vocab import encode_drop, first_seen_vocab
+    d = table(spark, sf, "documents").select("doc_id", T.tokenize("text").alias("tokens"))
+    vocab = barrier(first_seen_vocab(d, "tokens", min_count=5).select("token", "id"))
+    return W.cooccurrence(encode_drop(d, "tokens", vocab), "ids", 5), vocab
+
+
+def _named(df, vocab, *cols):
+    for c in cols:
+        df = df.join(vocab.select(F.col("id").alias(c), F.col("token").alias(f"{c}_token")), c).drop(c).withColumnRenamed(f"{c}_token", c)
+    return df
+
+
+@query("e5_cooccurrence", sql=f"WITH {_PAIRS_SQL} SELECT a, b, n FROM n")
+def q_cooccurrence(spark, sf):
+    """How often words stand within five places of each other."""
+    pairs, vocab = _pairs(spark, sf)
+    named = _named(pairs, vocab, "a", "b")
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
+
+
+@query("e5_positive_pmi", sql=f"""
+WITH {_PAIRS_SQL},
+s AS (SELECT a AS i, b AS j, n FROM n UNION ALL SELECT b, a, n FROM n WHERE a <> b),
+r AS (SELECT i, sum(n)::BIGINT AS s FROM s GROUP BY i),
+m AS (SELECT s.i, s.j, ln(s.n / x.s * (SELECT sum(n)::DOUBLE FROM s) / y.s) AS m FROM s JOIN r x ON x.i = s.i JOIN r y ON y.i = s.j)
+SELECT i, j, {round6_sql('m')} AS m FROM m WHERE m > 0""")
+def q_positive_pmi(spark, sf):
+    """The weights that the word vectors factorise."""
+    from textmill.operators import wordvec as W
+    pairs, vocab = _pairs(spark, sf)
+    return _named(W.positive_pmi(barrier(pairs)), vocab, "i", "j").select("i", "j", F.round("m", 6).alias("m"))
