@@ -38,9 +38,10 @@ def pair_counts(df: DataFrame, label: str = "label", pred: str = "pred", by: lis
 
 
 # X5
-def confusion(df: DataFrame, label: str = "label", pred: str = "pred", rows: str = "true") -> DataFrame:
+def confusion(df: DataFrame, label: str = "label", pred: str = "pred", rows: str = "true", zeros: bool = True) -> DataFrame:
     """Long confusion table (row_class, col_class, n) over the union of true
-    and predicted classes, zero cells included; cells of null labels or
+    and predicted classes.  Without ``zeros`` only the cells that occur, by one
+    aggregate (many classes).  With it zero cells are included; cells of null labels or
     predictions are there where they occur, so that the counts add up to the
     rows.  ``rows='true'`` puts true labels on rows (the other call order puts
     predictions there).
@@ -51,10 +52,13 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "pred", rows: str
     from textmill.operators.rank import global_rank
     from textmill.session import barrier
 
+    if not zeros:
+        r, c = (label, pred) if rows == "true" else (pred, label)
+        return df.groupBy(F.col(r).alias("row_class"), F.col(c).alias("col_class")).agg(F.count(F.lit(1)).alias("n"))
     pc = barrier(pair_counts(df, label, pred))
     classes = pc.select(F.col("label").alias("c")).union(pc.select(F.col("pred").alias("c"))) \
         .where("c IS NOT NULL").distinct()
-    numbered = barrier(global_rank(classes, [F.asc("c")], out="i"))
+    numbered = global_rank(classes, [F.asc("c")], out="i")  # its sorted table is written
     k = numbered.count()
     r, c = ("label", "pred") if rows == "true" else ("pred", "label")
     cnt = pc.select(F.col(r).alias("row_class"), F.col(c).alias("col_class"), "n")

@@ -141,6 +141,13 @@ def q_confusion(spark, sf):
     return X.confusion(predictions(spark, sf), rows="true")
 
 
+@query("x5_confusion_cells", sql=f"""WITH p AS {PRED_SQL}
+SELECT label AS row_class, pred AS col_class, count(*) AS n FROM p GROUP BY ALL""")
+def q_confusion_cells(spark, sf):
+    """Only the cells that occur."""
+    return X.confusion(predictions(spark, sf), zeros=False)
+
+
 @query("x5_confusion_pred_rows", sql=_confusion_sql("pred", "label"))
 def q_confusion_pred(spark, sf):
     return X.confusion(predictions(spark, sf), rows="pred")
