@@ -17,14 +17,14 @@ from textmill.functions import text as T
 from textmill.operators import models as M
 from textmill.operators.clean import CleanText
 from textmill.operators.evaluate import classification_report
-from textmill.operators.sampling import stratified_split
+from textmill.operators.sampling import random_split, stratified_split
 from textmill.operators.embed import pool
 from textmill.plans import sqlfrag as S
 from textmill.operators.linear import sql_linear_svm
 from textmill.operators.pipeline import main_pipeline, vector_stages
 from textmill.plans.q_embed import FOLDED_SQL, ZERO_SQL, word_vectors
 from textmill.plans.q_vocab import _lemma_table, _stops_sql
-from textmill.functions.hashing import sql_hash
+from textmill.functions.hashing import sql_hash, sql_uniform
 from textmill.plans.q_sampling import SEED, _strat_sql
 from textmill.plans.registry import query, table
 from textmill.plans.sqlfrag import round6_sql as r6
@@ -152,17 +152,31 @@ def q_m2(spark, sf):
         F.round(vector_to_array("probability")[1], 6).alias("p1"))
 
 
-@query("m3_multilabel")
-def q_m3(spark, sf):
-    """One binary model per label (quality, toxic), threshold 0.5."""
+def _multilabel(spark, sf):
+    """(doc_id, labels, doc_vec, split): a tenth held out."""
     lab = table(spark, sf, "labels")
     labels_arr = F.filter(F.array(F.when(F.col("quality") == 1, F.lit("quality")),
                                   F.when(F.col("toxic") == 1, F.lit("toxic"))), lambda x: x.isNotNull())
     d = table(spark, sf, "documents").select("doc_id", "text").join(
         lab.select("doc_id", labels_arr.alias("labels")), on="doc_id")
-    d = _with_doc_vec(spark, sf, d)
-    models = M.train_multilabel(d, "doc_vec", "labels", ["quality", "toxic"])
-    return M.predict_multilabel(d, "doc_vec", models).select("doc_id", "labels", "result")
+    return random_split(_with_doc_vec(spark, sf, d), 0.1, SEED, ["doc_id"])
+
+
+@query("m3_multilabel")
+def q_m3(spark, sf):
+    """All labels (quality, toxic) in one fit, threshold 0.5; the held-out rows
+    with their labels and predictions."""
+    s = _multilabel(spark, sf)
+    models = M.train_multilabel(s.where("split = 'train'"), "doc_vec", "labels", ["quality", "toxic"])
+    return M.predict_multilabel(s.where("split = 'test'"), "doc_vec", models).select("doc_id", "labels", "result")
+
+
+@query("m3_test_rows", sql=f"""
+SELECT d.doc_id, list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS labels
+FROM documents d JOIN labels USING (doc_id) WHERE {sql_uniform(SEED, 'd.doc_id')} >= 0.9""")
+def q_m3_rows(spark, sf):
+    """Ids and labels of the rows that M3 is scored on."""
+    return _multilabel(spark, sf).where("split = 'test'").select("doc_id", "labels")
 
 
 @query("m3_multilabel_validation")
