@@ -64,6 +64,39 @@ def test_blocks_reach_aliases(spark):
     assert {i for i, x in more.items() if x.verdict == "block"} == {1, 2, 3, 5, 6, 7, 8, 10}
 
 
+def test_only_declared_links_count(spark):
+    bad = "http://bad.net/es/1"
+
+    def link(u, rel="canonical"):
+        return f'<link href="{u}" rel="{rel}">'
+
+    blocked = [
+        link(bad, "shortlink Canonical"), f"<LINK REL = 'canonical'\nHREF={bad}>", f'<link title="a > b" rel=canonical href="{bad}"/>',
+        link("http://bad.net/x/../es/./1"), link("http&#58;//bad.net&#x2f;es/1"), "<!-- a --> " + link(bad) + " <!-- b -->",
+        f'<script>var a = "<!--";</script>{link(bad)}', f'<meta content="0;URL=\'{bad}\'" http-equiv="Refresh">',
+    ]
+    free = [
+        f"<!-- {link(bad)} -->", f"<script>var x = '{link(bad)}';</script>", f"<!-- {link(bad)}", f"<style>{link(bad)}</style>",
+        f"<textarea>{link(bad)}</textarea><title>{link(bad)}</title>", f"<template>{link(bad)}</template>", link(bad, "canonical-x"),
+        f'<link data-rel="canonical" href="{bad}">', f'<meta name="refresh" content="0; url={bad}">', link("#top"),
+        link("http://bad.net/es/../1"),
+    ]
+    rows = [(i, f"http://h.org/a/{i}", h) for i, h in enumerate(blocked + free)]
+    rows += [(100, "http://y.net/fr/q", None), (101, "http://y.net/a/b/c", link("../../fr/q")), (102, "http://y.net/q?x=1", link("?x=2")),
+             (103, "http://y.net/q?x=2", link("/fr/./z/../q"))]
+    got = judged(spark, rows, URL_RULES)
+    assert {i for i, x in got.items() if x.verdict == "block"} == {*range(len(blocked)), 100, 101, 102, 103}
+
+
+def test_long_rule_lists_join_by_shuffle(spark, monkeypatch):
+    from textmill.llm import url_filter
+    rules = URL_RULES + [("com", "/", "block"), ("example.com", "/en/", "block")]
+    rows = [(i, f"http://{h}.com/{p}", None) for i, (h, p) in enumerate((h, p) for h in ("a", "example", "www.example") for p in ("", "en/", "x"))]
+    want = judged(spark, rows, rules)
+    monkeypatch.setattr(url_filter, "MAX_RULES", 0)
+    assert judged(spark, rows, rules) == want
+
+
 def test_alias_key(spark):
     df = spark.createDataFrame([("HTTP://A.org/x?utm_source=f&b=1&gclid=2#t",), ("no scheme",), (None,)], "u string")
     assert [r[0] for r in df.select(alias_key(df.u)).collect()] == ["//a.org/x?b=1", "no scheme", None]

@@ -159,12 +159,18 @@ def _url_sql(u: str) -> dict[str, str]:
 _U = _url_sql("url")
 
 
+def _tags_sql(name: str) -> str:
+    from textmill.llm.url_filter import RAW
+    return f"regexp_extract_all(regexp_replace(html, '(?is){RAW}', ' ', 'g'), '(?i)<{name}\\s[^>]*>')"
+
+
 #: The oracle knows links by absolute address, which is what pages declare.
 @register("op4_url_filter", sql=fr"""
 WITH RECURSIVE
 t AS (SELECT DISTINCT url, unnest(list_concat(
-        list_transform(regexp_extract_all(html, '(?i)<link\s[^>]*rel="canonical"[^>]*>'), lambda x: regexp_extract(x, 'href="([^"]*)"', 1)),
-        list_transform(regexp_extract_all(html, '(?i)<meta\s[^>]*http-equiv="refresh"[^>]*>'),
+        list_transform(list_filter({_tags_sql('link')}, lambda x: regexp_matches(x, '(?i)\srel="(?:[^"]*\s)?canonical(?:\s[^"]*)?"')),
+                       lambda x: regexp_extract(x, 'href="([^"]*)"', 1)),
+        list_transform(list_filter({_tags_sql('meta')}, lambda x: regexp_matches(x, '(?i)\shttp-equiv="refresh"')),
                        lambda x: regexp_extract(x, '(?i)url=([^"]*)"', 1)))) AS target
       FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
 u AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL UNION SELECT target FROM t WHERE target <> ''),

@@ -5,11 +5,13 @@ begins with the rule's; the longest that fits a url decides it.  A url without
 a rule may be an alias: canonical links and refresh redirects declared by the
 pages are edges between urls, connected components over them are found by
 joins, and an alias of a blocked url is blocked.  A url that a rule allows
-stays allowed, whatever its aliases are.
+stays allowed, whatever its aliases are.  What stands in comments, scripts and
+other raw text declares nothing.
 
 Rules are met by equality joins - each suffix of a host against the hosts of
 the rules, then each prefix of the path whose length such a rule has - so a
-block list may be as long as it likes.
+block list may be as long as it likes.  A short list is broadcast; of a long
+one the hosts that very many urls have are (``join_split``).
 """
 
 from __future__ import annotations
@@ -18,13 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.components import connected_components
-from textmill.session import barrier
+from textmill.operators.headtail import join_split
+from textmill.session import barrier, small_enough
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that do not tell pages apart.
 TRACKING = "utm_[a-z]+|fbclid|gclid|msclkid|mc_cid|mc_eid"
-_LINK = r"(?i)<link\s(?:[^>]*\s)?rel\s*=\s*[\"']?canonical[\"'\s/>][^>]*>?"
-_META = r"(?i)<meta\s(?:[^>]*\s)?http-equiv\s*=\s*[\"']?refresh[\"'\s/>][^>]*>?"
+#: Elements whose inside is no mark-up of the page, and comments; the last may be left open.
+RAW = "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{tag}[\s/>].*?(?:</{tag}\s*>|\z)" for tag in (
+    "script", "style", "textarea", "title", "template", "iframe", "xmp", "noembed", "noframes"))])
+_TAG = r"(?i)<{}[\s/](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+#: Rules up to this number are broadcast, if their bytes allow it.
+MAX_RULES = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -52,29 +59,65 @@ def alias_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, whole).otherwise(url)
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    value = rf"(?i)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*[F.regexp_extract(tag, value, i) for i in (1, 2, 3)])
+
+
+def _decoded(t: Column) -> Column:
+    """Numeric character references, and the named ones of mark-up."""
+    refs = F.array_distinct(F.regexp_extract_all(t, F.lit("&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?"), F.lit(0)))
+    digits = lambda r: F.regexp_extract(r, "([0-9a-fA-F]+);?$", 1)
+    code = lambda r: F.when(r.rlike("^&#[xX]"), F.upper(digits(r))).otherwise(F.conv(digits(r), 10, 16))
+    char = lambda r: F.decode(F.unhex(F.lpad(code(r), 8, "0")), "UTF-32")
+    t = F.aggregate(refs, t, lambda s, r: F.replace(s, r, char(r)))
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(name), F.lit(c))
+    return t
+
+
+def _no_dots(target: Column) -> Column:
+    """An absolute url without the segments ``.`` and ``..`` of its path."""
+    path = path_of(target)
+    parts = F.slice(F.split(path, "/", -1), 2, 1 << 30)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(
+        x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    ends = path.rlike(r"/\.\.?$")
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends & (F.size(kept) > 0), "/").otherwise(""))
+    head = F.regexp_extract(target, "^([^:]*://[^/?#]*)", 1)
+    rest = F.substring(target, F.length(head) + F.length(path) + 1, F.length(target))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(head, clean, rest)).otherwise(target)
+
+
 def declared_targets(html: Column, url: Column) -> Column:
     """Array of absolute urls that a page names as its canonical address or
-    refreshes to; relative ones are resolved against the page's url."""
-    tags = lambda p: F.regexp_extract_all(html, F.lit(p), 0)
-    value = r"(?i)[\s\"']href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    target = r"(?i)[;,\s\"']url\s*=\s*['\"]?([^\"'>\s]+)"
-    links = F.transform(tags(_LINK), lambda t: F.concat(*[F.regexp_extract(t, value, i) for i in (1, 2, 3)]))
-    metas = F.transform(tags(_META), lambda t: F.regexp_extract(t, target, 1))
+    refreshes to: link elements whose rel holds the word canonical, meta
+    elements whose http-equiv is refresh, both outside comments and raw text.
+    Character references are decoded, relative addresses resolved against the
+    page's url (a base element is not looked at), dot segments removed."""
     any_ = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
+    plain = F.regexp_replace(html, f"(?is){RAW}", " ")
+    tags = lambda name: F.regexp_extract_all(plain, F.lit(_TAG.format(name)), F.lit(0))
+    links = F.transform(F.filter(tags("link"), lambda t: F.array_contains(F.split(F.lower(F.btrim(_attribute(t, "rel"))), r"\s+"),
+                                                                        "canonical")), lambda t: _attribute(t, "href"))
+    metas = F.transform(F.filter(tags("meta"), lambda t: F.lower(F.btrim(_attribute(t, "http-equiv"))) == "refresh"),
+                        lambda t: F.regexp_extract(_attribute(t, "content"), r"(?i)(?:^|[;,\s])\s*url\s*=\s*['\"]?([^\"'>\s]+)", 1))
     found = F.when(any_, F.concat(links, metas)).otherwise(F.array().cast("array<string>"))
     scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
     root = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(url), "^[^/?#]*", 0))
     folder = F.concat(root, F.regexp_replace(F.concat(path_of(url), F.lit("")), "[^/]*$", ""))
 
     def absolute(t: Column) -> Column:
-        t = F.replace(F.btrim(t), F.lit("&amp;"), F.lit("&"))
-        return F.when(t == "", F.lit(None)).when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t) \
+        t = F.btrim(_decoded(t))
+        return F.when((t == "") | t.startswith("#"), F.lit(None)).when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t) \
             .when(F.instr(url, "://") <= 0, F.lit(None)) \
             .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)) \
             .when(t.startswith("/"), F.concat(root, t)) \
+            .when(t.startswith("?"), F.concat(root, path_of(url), t)) \
             .otherwise(F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), t))
 
-    return F.filter(F.transform(found, absolute), lambda t: t.isNotNull())
+    there = F.filter(F.transform(found, absolute), lambda t: t.isNotNull())
+    return F.transform(there, _no_dots)
 
 
 def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -89,11 +132,19 @@ def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(F.split(F.col("host"), r"\.", -1), i, F.lit(1 << 30)), "."))
-    near = u.select("url", "path", F.explode(F.array_distinct(suffixes)).alias("r_host")).join(lengths, "r_host")
+    few = small_enough(r, MAX_RULES)
+    near = u.select("url", "path", F.explode(F.array_distinct(suffixes)).alias("r_host"))
+    near = near.join(F.broadcast(lengths), "r_host") if few else join_split(barrier(near), barrier(lengths), "r_host")
     near = near.select("url", "path", "r_host", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n")) \
         .withColumn("r_path", F.expr("substring(path, 1, n)"))
-    fits = near.join(r, ["r_host", "r_path"])
     rule = F.concat("r_host", "r_path")
+    if few:
+        fits = near.join(F.broadcast(r), ["r_host", "r_path"])
+    else:  # a rule may stand in the list twice
+        key = F.struct("r_host", "r_path").alias("key")
+        lists = barrier(r.groupBy(key).agg(F.collect_set("ruled").alias("verdicts")))
+        fits = join_split(barrier(near.select("url", key)), lists, "key").select(
+            "url", "key.r_host", "key.r_path", F.explode("verdicts").alias("ruled"))
     best = fits.groupBy("url").agg(F.min(F.struct(
         (-F.length(rule)).alias("n"), F.when(F.col("ruled") == "allow", 0).otherwise(1).alias("o"), rule.alias("rule"),
         "ruled")).alias("best"))
