@@ -24,7 +24,7 @@ def test_marginals_equal_enumeration():
     for _ in range(10):
         n = 9
         parent = np.array([-1, *[rng.integers(0, i) for i in range(1, n)]], np.int32)
-        t = H.Tree(parent, rng.integers(0, H.N_FEATURES, (n, 6)).astype(np.int16), rng.integers(0, 2, n).astype(np.int8), [])
+        t = H.Tree(parent, rng.integers(0, H.N_FEATURES, (n, len(H._SIZES))).astype(np.int16), rng.integers(0, 2, n).astype(np.int8), [])
         f = H.forest([t, t])
         unary, pair = rng.normal(size=n), rng.normal(size=(2, 2, 2))
         p, joint = H.sum_product(f, np.tile(unary, 2), pair)
@@ -78,6 +78,37 @@ def test_page_with_every_kind_of_block(spark):
     assert H.extract_text(df.limit(0), model).count() == 0
 
 
+STORY = ["The harbour was quiet when we reached it, and the boats lay low in the water under a grey sky.",
+         "Nobody had told the crew that the bridge would stay closed until spring, so they waited for three days.",
+         "In the end a farmer took them across, one at a time, in a cart that had seen better roads than this."]
+PARTS = "".join(f"<p>{x}</p>" for x in STORY)
+LINKS = "".join(f'<li><a href="/{i}">What to read on day {i}</a></li>' for i in range(5))
+
+
+def test_hint_words_are_no_verdicts(spark):
+    """Shapes that the fit does not hold, with other texts: the whole article."""
+    model = H.train_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    nav = f"<nav><ul>{LINKS}</ul></nav>"
+    foot = "<footer><p>Copyright 2021 The Harbour Post.</p></footer>"
+    title, story = "<h1>Across the river</h1>", " ".join(STORY)
+    whole = f"Across the river {story}"
+    pages = {
+        f'{nav}<div class="post more-stories">{title}{PARTS}</div>{foot}': whole,
+        f'{nav}<div class="widget text">{title}{PARTS}</div>{foot}': whole,
+        f'<table><tr><td><ul>{LINKS}</ul></td><td>{title}{PARTS}</td></tr></table>{foot}': whole,
+        f'{nav}<article>{title}<div class="text more">{PARTS}</div></article>{foot}': whole,
+        f'{nav}<article>{title}{PARTS}<section class="related work"><h2>Other crossings</h2>{PARTS}</section></article>{foot}':
+            f"{whole} Other crossings {story}",
+        f'{nav}<article>{title}<div class="message">{PARTS}</div>{PARTS}</article>{foot}': f"{whole} {story}",
+        f'{nav}<main><article class="entry">{title}{PARTS}<div class="related"><h3>Related</h3><ul>{LINKS}</ul></div></article></main>{foot}': whole,
+        f'{nav}<article>{title}{PARTS}</article><div class="popular widget"><ul>{LINKS}</ul></div>{foot}': whole,
+        f'{nav}<div class="ads">{STORY[0]}</div><article>{title}{PARTS}</article><div class="cookie-consent"><p>{STORY[1]}</p></div>{foot}': whole,
+        f'{nav}<article>{title}{PARTS}</article><section id="comments"><div class="comment"><p>{STORY[2]}</p></div></section>{foot}': whole,
+    }
+    got = model.texts([f"<html><head><title>t</title></head><body>{p}</body></html>" for p in pages])
+    assert got == list(pages.values())
+
+
 def test_a_head_without_its_end_tag():
     model = H.train_pages()
     text = H._LONG.strip()

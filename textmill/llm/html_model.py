@@ -55,36 +55,37 @@ _GROUP = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h
           "thead": "table", "tfoot": "table", "caption": "figure", "figcaption": "figure", "blockquote": "quote", "pre": "quote",
           "button": "control", "label": "control", "fieldset": "form", "legend": "control", "dialog": "aside", "details": "div",
           "summary": "p", "hgroup": "header", "address": "p"}
-#: Parts of class, id and role that tell what a block is for, by kind.
+#: Parts of class, id and role that tell what a block is for, by kind.  Each kind
+#: is evidence of its own beside the block's tag, links and amount of text; the
+#: words under "maybe" are as common on content as beside it.
 _WORDS = {
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner outbrain taboola",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc",
     "header": "header masthead topbar logo",
-    "footer": "footer copyright colophon legal",
-    "side": "sidebar side aside widget widgets related recommended trending popular rail complementary more",
-    "notice": "cookie cookies consent notice gdpr popup modal alert overlay warning message toast paywall",
-    "comments": "comment comments reply replies disqus discussion respond",
+    "footer": "footer copyright colophon",
+    "side": "sidebar side aside rail complementary",
+    "notice": "cookie cookies consent notice gdpr popup modal overlay paywall",
+    "comments": "comment comments reply replies disqus respond",
     "share": "share sharing social follow",
-    "form": "form login signup subscribe newsletter search register subscription",
+    "form": "form login signup subscribe newsletter subscription",
+    "maybe": "widget widgets related recommended trending popular more message warning alert toast tabs discussion search register legal",
     "content": "article content post entry story main body text articlebody page",
 }
 _KIND = {w: k for k, ws in _WORDS.items() for w in ws.split()}
-_KINDS = [*_WORDS, "none"]
+_KINDS = list(_WORDS)
 _BOUNDS = {"nav", "header", "footer", "aside", "form", "control"}
-_SIZES = {"tag": len(_TAGS), "kind": len(_KINDS), "links": 4, "length": 5, "ending": 3, "shape": 2}
+_SIZES = {"tag": len(_TAGS), **{f"kind {k}": 2 for k in _KINDS}, "links": 4, "length": 5, "ending": 3, "shape": 2, "mass": 5}
 _FIRST = dict(zip(_SIZES, np.cumsum([0, *_SIZES.values()]).tolist()))
 N_FEATURES = sum(_SIZES.values())
 
 
-def _kind_of(attrs: list[tuple[str, str | None]]) -> str:
-    found = "none"
+def _kinds_of(attrs: list[tuple[str, str | None]]) -> set[str]:
+    found = set()
     for name, value in attrs:
         if name in ("class", "id", "role", "itemprop") and value:
             for w in value.lower().replace("-", " ").replace("_", " ").split():
-                k = _KIND.get(w) or _KIND.get(w.rstrip("0123456789"))
-                if k and (found == "none" or found == "content"):
-                    found = k
-    return found
+                found.add(_KIND.get(w) or _KIND.get(w.rstrip("0123456789")))
+    return found - {None}
 
 
 class _Page(HTMLParser):
@@ -92,7 +93,7 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.kind, self.mark = [-1], ["root"], ["none"], [None]
+        self.parent, self.tag, self.kinds, self.mark = [-1], ["root"], [set()], [None]
         self.stack = [0]
         self.names = ["root"]
         self.runs: list[tuple[int, list[str]]] = []
@@ -105,7 +106,7 @@ class _Page(HTMLParser):
     def _push(self, tag, attrs):
         self.parent.append(self.stack[-1])
         self.tag.append(tag)
-        self.kind.append(_kind_of(attrs))
+        self.kinds.append(_kinds_of(attrs))
         self.mark.append(dict(attrs).get("data-label"))
         self.linked.append(0)
         self.stack.append(len(self.tag) - 1)
@@ -231,14 +232,15 @@ def page_tree(html: str | None, label: str = "") -> Tree:
     for i in range(n):
         tag = _GROUP.get(page.tag[i], page.tag[i])
         group = tag if tag in _TAGS else "other"
-        kind = page.kind[i]
+        kinds = page.kinds[i]
         share = linked[i] / under[i] if under[i] else -1
-        features[i] = (_FIRST["tag"] + _TAGS.index(group), _FIRST["kind"] + _KINDS.index(kind),
+        features[i] = (_FIRST["tag"] + _TAGS.index(group), *[_FIRST[f"kind {k}"] + (k in kinds) for k in _KINDS],
                        _FIRST["links"] + (0 if share < 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3),
                        _FIRST["length"] + (0 if not own[i] else 1 if own[i] < 20 else 2 if own[i] < 60 else 3 if own[i] < 200 else 4),
                        _FIRST["ending"] + (0 if not own[i] else 1 if last[i] in ".!?…\"”»)" else 2),
-                       _FIRST["shape"] + (under[i] > own[i]))
-        bound[i] = group in _BOUNDS or kind not in ("none", "content")
+                       _FIRST["shape"] + (under[i] > own[i]),
+                       _FIRST["mass"] + sum(under[i] >= n for n in (1, 60, 200, 800)))
+        bound[i] = group in _BOUNDS or bool(kinds - {"maybe", "content"} and "content" not in kinds)
     labels = np.full(n, -1, np.int8)
     if label == "marks":
         for i in range(1, n):
@@ -414,6 +416,26 @@ def labelled_pages() -> list[str]:
     bare = [page(x).replace('<body data-label="0">', '<body data-label="1">')
             for x in (plain, no(menu) + plain + no(foot_text), no(ad) + plain + no(foot))]
     pages += bare
+    # words that content has as well as what stands beside it
+    links = "".join(f'<li><a href="/{i}">Another story of the day {i}</a></li>' for i in range(4))
+    two = "<p>" + _LONG + "</p><p>" + _LONG * 2 + "</p>"
+    related = f'<div class="related"><h3>Related</h3><ul>{links}</ul></div>'
+    more = '<div class="more"><a href="/m">More stories</a></div>'
+    widget = f'<div class="widget popular"><h4>Popular now</h4><ul>{links}</ul></div>'
+    warn = '<div class="alert message">Please log in first.</div>'
+    table = '<table data-label="0"><tr>{}</tr></table>'
+    for inner in (body, two):
+        pages += [
+            page(no(menu), yes("div", inner, ' class="post more-stories"'), no(related, foot)),
+            page(no(top, warn), yes("div", inner, ' class="widget text"'), no(widget, foot_text)),
+            page(no(menu), yes("section", inner, ' id="search"'), no(more, form, foot)),
+            page(no(top), yes("div", "<h2>On it</h2>" + inner, ' class="related"'), no(widget, foot)),
+            page(no(menu, ad), yes("article", "<h1>Word</h1>" + yes("div", two, ' class="text more"') + yes("div", "<p>" + _LONG + "</p>", ' class="message"')
+                 + yes("section", "<h2>Related work</h2>" + two, ' class="related work"') + no(related, more)), no(bar, foot)),
+            page(no(top), yes("article", inner + yes("div", "<p>" + _LONG + "</p>", ' class="warning"') + no(widget, share)), no(comments, foot_text)),
+            page(table.format(no(f'<td><ul>{links}</ul></td>') + yes("td", inner)), no(foot)),
+            page(table.format(no("<td>" + menu_div + "</td>") + yes("td", inner, ' class="maintext"') + no("<td>" + ad + "</td>")), no(foot_div)),
+        ]
     pages += [
         page(no(nav_div), yes("div", "<p>Hello there, this is it.</p><p>More of it.</p>", ' id="content"'), no(foot_div)),
         page(no(nav_div), yes("div", few, ' class="post"'), no(foot_div)),
