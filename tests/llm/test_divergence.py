@@ -64,6 +64,59 @@ def test_no_reference(spark):
     assert divergence_rules(df.limit(0)).count() == 0
 
 
+def test_one_rule_for_all_languages(spark):
+    """A listed language has a reference from 20 long texts on, like any other."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    es = [r for r in given.where("lang = 'es'").collect() if len(r.text.split()) >= 40 and brute(r.text)[1] >= 120]
+    for n in (19, 20):
+        junk = "%%% 000 ### 11 |||| " * 3 + " ".join(f"<{i}>" for i in range(60))
+        docs = spark.createDataFrame([*es[:n - 1], (-1, junk, "es")], given.schema)
+        got = {r.doc_id: r for r in divergence_rules(docs).collect()}
+        assert (got[-1].js_words is None) == (n == 19) and got[-1].base_failed is False
+        assert got[-1].kept == (n == 19)
+
+
+def test_kept_equals_plain_distances(spark):
+    """The verdict from the published counts: nearest reference, its limits."""
+    from textmill.llm import divergence as D
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    refs = D.language_references(D.text_histograms(docs))
+    signs = list(_signs())
+    classes = {"upper": str.isupper, "digit": lambda c: c in "0123456789", "stop": lambda c: c in ".,;:'\"()?-",
+               "symbol": lambda c: c in "#*$%&|<>", "mark": lambda c: c in "!@_=+~^\\/{}[]"}
+
+    def js(p, q):
+        return math.sqrt(max(0.0, sum((a * math.log2(2 * a / (a + b)) if a > 0 else 0) + (b * math.log2(2 * b / (a + b)) if b > 0 else 0)
+                                      for a, b in zip(p, q)) / 2))
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in divergence_rules(docs).where("doc_id % 5 = 0").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])
+        n, chars = len(w), sum(map(len, w))
+        seen = [sum(f(c) for c in texts[r.doc_id]) for f in classes.values()]
+        hist = [x / max(chars, 1) for x in [*seen, max(0, chars - sum(seen))]]
+        best = None
+        for lang, (ref_c, ref_w) in refs.items():
+            mine = [sum(x in (c, c.capitalize()) for x in w) / max(n, 1) for c in signs if c in COMMON_WORDS[lang]]
+            c = js(hist, ref_c) if chars >= D.MIN_CHARS else 0.0
+            d = js([*mine, max(0.0, 1 - sum(mine))], [x for _, x in sorted(zip([signs.index(y) for y in COMMON_WORDS[lang]], ref_w))]
+                   + ref_w[-1:]) if n >= D.MIN_WORDS else 0.0
+            noise = 1 / math.sqrt(max(n, 1))
+            far = max(c / (D.CHARS_LIMIT[0] + D.CHARS_LIMIT[1] * noise), d / (D.WORDS_LIMIT[0] + D.WORDS_LIMIT[1] * noise))
+            best = min(best or (far, c, d), (far, c, d))
+        assert abs(r.js_chars - best[1]) < 1e-9 and abs(r.js_words - best[2]) < 1e-9, r.doc_id
+        assert r.kept == (not r.base_failed and best[0] <= 1)
+
+
+def test_columns_named_like_ours(spark):
+    names = ["chars", "common", "__w", "__t", "__row", "__lang", "text2", "kept", "n_words"]
+    df = spark.range(3).selectExpr("id AS doc_id", "'some words of a text' AS text", "'en' AS lang", *[f"id + {i} AS `{c}`" for i, c in enumerate(names)])
+    got = divergence_rules(df)
+    assert got.columns[:10] == ["doc_id", "text", "lang", *names[:7]] and "js_words" in got.columns
+    for r in got.collect():
+        assert [r[c] for c in names[:7]] == [r.doc_id + i for i in range(7)] and r.n_words == 5 and r.kept is False
+
+
 def test_every_common_word_has_a_sign():
     signs = _signs()
     assert all(w in signs for ws in COMMON_WORDS.values() for w in ws) and len(set(signs.values())) == len(signs)

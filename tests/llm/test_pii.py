@@ -101,3 +101,12 @@ def test_query(spark):
         want = base(docs[r.doc_id])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[0] == k for w in want) for k in PATTERNS]
         assert r.base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % w for w in want).encode()).hexdigest()
+
+
+def test_columns_named_like_ours(spark):
+    names = ["__text", "__p0", "__s0", "__row", "base", "spans"]
+    df = spark.range(2).selectExpr("id AS doc_id", "'mail a@b.org' AS text", *[f"id + {i} AS `{c}`" for i, c in enumerate(names)])
+    got = find_pii(df)
+    assert got.columns == ["doc_id", "text", *names]
+    for r in got.collect():
+        assert [r[c] for c in names[:4]] == [r.doc_id + i for i in range(4)] and [s.kind for s in r.base] == ["email"]

@@ -30,7 +30,8 @@ MIN_WORDS, MIN_CHARS = 40, 120
 #: and what the square root of the number of words divides, for the noise of
 #: short ones.
 CHARS_LIMIT, WORDS_LIMIT = (0.10, 1.35), (0.22, 1.0)
-#: Words of a language that the corpus gives, and long texts it must have for that.
+#: Words that the corpus gives for a language without a list above.  Any language,
+#: listed or not, has a reference if the corpus has so many long texts of it.
 CORPUS_WORDS, MIN_TEXTS = 20, 20
 #: Steps in which shares are counted for the references.
 STEPS = 2000
@@ -146,9 +147,10 @@ def language_references(counts: DataFrame, lang_col: str = "lang", more: dict[st
     """Median histograms by language, over all texts of the corpus long enough
     to have one: (character classes, common words and the rest).  Medians,
     since a corpus holds junk too; exact ones of shares in steps of 1/``STEPS``,
-    from counts by step that the tasks add up.  Languages without a word list,
-    here or in ``more`` (the one that ``counts`` were made with), or without
-    such texts, have none; those of ``more`` have their words as third item."""
+    from counts by step that the tasks add up.  Languages with fewer than
+    ``MIN_TEXTS`` such texts, or without a word list here or in ``more`` (the one
+    that ``counts`` were made with), have none; those of ``more`` have their
+    words as third item."""
     lang, lists = F.col(lang_col).cast("string"), {**(more or {}), **COMMON_WORDS}
     long_enough = counts.where((F.col("n_words") >= MIN_WORDS) & (F.col("word_chars") >= MIN_CHARS)
                                & lang.isin(*lists))
@@ -174,6 +176,8 @@ def language_references(counts: DataFrame, lang_col: str = "lang", more: dict[st
 
     out = {}
     for name in sorted({k for k, _ in by_bin}):
+        if sum(n for _, n in by_bin[name, 0]) < MIN_TEXTS:
+            continue
         bins = [median(name, i) for i in range(n_chars + len(lists[name]))]
         chars, words = bins[:n_chars], bins[n_chars:]
         out[name] = ([c / sum(chars) for c in chars], [*words, max(0.0, 1 - sum(words))],
@@ -203,8 +207,22 @@ def divergence_rules(docs: DataFrame, references: dict | None = None, text_col:
     for texts of that ``lang_col`` only.  Null and empty texts fail; texts under
     the guards, and texts whose language is given and has no reference (fewer
     than ``MIN_TEXTS`` long texts), are judged by base_failed alone.  Repeated
-    rows are judged alike.
+    rows are judged alike.  Columns of ``docs`` named as the result's are
+    replaced, all others stay.
     """
+    # the row travels as one column, so that no name of it meets one of ours
+    kept = [c for c in docs.columns if c not in RESULTS]
+    given = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    inner = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in kept]).alias("__row"),
+                        F.col(f"`{text_col}`").cast("string").alias("text"), given.alias("lang"))
+    return _judged(inner, references, "text", "lang").select(
+        *[F.col("__row").getField(c).alias(c) for c in kept], *RESULTS)
+
+
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "js_chars", "js_words", "base_failed", "kept"]
+
+
+def _judged(docs: DataFrame, references: dict | None, text_col: str, lang_col: str) -> DataFrame:
     if references is None:
         plain = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
         more = corpus_words(plain)

@@ -137,8 +137,10 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     what the narrower patterns add), both by kind as in ``KINDS``, then start.
     A null or empty text has no spans.  Columns of ``docs`` with these two
     names are replaced, all others are left as they are."""
-    t = "__text"
-    df = docs.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    # the row travels as one column, so that no name of it meets one of ours
+    t, kept = "__text", [c for c in docs.columns if c not in ("base", "spans")]
+    df = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in kept]).alias("__row"),
+                     F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(t))
     both = BASE + MORE
     names = [f"__p{i}" for i in range(len(both))]
     df = _matches(df, t, names, both)
@@ -157,7 +159,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             got = f"concat({got}, {free})"
         parts.append(F.expr(f"array_sort({got}, (a, b) -> a.start - b.start)"))
     df = df.withColumn("spans", F.concat(*parts))
-    return df.drop(t, *[f"__s{i}" for i in range(len(both))])
+    return df.select(*[F.col("__row").getField(c).alias(c) for c in kept], "base", "spans")
 
 
 def digest(spans: Column) -> Column:

@@ -186,11 +186,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a double column ``out`` (0 to 1; no column of ``docs`` may
-    have its name) from the whole text and nothing else; null and empty texts
-    are scored as texts without words."""
-    schema = docs.select("*", F.lit(0.0).alias(out)).schema
-    place = docs.columns.index(text_col)
+    """``docs`` with a double column ``out`` (0 to 1) from the whole text and
+    nothing else; null and empty texts are scored as texts without words.  A
+    column named ``out`` is replaced; repeated rows score alike, an empty table
+    gives an empty one."""
+    others = [c for c in docs.columns if c != out]
+    names = [*others, *([text_col] if text_col == out else [])]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    schema = docs.select(*[F.col(f"`{c}`") for c in others], F.lit(0.0).alias(out)).schema
+    place = names.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +203,6 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
                 b = whole.slice(i, OUT_ROWS)
                 x = np.array([statistics(t.as_py()) for t in b.column(place)], np.float64).reshape(-1, len(FEATURES))
                 got = shared.value.score(x)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*b.columns[:len(others)], pa.array(got, pa.float64())], names=[*others, out])
 
     return docs.mapInArrow(run, schema)
