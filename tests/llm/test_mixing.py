@@ -108,3 +108,47 @@ def test_query(spark):
         taken[source[r.doc_id]] += r.taken
     assert all(abs(taken[s] - want[s]) < 0.1 * want[s] for s in size)
     print({s: round(taken[s] / want[s] - 1, 4) for s in size})
+
+
+def test_ranks_and_cut_equal_brute_force(spark):
+    """Copies of every document from the formulas: certain copies, places in the
+    rank of odds ratios, the prefix that fits, the document that fills the gap."""
+    from pyspark.sql import functions as F
+    r = random.Random(12)
+    rows = [(i, " ".join(["w"] * int(r.paretovariate(0.8) * 4 % 900)), r.choice("aaaabcde")) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(mixing.SEED)), F.lit(1 << 52))
+    u = {x.doc_id: (x.d + 0.5) / 2.0 ** 52 for x in df.select("doc_id", draw.alias("d")).collect()}
+    got = {x.doc_id: x.copies for x in mix(df).collect()}
+    total = {s: sum(words(t) for _, t, x in rows if x == s) for s in "abcde"}
+    partly = 0
+    for s, target in targets(total).items():
+        docs = [(d, words(t)) for d, t, x in rows if x == s]
+        wanted = lambda c: {d: min(3.0, c * n ** -0.25) if n else 0.0 for d, n in docs}
+        low, high = 0.0, 1e12
+        for _ in range(300):  # the scale at which the wanted copies hold the target
+            c = (low + high) / 2
+            low, high = (c, high) if sum(k * n for k, (_, n) in zip(wanted(c).values(), docs)) < target else (low, c)
+        want = wanted(high)
+        copies = {d: int(want[d] + 1e-12) for d, _ in docs}
+        need = target - sum(copies[d] * n for d, n in docs)
+        rank = []
+        for d, n in docs:
+            p = want[d] - copies[d]
+            if p > 1e-9:
+                v = u[d] * (1 - p) / (u[d] * (1 - p) + (1 - u[d]) * p)
+                rank.append((min(int(v * 2.0 ** 48), 2 ** 48 - 1), d, n))
+        rank.sort()
+        before, at = 0, 0
+        while at < len(rank) and before + rank[at][2] <= need:
+            before += rank[at][2]
+            copies[rank[at][1]] += 1
+            at += 1
+        if at < len(rank):
+            gap = need - before
+            fill = min(((abs(n - gap), k, d, n) for k, d, n in rank[at:] if abs(n - gap) < gap), default=None)
+            if fill:
+                copies[fill[2]] += 1
+        partly += 0 < at < len(rank)
+        assert copies == {d: got[d] for d, _ in docs}, s
+    assert partly
