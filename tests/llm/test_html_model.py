@@ -85,6 +85,14 @@ PARTS = "".join(f"<p>{x}</p>" for x in STORY)
 LINKS = "".join(f'<li><a href="/{i}">What to read on day {i}</a></li>' for i in range(5))
 
 
+def test_what_stands_for_media_stays():
+    model = H.train_pages()
+    page = (f"<html><head><title>x</title><noscript><p>Head.</p></noscript></head><body><article><h1>T</h1><p>{STORY[0]}"
+            f"<noscript>A picture of <b>it</b>.</noscript></p><p><video src=v><source src=w>A film.</video> {STORY[1]}</p><noscript><p>{STORY[2]}"
+            "</p></noscript><iframe>frame</iframe></article></body></html>")
+    assert model.texts([page]) == [f"T {STORY[0]}A picture of it. A film. {STORY[1]} {STORY[2]}"]
+
+
 def test_hint_words_are_no_verdicts(spark):
     """Shapes that the fit does not hold, with other texts: the whole article."""
     model = H.train_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))

@@ -29,14 +29,15 @@ LABELLED_PAGES = 200
 STEPS, RATE, PENALTY, SEED = 400, 0.1, 0.0002, 7
 
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span "
-             "strike strong sub sup time tt u var wbr picture source object param "
+             "strike strong sub sup time tt u var wbr picture source object param track "
+             # what a browser may show in their place
+             "noscript audio video canvas "
              # formulas in MathML
              "math maction merror menclose mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
              "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no text of the page at all.
-NO_TEXT = set("head script style template noscript svg iframe canvas audio video select textarea "
-              "annotation annotation-xml".split())
+NO_TEXT = set("head script style template svg iframe select textarea annotation annotation-xml".split())
 #: What a head may hold, of that what may hold text, and the tags that end any head.
 _IN_HEAD = set("html head title meta link base basefont bgsound script style template noscript noframes".split())
 _HEAD_TEXT = set("title script style template noscript noframes".split())
