@@ -80,16 +80,16 @@ def _value_ranks(df: DataFrame, col: str):
     return ranked, ranked.agg(F.sum("n")).first()[0] or 0
 
 
-#: Buckets that one interval is cut into.
-BUCKETS = 4096
+#: Buckets that the intervals of one scan are cut into, together.
+BUCKETS = 1 << 16
 
 
 def _at_ranks(df: DataFrame, col: str, low: float, high: float, ranks: list[int]) -> dict[int, float]:
     """The values at the given places (from 0) of the sorted column.  An interval
     that holds a place is cut into equal buckets, whose rows are counted in one
     scan; the bucket that holds the place is the next interval, until it has one
-    value.  A scan serves all places; nothing is sorted, and a few thousand
-    counts an interval reach the driver."""
+    value.  A scan serves all places; nothing is sorted, and ``BUCKETS`` counts
+    at most reach the driver."""
     found: dict[int, float] = {}
     where = {r: (low, high, 0) for r in ranks}  # interval, and rows before it
     while where:
@@ -100,17 +100,18 @@ def _at_ranks(df: DataFrame, col: str, low: float, high: float, ranks: list[int]
         spans = sorted({(a, z) for a, z, _ in where.values()})
         if not spans:
             break
-        v, bucket = F.col("v"), F.lit(None).cast("long")
+        v, bucket, each = F.col("v"), F.lit(None).cast("long"), max(2, BUCKETS // len(spans))
         for i, (a, z) in enumerate(spans):
             share = (v / 2 - a / 2) / (z / 2 - a / 2)
-            bucket = F.when((v >= a) & (v <= z), i * BUCKETS + F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))).otherwise(bucket)
-        counts = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v")).select("v", bucket.alias("b")) \
-            .where("b IS NOT NULL").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
-        rows = sorted(map(tuple, counts.collect()))
+            bucket = F.when((v >= a) & (v <= z), i * each + F.least(F.floor(share * each), F.lit(each - 1))).otherwise(bucket)
+        # no filter here: pushed below, it would work the column out once more for each of its mentions
+        counts = df.select(F.col(col).cast("double").alias("v")).select("v", bucket.alias("b")) \
+            .groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
+        rows = sorted(tuple(r) for r in counts.collect() if r.b is not None)
         for r, (a, z, before) in where.items():
-            first = spans.index((a, z)) * BUCKETS
+            first = spans.index((a, z)) * each
             for b, n, x, y in rows:
-                if first <= b < first + BUCKETS:
+                if first <= b < first + each:
                     if before + n > r:
                         where[r] = (x, y, before)
                         break
@@ -136,12 +137,16 @@ def _quantiles(df: DataFrame, col: str, total: int, low: float, high: float, qs:
 def describe(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
     """count, mean, sample std, min, quartiles, max.  Exact quartiles come from
     narrowing counts (one scan for the moments, one or two more for the usual
-    column); ``exact=False`` uses the bounded-memory sketch."""
+    column).  The column alone is written before that, so that a derived one is
+    worked out once.  ``exact=False`` uses the bounded-memory sketch."""
+    from textmill.session import barrier
+
     c = F.col(col)
     names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     moments = [F.count(c).alias("count"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("std"),
                F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")]
     if exact:
+        df = barrier(df.select(c))
         r = df.agg(*moments).first()
         p25, p50, p75 = _quantiles(df, col, r["count"], r["min"], r["max"], [0.25, 0.5, 0.75])
         row = (r["count"], r["mean"], r["std"], r["min"], p25, p50, p75, r["max"])
@@ -152,9 +157,12 @@ def describe(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
 
 # A6
 def quantile(df: DataFrame, col: str, q: float = 0.9, exact: bool = True) -> DataFrame:
-    """Exact linear-interpolated quantile by narrowing counts; ``exact=False``
-    uses the bounded sketch (``percentile_approx``)."""
+    """Exact linear-interpolated quantile by narrowing counts over the written
+    column; ``exact=False`` uses the bounded sketch (``percentile_approx``)."""
+    from textmill.session import barrier
+
     if exact:
+        df = barrier(df.select(col))
         r = df.agg(F.count(col).alias("n"), F.min(col).cast("double").alias("a"), F.max(col).cast("double").alias("z")).first()
         return df.sparkSession.createDataFrame([tuple(_quantiles(df, col, r.n, r.a, r.z, [q]))], "q double")
     return df.agg(F.percentile_approx(F.col(col), F.lit(q), 10000).cast("double").alias("q"))
