@@ -44,3 +44,15 @@ def test_every_row_has_its_vector(spark, monkeypatch, blocked, how, oov, case):
         (d, [round(x, 9) for x in v]) for d, v in want(how, oov, case)]
     assert E.pool(docs.limit(0), "tokens", table, how=how, oov=oov).count() == 0
     assert [r.doc_vec for r in E.pool(docs, "tokens", table.limit(0), how=how, oov=oov).collect()] == [[]] * len(DOCS)
+
+
+def test_tasks_work_on_bounded_pieces():
+    """A batch is not unpacked whole, however many tokens its texts have."""
+    import pyarrow as pa
+    lists = [["a"] * 30_000, None, ["b"] * 30_000, [], ["c"] * 120_000] + [["d"]] * 5_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["row", "tokens"])
+    got = list(E._sliced(batch, 1))
+    assert [x for p in got for x in p.column(0).to_pylist()] == list(range(len(lists)))
+    for p in got:
+        assert p.num_rows <= E.PIECE_ROWS
+        assert p.num_rows == 1 or sum(len(x or []) for x in p.column(1).to_pylist()) <= E.PIECE_TOKENS
