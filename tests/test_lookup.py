@@ -99,3 +99,19 @@ def test_token_tables_keep_every_row(spark, tables):
         lambda t: ([x for x in t if x not in "bz"],))
     lemmas = spark.createDataFrame([("a", "A"), ("c", "C")], "token string, lemma string")
     assert rows(V.lemmatize(docs, "tokens", lemmas)) == want(lambda t: ([{"a": "A", "c": "C"}.get(x, x) for x in t],))
+
+
+def test_tokens_of_a_text_stay_in_its_task(spark):
+    """With a small table whole texts are dealt once; their tokens, one by one, are not."""
+    from textmill.operators import vocab as V
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (1, []), (None, None), (2, ["b", None, "c"])], "doc_id long, tokens array<string>")
+    words = spark.createDataFrame([("b",)], "word string")
+    terms = spark.createDataFrame([("a", 0), ("b", 1)], "term string, id long")
+    for got in (V.drop_tokens_join(docs, "tokens", words), V.bag_of_words(docs, "tokens", terms)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+    kept = V.drop_tokens_join(docs, "tokens", words).collect()
+    assert sorted((r.doc_id or 0, r.tokens) for r in kept) == [(0, []), (1, []), (1, ["a", "a"]), (2, ["c"])]
+    numbers = V.term_numbers(docs, "tokens").orderBy("id").collect()
+    assert [tuple(r) for r in numbers] == [("a", 2, 1, 0), ("b", 2, 2, 1), ("c", 1, 1, 2)]
+    assert [r.term for r in V.term_numbers(docs, "tokens", min_docs=2).collect()] == ["b"]
