@@ -67,3 +67,19 @@ def test_small_and_odd_tables(spark):
     df = spark.createDataFrame([(1, ["x"]), (1, ["x"]), (None, None), (2, [])], "doc_id long, tokens array<string>")
     assert [tuple(r) for r in train_word_vectors(df, "tokens", dim=2, min_count=2).collect()] == [("x", [0.0, 0.0])]
     assert train_word_vectors(df.limit(0), "tokens", dim=2).count() == 0
+
+
+def test_vectors_come_by_broadcast_a_few_columns_at_a_time(spark):
+    """The product is the same with any room, and the small sums of words are no shuffle join."""
+    r = np.random.default_rng(3)
+    a = np.where(r.random((12, 12)) < 0.4, r.random((12, 12)), 0)
+    table = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(12) for j in range(12) if a[i, j]], "i long, j long, m double").cache()
+    x = r.random((12, 5))
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(12)], "i long, v array<double>")
+    counts = table.groupBy("j").count().withColumnRenamed("count", "n")
+    for room in (0, 12 * 40, 12 * 48, 1 << 20):  # none, one, two and all columns
+        got = {q.i: q.v for q in W._times(table, counts, table.count(), rows, 12, 5, room).collect()}
+        assert all(np.allclose(v, (a @ x)[i]) for i, v in got.items()) and len(got) == (a.any(axis=1)).sum()
+    pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (2, 3, 1)], "a long, b long, n long")
+    plan = W.positive_pmi(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
