@@ -142,6 +142,29 @@ def test_token_files(spark, tmp_path, monkeypatch):
         start += len(ids)
 
 
+def test_frequent_chunks_stay_encoded():
+    """With too many chunks those used more than once stay, and texts are
+    encoded as before."""
+    with open(P.path("byte_bpe_50k.json")) as f:
+        e = token_files._Encoder(f.read())
+
+    def coded(texts):
+        rows = [e.table.add(t) for t in texts]
+        e.update()
+        e.count(rows)
+        return [b"".join(e.coded[i] for i in r.tolist()) for r in rows]
+
+    texts = ["one two three", "one two four", " two\nthree x", ""]
+    first = coded(texts)
+    assert first == e.whole(texts)
+    e.thin(2)
+    assert e.table.chunks() == [" two", " one"] or sorted(e.table.chunks()) == [" two", "one"]
+    assert len(e.coded) == len(e.uses) == 2
+    assert coded(texts[::-1]) == first[::-1]
+    e.thin(0)
+    assert not e.coded and coded(texts) == first
+
+
 def test_a_tokenizer_with_a_normalizer_takes_whole_texts(spark, tmp_path):
     from tokenizers import Tokenizer
     with open(P.path("word_bpe_49k.json")) as f:

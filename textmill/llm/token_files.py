@@ -35,7 +35,8 @@ BLOCK = 1024
 LANES = 32
 FRAME_IDS = 1 << 19
 SLICE_CHARS = 24_000_000
-#: Distinct chunks of text that a worker keeps encoded for its next slices.
+#: Distinct chunks of text that a worker keeps encoded for its next slices; with
+#: more, those used once go, and all but the most used half of this number.
 KEPT_CHUNKS = 1_000_000
 MAGIC = b"PFR1"
 #: Share of a block's values, in percent, that its width must hold.
@@ -142,6 +143,26 @@ class _Encoder:
 
     def forget(self) -> None:
         self.table, self.coded = ChunkTable(), []
+        self.uses = np.zeros(0, np.int64)
+
+    def count(self, rows: list[np.ndarray]) -> None:
+        """Add to the uses of the chunks."""
+        uses = np.bincount(np.concatenate(rows), minlength=len(self.coded)) if rows else np.zeros(len(self.coded), np.int64)
+        uses[:len(self.uses)] += self.uses
+        self.uses = uses
+
+    def thin(self, most: int) -> None:
+        """Keep the chunks that were used more than once, ``most`` at most;
+        their uses count half from now on."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[:most]])
+        names, coded, uses = list(self.table.index), self.coded, self.uses
+        self.forget()
+        for i in keep.tolist():
+            self.table.index[names[i]]  # takes the next number
+            self.coded.append(coded[i])
+        self.uses = uses[keep] // 2
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -223,10 +244,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         def slice_of(ids: list, rows: list):
             if encoder.chunked:
                 encoder.update()
+                encoder.count(rows)
                 coded = encoder.coded
                 rows = [b"".join([coded[i] for i in row.tolist()]) + tail for row in rows]
                 if len(coded) > KEPT_CHUNKS:
-                    encoder.forget()
+                    del coded
+                    encoder.thin(KEPT_CHUNKS // 2)
             else:
                 rows = [x + tail for x in encoder.whole(rows)]
             yield from frames(ids, rows)
