@@ -56,3 +56,24 @@ def test_tasks_work_on_bounded_pieces():
     for p in got:
         assert p.num_rows <= E.PIECE_ROWS
         assert p.num_rows == 1 or sum(len(x or []) for x in p.column(1).to_pylist()) <= E.PIECE_TOKENS
+
+
+def test_blocked_product_gets_small_batches(spark, monkeypatch):
+    """No worker is handed ten thousand texts at once."""
+    seen = spark.sparkContext.accumulator(0)
+    sliced = E._sliced
+
+    def counted(batch, column):
+        if batch.nbytes > 4 << 20:
+            seen.add(1)
+        return sliced(batch, column)
+
+    monkeypatch.setattr(E, "_sliced", counted)
+    docs = spark.range(0, 3_000, 1, 1).selectExpr("id AS doc_id", "array_repeat('a', 1000) AS tokens")
+    table = spark.createDataFrame(VECTORS[:2], "token string, vec array<float>")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    got = E.pool(docs, "tokens", table, max_bytes=0).collect()
+    assert len(got) == 3_000 and {tuple(r.doc_vec) for r in got} == {(1.0, 2.0)}
+    assert seen.value == 0
+    assert spark.conf.get(key, None) == before
