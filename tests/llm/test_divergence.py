@@ -140,3 +140,13 @@ def test_languages_without_a_word_list(spark):
         assert x[3:] == got[x.doc_id][3:]
     alone = divergence_rules(spark.createDataFrame(rows[:48], "doc_id long, text string, lang string")).collect()
     assert sorted(x.doc_id for x in alone if x.kept) == list(range(40))
+
+
+def test_scanned_classes_are_listed():
+    """What every character is tried against holds no range, and the same characters."""
+    import re
+
+    from textmill.llm.divergence import _PLAIN, SPACE
+    for found, same in ((SPACE, r"[\x20\x09-\x0D]+"), (_PLAIN, r"[a-z\x20\x09-\x0Dß-ÿ]+")):
+        assert "-" not in found
+        assert all(bool(re.fullmatch(found, chr(c))) == bool(re.fullmatch(same, chr(c))) for c in range(0x3000))

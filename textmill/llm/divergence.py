@@ -36,14 +36,23 @@ CORPUS_WORDS, MIN_TEXTS = 20, 20
 #: Steps in which shares are counted for the references.
 STEPS = 2000
 
-SPACE = r"[\x20\x09-\x0D]+"
+
+def _listed(*spans: tuple[int, int]) -> str:
+    """Inner part of a bracket expression, each character by itself: Java looks
+    single ones below 256 up in a table and tries ranges in turn."""
+    return "".join(f"\\x{c:02X}" for first, last in spans for c in range(first, last + 1))
+
+
+SPACE = f"[{_listed((0x20, 0x20), (0x09, 0x0D))}]+"
 #: Inner parts of bracket expressions.
 _CLASSES = {"upper": r"\p{Lu}", "digit": "0-9", "stop": r".,;:'\"()?\-", "symbol": "#*$%&|<>",
             "mark": r"!@_=+~\^\\/{}\[\]"}
 #: Plain small letters and white space: in none of the classes.
-_PLAIN = r"[a-z\x20\x09-\x0D\u00DF-\u00FF]+"
+_PLAIN = f"[{_listed((0x61, 0x7A), (0x20, 0x20), (0x09, 0x0D), (0xDF, 0xFF))}]+"
 #: One sign for each common word, to count them in a string.
 _SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_.,:;!?@=(){}[]<>~^*"
+#: Short lists, by first character, in which the sign of a word is looked up.
+_LISTS = 64
 
 
 def _signs(more: dict[str, list[str]] | None = None) -> dict[str, str]:
@@ -74,8 +83,8 @@ def corpus_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 def _repeated(df: DataFrame) -> DataFrame:
     """n_repeat_words: words that lie in a window of five that occurs twice or
     more.  Windows are hashed; only texts with equal windows sort theirs."""
-    df = df.withColumn("__win", F.expr("transform(slice(__h, 1, greatest(size(__h) - 4, 0)), (x, i) -> "
-                                       "xxhash64(x, __h[i + 1], __h[i + 2], __h[i + 3], __h[i + 4]))"))
+    shifted = [F.slice("__h", i, F.greatest(F.size("__h") - 4, F.lit(0))) for i in range(1, 6)]
+    df = df.withColumn("__win", F.transform(F.arrays_zip(*shifted), lambda five: F.xxhash64(five)))
     df = df.withColumn("__twice", F.size(F.array_distinct("__win")) < F.size("__win"))
     placed = F.sort_array(F.transform("__win", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     none = F.array().cast("array<struct<h:bigint,p:int>>")
@@ -108,12 +117,20 @@ def text_histograms(docs: DataFrame, text_col: str = "text", more: dict[str, lis
               for k, p in _CLASSES.items()]
     signs = _signs(more)
     forms = {**signs, **{w.capitalize(): s for w, s in signs.items()}}
-    known, order = F.array(*[F.lit(w) for w in forms]), F.lit("".join(forms.values()))
-    marks = F.transform(F.filter("__w", lambda w: w.isin(*forms)),
-                        lambda w: F.substring(order, F.array_position(known, w).cast("int"), F.lit(1)))
+    lists: list[list[str]] = [[] for _ in range(_LISTS)]
+    for w in forms:
+        lists[ord(w[0]) % _LISTS].append(w)
+    known = F.array(*[F.array(*map(F.lit, ws)).cast("array<string>") for ws in lists])
+    order = F.array(*[F.lit("".join(forms[w] for w in ws)) for ws in lists])
+
+    def sign(w):
+        place = F.pmod(F.ascii(w), F.lit(_LISTS))
+        return F.substring(F.get(order, place), F.array_position(F.get(known, place), w).cast("int"), F.lit(1))
+
+    marks = F.transform(F.filter("__w", lambda w: w.isin(*forms)), sign)
     df = df.select("*", *counts, F.array_join(marks, "").alias("__marks")) \
         .withColumn("n_words", F.size("__w").cast("long")) \
-        .withColumn("word_chars", F.aggregate("__w", F.lit(0).cast("long"), lambda a, w: a + F.length(w))) \
+        .withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long")) \
         .withColumn("n_symbols", F.col("__symbol"))
     listed = len(_signs())
     each = F.array(*[F.length("__marks") - F.length(F.replace(F.col("__marks"), F.lit(s), F.lit("")))
