@@ -18,7 +18,6 @@ When texts are scored, terms that very many texts hold join by broadcast
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from textmill.operators.headtail import join_split
 from textmill.operators.labels import code_table
 from textmill.operators.pipeline import _LookUp
-from textmill.session import barrier, ensure_checkpoint_dir, small_batches
+from textmill.session import barrier, new_folder, small_batches
 
 #: The term of the intercept: no token is empty.
 BIAS = ""
@@ -279,10 +278,6 @@ def top_terms(weights: DataFrame, classes: DataFrame, k: int = 10) -> DataFrame:
         "class_index", "label", "term", "weight", "rank")
 
 
-def new_folder(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}_{uuid.uuid4().hex}"
-
-
 def sql_linear_svm(examples: str, labels: str, k: int, max_iter: int, reg: float) -> str:
     """The same training as one SQL statement, for tables of examples (row,
     term, x) and labels (row, y): common table expressions that end with
