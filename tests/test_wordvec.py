@@ -83,3 +83,23 @@ def test_vectors_come_by_broadcast_a_few_columns_at_a_time(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (2, 3, 1)], "a long, b long, n long")
     plan = W.positive_pmi(pairs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_pairs_cross_the_shuffle_as_arrays(spark, monkeypatch):
+    """Counted where the texts are, also where a text is cut into pieces or an id is null."""
+    r = np.random.default_rng(5)
+    rows = [(i, [int(x) - 6 for x in r.integers(0, 12, r.integers(0, 40))]) for i in range(60)]
+    rows += [(60, [1, None, 2]), (61, [None, None]), (62, [3])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<long>").repartition(3)
+    want = plain_pairs(rows[:60], 4)
+    for a, b in ((1, 1), (1, 2), (2, 2)):  # a null is passed over
+        want[a, b] = want.get((a, b), 0) + 1
+    want[None, None] = 1
+    for tokens, parts in ((1 << 19, 1 << 12), (7, 3)):
+        monkeypatch.setattr(W, "PAIR_TOKENS", tokens)
+        monkeypatch.setattr(W, "PAIR_PARTS", parts)
+        pairs = W.cooccurrence(df, "ids", 4)
+        got = [tuple(x) for x in pairs.collect()]
+        assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan and "Generate explode" not in plan
