@@ -115,3 +115,33 @@ def test_tokens_of_a_text_stay_in_its_task(spark):
     numbers = V.term_numbers(docs, "tokens").orderBy("id").collect()
     assert [tuple(r) for r in numbers] == [("a", 2, 1, 0), ("b", 2, 2, 1), ("c", 1, 1, 2)]
     assert [r.term for r in V.term_numbers(docs, "tokens", min_docs=2).collect()] == ["b"]
+
+
+def test_small_tables_are_looked_up_where_the_rows_are(spark):
+    """No shuffle of texts or tokens; odd rows and repeated keys as by the join."""
+    docs = spark.createDataFrame([(1, ["a", "b", None, "a"]), (1, []), (None, None), (2, ["B", "x"])], "doc_id long, tokens array<string>").repartition(2)
+    lemmas = spark.createDataFrame([("a", "A"), ("b", None), (None, "n")], "token string, lemma string")
+    one = V.lemmatize(docs, "tokens", lemmas)
+    assert "Exchange" not in one._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in one._jdf.queryExecution().toString()
+    want = sorted([(1, ["A", "b", "A"]), (1, []), (2, ["B", "x"]), (None, [])], key=str)
+    assert sorted(map(tuple, one.collect()), key=str) == want
+    twice = lemmas.unionByName(lemmas.where("token = 'b'"))  # a repeated key: one lemma a row of the table
+    assert sorted(r.lemmas for r in V.lemmatize(docs, "tokens", twice).collect()) == [[], [], ["A", "b", "b", "A"], ["B", "x"]]
+    ids = spark.createDataFrame([("a", 7), ("x", 3)], "token string, id long")
+    got = V.encode_drop(docs, "tokens", ids)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, [7, 7]), (1, []), (2, [3]), (None, [])], key=str)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_mean_where_the_rows_are_equals_pool(spark):
+    from textmill.operators.embed import pool, with_mean
+    docs = spark.createDataFrame([(1, ["a", "B", None, "a"]), (1, []), (None, None), (2, ["b", "x"]), (3, ["y"] * 5 + ["a"] * 9)],
+                                 "doc_id long, tokens array<string>")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, -1.0]), ("B", [9.0, 9.0])], "token string, vec array<float>")
+    for sensitive in (True, False):
+        near = with_mean(docs, "tokens", vectors, ["doc_id"], "doc_vec", sensitive)
+        got, want = (sorted(((r.doc_id, [round(x, 9) for x in r.doc_vec]) for r in df.collect()), key=str)
+                     for df in (near, pool(docs, "tokens", vectors, case_sensitive=sensitive)))
+        assert got == want
+        assert "Exchange" not in near._jdf.queryExecution().toString()
+    assert with_mean(docs, "tokens", vectors.limit(0), ["doc_id"], "doc_vec") is None
